@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,15 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def dense(cells: pa.ListArray, field: str, n_cells: int) -> np.ndarray:
+    """Lists of (cell, field) as one matrix, a row per list, NaN where a list lacks a cell or holds null."""
+    out = np.full((len(cells), n_cells), np.nan)
+    flat = cells.flatten()
+    row = np.repeat(np.arange(len(cells)), np.nan_to_num(cells.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+    out[row, flat.field("cell").to_numpy(zero_copy_only=False)] = flat.field(field).to_numpy(zero_copy_only=False)
+    return out
+
+
 def ssa_fill(values: np.ndarray, rank: int = 4, window: int | None = None, rounds: int = 30, tol: float = 1e-4, fold: int = 256) -> np.ndarray:
     """values (series x cells, NaN where missing) with every missing entry filled by iterative singular-spectrum cuts.
 
@@ -102,23 +111,22 @@ def regular_grid(curves: DataFrame, grid: DataFrame, values: tuple[str, ...] = (
     every = packed.unionByName(bare).groupBy("metric", "curve_id").agg(F.max_by("cells", F.size("cells")).alias("cells"))
     sized = every.join(grid.select("metric", "n_cells"), "metric")
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n_cells, part in batch.groupby("n_cells"):
-                tall = {v: np.full((len(part), n_cells), np.nan) for v in values}
-                for i, cells in enumerate(part["cells"]):
-                    if cells is None:
-                        continue
-                    for c in cells:
-                        for v in values:
-                            if c[v] is not None:
-                                tall[v][i, c["cell"]] = c[v]
-                out = {"metric": np.repeat(part["metric"].to_numpy(), n_cells), "curve_id": np.repeat(part["curve_id"].to_numpy(), n_cells), "cell": np.tile(np.arange(n_cells, dtype=np.int32), len(part))}
+            n_of = batch.column("n_cells").to_numpy()
+            for n_cells in np.unique(n_of):
+                part = batch.filter(pa.array(n_of == n_cells))
+                out = {
+                    "metric": part.column("metric").take(np.repeat(np.arange(len(part)), n_cells)),
+                    "curve_id": np.repeat(part.column("curve_id").to_numpy(), n_cells),
+                    "cell": np.tile(np.arange(n_cells, dtype=np.int32), len(part)),
+                }
                 for v in values:
-                    out[v + "_filled"] = np.isnan(tall[v]).ravel()
-                    out[v] = ssa_fill(tall[v], rank).ravel()
-                yield pd.DataFrame(out)
+                    tall = dense(part.column("cells"), v, int(n_cells))
+                    done = ssa_fill(tall, rank).ravel()
+                    out[v] = pa.array(done, mask=np.isnan(done))
+                    out[v + "_filled"] = np.isnan(tall).ravel()
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = "metric string, curve_id bigint, cell int, " + ", ".join(f"{v} double, {v}_filled boolean" for v in values)
-    done = sized.mapInPandas(fill, schema)
-    return done.select("curve_id", "metric", "cell", *[c for v in values for c in (F.when(~F.isnan(v), F.col(v)).alias(v), F.col(f"{v}_filled"))])
+    return sized.mapInArrow(fill, schema).select("curve_id", "metric", "cell", *[c for v in values for c in (v, f"{v}_filled")])
