@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import neighbours, percentiles
+from curvelake.llm import clusters, leakage, neighbours, percentiles, reading, tokens
 from curvelake.session import table
 
 SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -31,7 +31,38 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(days, ["metric"], SHARES).withColumn("value", F.round("value", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_percentiles)}
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster(table(spark, d, "features"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clustered(spark, d).select("variant", "cluster_key")
+
+
+def p4_typical(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.typical_members(_clustered(spark, d))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_spans(spark, d).select("doc_id", "item_id")
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "reading_level")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p2_found, p2_neighbours, p3_percentiles, p4_found, p4_typical, p8_ids, p9_found, p9_spans, p10_found)
+}
+
 
 SQL: dict[str, str] = {
     "p3_percentiles": """
