@@ -33,22 +33,37 @@ KNOWN = 0.6  # share of a sentence's words that graded documents must use for it
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _TITLE = re.compile(r"[ \t]*(?:#|@|=+[ \t]|\[\d+\])")
 _MARK = re.compile(r"[ \t]*(?:[>*+|•–/-]+[ \t]+)+")
-_END = re.compile(r"(?<=[.!?;…])[\"')\]]*\s+")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])[-­]\n[ \t]*(?:[>*+|•–/#-]+[ \t]+)*(?=[a-zß-ÿ])")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TOKEN = re.compile(r"[(\"'“]*[^\W\d_]+(?:['’/-][^\W\d_]+)*[.,;:!?…)\"'”]*")
+_END = re.compile(r"[.!?;…][\"')\]]*\s+")
+_LETTERS = re.compile(r"\((?:[A-Za-z], ?)*[A-Za-z]\)")
+_HYPHEN = re.compile(r"[-\u00ad](?<=[^\W\d_][-\u00ad])\n[ \t]*(?:[>*+|•–/#-]+[ \t]+)*(?=[a-zß-ÿ])")
+_AROUND = "()[]\"'“”‘’.,;:!?…"
+
+
+def _words(tokens: list[str]) -> list[str]:
+    """The words among tokens: letters with inner hyphens or apostrophes, marks around them; of single letters only a and i."""
+    out = []
+    for token in tokens:
+        w = token.strip(_AROUND)
+        if w.isalpha():
+            if len(w) > 1 or w in "ai":
+                out.append(w)
+        elif w and w[0] != "-" and w[-1] != "-" and w.replace("-", "").replace("'", "").replace("’", "").isalpha():
+            out.append(w)
+    return out
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as lists of lower-case words, without titles, markup, logs and tables.
+    """The sentences of a text as lists of lower-case words, without titles, markup, lists of letters, logs and tables.
 
     Wrapped lines are joined where one goes on in lower case. A stretch counts as a sentence if at least 60 % of its
-    tokens are words; lists of single letters and rows of numbers don't.
+    tokens are words, which rows of numbers aren't.
     """
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
+    if "(" in text:
+        text = _LETTERS.sub(" ", text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "\n" in text:
         text = _HYPHEN.sub("", text)
@@ -68,13 +83,10 @@ def sentences(text: str) -> list[list[str]]:
             units.append(bare)
     out = []
     for unit in units:
-        for sentence in _END.split(unit):
+        for sentence in _END.split(unit.lower()):
             tokens = sentence.split()
-            if len(tokens) < 2:
-                continue
-            real = [t for t in tokens if (len(t) > 1 or t in "aAI") and _TOKEN.fullmatch(t) and not (len(w := t.strip("(),.;:!?\"'…")) == 1 and w not in "aAI")]
-            if len(real) >= 0.6 * len(tokens):
-                out.append([w.lower() for w in _WORD.findall(sentence)])
+            if len(tokens) > 1 and len(words := _words(tokens)) >= 0.6 * len(tokens):
+                out.append(words)
     return out
 
 
