@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training",)
+MODULES = ("training", "statistics")
 
 
 def all_queries() -> dict:
