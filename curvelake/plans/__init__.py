@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training", "statistics")
+MODULES = ("training", "statistics", "profiles", "shapes")
 
 
 def all_queries() -> dict:

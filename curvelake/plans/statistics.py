@@ -244,9 +244,10 @@ def q_percentile_pair(spark, d):
     return rounded(S.tall(features(spark, d), FEATURES).groupBy("column").agg(q.alias("q")).select("column", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), "low", "high")
 
 
-@query(f"""SELECT variant, round(avg({FIN('rmsd__mean')}), 3) AS mean, round(stddev_samp({FIN('rmsd__mean')}), 6) AS std, count({FIN('rmsd__mean')}) AS n FROM features GROUP BY variant""")
+@query(f"""SELECT variant, round(avg({FIN('rmsd__mean')}), 10) AS mean, round(stddev_samp({FIN('rmsd__mean')}), 10) AS std, count({FIN('rmsd__mean')}) AS n FROM features GROUP BY variant""")
 def q_rmsf_stats(spark, d):
+    """A09."""
     from curvelake.operators.grid import finite
 
     v = finite(F.col("rmsd__mean"))
-    return rounded(features(spark, d).groupBy("variant").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n")), "mean", "std")
+    return rounded(features(spark, d).groupBy("variant").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n")), "mean", "std", places=10)
