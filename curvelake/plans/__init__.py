@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training", "statistics", "profiles", "shapes")
+MODULES = ("training", "statistics", "profiles", "shapes", "reports")
 
 
 def all_queries() -> dict:
