@@ -52,7 +52,7 @@ def record_key() -> list:
 
 
 def mark_repeats(rows: DataFrame, keep: list[str], spread: int = 64) -> DataFrame:
-    """file_id, row_no, keep and repeats: whether a row before it (by file_id, then row_no) holds the same record.
+    """file_id, row_no, _kept (a struct of keep) and repeats: whether a row before it (by file_id, then row_no) holds the same record.
 
     Two rounds, so that a record that is a third of all rows isn't one task: the first row of every (record, slice of
     files), then the first among those. Nulls equal nulls, NaN equals NaN, -0.0 equals 0.0. Records travel as two 64-bit
@@ -60,25 +60,28 @@ def mark_repeats(rows: DataFrame, keep: list[str], spread: int = 64) -> DataFram
     """
     key = F.struct(*record_key())
     text = F.to_json(key, {"ignoreNullFields": "false"})
-    hashed = rows.select("file_id", "row_no", *keep, F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(7919), F.reverse(text)).alias("_h2"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(True).alias("_"))  # packed, so that no name can clash
+    hashed = rows.select("file_id", "row_no", kept.alias("_kept"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(7919), F.reverse(text)).alias("_h2"))
     sliced = hashed.withColumn("_slice", F.pmod(F.xxhash64("file_id"), F.lit(spread)).cast("int"))
     place = "row_number() over (partition by _h1, _h2, {} order by file_id asc nulls first, row_no asc nulls first)"
     local = sliced.withColumn("_n", F.expr(place.format("_slice")))
     firsts = local.where("_n = 1").withColumn("_m", F.expr(place.format("1 = 1"))).withColumn("repeats", F.col("_m") > 1)
     later = local.where("_n > 1").withColumn("repeats", F.lit(True))
-    columns = ["file_id", "row_no", *keep, "repeats"]
+    columns = ["file_id", "row_no", "_kept", "repeats"]
     return firsts.select(*columns).unionByName(later.select(*columns))
 
 
 def rewrite(manifest: DataFrame, rows: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
     """Every row of the chunks with group_no, the file it goes to, and repeats, whether it is left out as held before.
 
-    Rows of a file the manifest doesn't list go to group -1, so none is lost.
+    Rows of a file the manifest doesn't list go to group -1, so none is lost. Columns of rows called group_no or repeats
+    are replaced.
     """
     plan = plan_groups(manifest, target_bytes).groupBy(F.col("file_id").alias("_f")).agg(F.min("group_no").alias("group_no"))
     value = [c for c in rows.columns if c not in ("file_id", "row_no", "group_no", "repeats")]
     marked = mark_repeats(rows, value)
-    return marked.join(plan, F.col("file_id") == F.col("_f"), "left").select("file_id", "row_no", *value, F.coalesce("group_no", F.lit(-1)).alias("group_no"), "repeats")
+    joined = marked.join(plan, F.col("file_id") == F.col("_f"), "left")
+    return joined.select("file_id", "row_no", *[F.col(f"_kept.`{c}`").alias(c) for c in value], F.coalesce("group_no", F.lit(-1)).alias("group_no"), "repeats")
 
 
 def write_groups(rewritten: DataFrame, path: str) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from curvelake.session import cut
 
+SLICES = 16
+
 
 def norm_name(name: Column) -> Column:
     """The letters and digits of an attribute name, letter case aside."""
@@ -56,7 +58,9 @@ def widen(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     ignored, so their names can't clash.
     """
     attributes = [(r["metric"], r["value_type"]) for r in catalog.select("metric", "value_type").where(F.col("metric").isNotNull()).distinct().orderBy("metric").collect()]
-    cells = cut(filled_cells(rows, catalog).repartition("metric").sortWithinPartitions("metric", "variant"), "cells")
+    # By attribute, and by a slice of the variants, so that a hot attribute is several tasks.
+    parted = filled_cells(rows, catalog).repartition("metric", F.pmod(F.xxhash64("variant"), F.lit(SLICES)))
+    cells = cut(parted.sortWithinPartitions("metric", "variant"), "cells")
     if not attributes:
         return cells.select("variant").distinct()
     level = [
