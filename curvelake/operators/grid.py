@@ -16,20 +16,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def in_cells(curves: DataFrame, grid: DataFrame, keep: list[str]) -> DataFrame:
+def in_cells(curves: DataFrame, grid: DataFrame, keep: list[str], outside: bool = False) -> DataFrame:
     """Rows with curve_id and x inside their metric's grid: curve_id, metric, cell and the columns of keep.
 
+    outside: also the rows whose x is null, NaN or outside the grid, with null as their cell.
+
     Periodic x is brought into [x_start, x_start + 360) first. The quotient only proposes a cell; the comparison with
     the cell's own bounds decides, so rounding can't move a reading.
     """
     g = grid.select("metric", F.col("x_start").alias("_x0"), F.col("x_step").alias("_dx"), F.col("n_cells").alias("_n"), F.col("is_periodic").alias("_turns"))
-    rows = curves.where(F.col("curve_id").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x")).select("curve_id", "metric", F.col("x").alias("_x"), *[k for k in keep if k not in ("curve_id", "metric")])
+    rows = curves.where(F.col("curve_id").isNotNull()).select("curve_id", "metric", F.col("x").alias("_x"), *[k for k in keep if k not in ("curve_id", "metric")])
     x = F.when(F.col("_turns"), F.col("_x0") + F.pmod(F.col("_x") - F.col("_x0"), F.lit(360.0))).otherwise(F.col("_x"))
     bound = lambda k: F.col("_x0") + k * F.col("_dx")
     guess = F.floor((F.col("_w") - F.col("_x0")) / F.col("_dx"))
     cell = F.when(F.col("_w") < bound(F.col("_k")), F.col("_k") - 1).when(F.col("_w") >= bound(F.col("_k") + 1), F.col("_k") + 1).otherwise(F.col("_k"))
-    placed = rows.join(g, "metric").withColumn("_w", x).where(F.abs("_w") < float("inf")).withColumn("_k", guess).withColumn("cell", cell.cast("int"))
-    return placed.where((F.col("cell") >= 0) & (F.col("cell") < F.col("_n"))).select("curve_id", "metric", "cell", *[k for k in keep if k not in ("curve_id", "metric")])
+    known = F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf"))
+    placed = rows.join(g, "metric").withColumn("_w", F.when(known, x)).withColumn("_k", guess).withColumn("cell", cell.cast("int"))
+    placed = placed.withColumn("cell", F.when((F.col("cell") >= 0) & (F.col("cell") < F.col("_n")), F.col("cell")))
+    return (placed if outside else placed.where(F.col("cell").isNotNull())).select("curve_id", "metric", "cell", *[k for k in keep if k not in ("curve_id", "metric")])
 
 
 def finite(value: Column) -> Column:
@@ -105,10 +109,8 @@ def regular_grid(curves: DataFrame, grid: DataFrame, values: tuple[str, ...] = (
     stand. A curve that stands under several metrics gets a grid for each. Empty input: no rows. Groups fold map-side to
     at most n_cells rows, so no curve, however large, is gathered raw.
     """
-    here = in_cells(curves, grid, list(values)).groupBy("metric", "curve_id", "cell").agg(*[F.avg(finite(F.col(v))).alias(v) for v in values])
-    packed = here.groupBy("metric", "curve_id").agg(F.collect_list(F.struct("cell", *values)).alias("cells"))
-    bare = curves.where(F.col("curve_id").isNotNull()).select("metric", "curve_id").distinct().withColumn("cells", F.lit(None).cast(packed.schema["cells"].dataType))
-    every = packed.unionByName(bare).groupBy("metric", "curve_id").agg(F.max_by("cells", F.size("cells")).alias("cells"))
+    here = in_cells(curves, grid, list(values), outside=True).groupBy("metric", "curve_id", "cell").agg(*[F.avg(finite(F.col(v))).alias(v) for v in values])
+    every = here.groupBy("metric", "curve_id").agg(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", *values))).alias("cells"))
     sized = every.join(grid.select("metric", "n_cells"), "metric")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
