@@ -63,27 +63,32 @@ def segment_keys(text: str, edits: int = MOST_EDITS) -> Iterator[tuple[bool, str
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 2000):
-            rows = [(s, held, key, rest) for s in batch["seq"][at : at + 2000] for held, key, rest in segment_keys(s)]
-            yield pd.DataFrame(rows, columns=["seq", "held", "key", "rest"])
+            rows = [(s, held, key) for s in batch["seq"][at : at + 2000] for held, key, _ in segment_keys(s)]
+            yield pd.DataFrame(rows, columns=["seq", "held", "key"])
 
 
 def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of hot keys under a key more: a segment of the rest."""
+    """The rows of hot keys under a key more: a segment of what remains beside the first."""
     for batch in batches:
-        rows = [(s, held, f"{key}|{k}") for s, held, key, rest in zip(batch["seq"], batch["held"], batch["key"], batch["rest"]) for h, k, _ in segment_keys(rest) if h == held]
+        rows = [
+            (s, held, f"{key}|{k}")
+            for s, held, key in zip(batch["seq"], batch["held"], batch["key"])
+            for h, own, rest in segment_keys(s) if h == held and own == key
+            for h2, k, _ in segment_keys(rest) if h2 == held
+        ]
         yield pd.DataFrame(rows, columns=["seq", "held", "key"])
 
 
 def similar_sequences(sequences: DataFrame) -> DataFrame:
     """a, b, edits: all pairs of distinct sequences within MOST_EDITS of each other; a is shorter, or equal and smaller."""
-    keyed = cut(sequences.select("seq").mapInPandas(_keys, "seq string, held boolean, key string, rest string"), "keys")
-    held = keyed.where("held").groupBy("key").agg(F.count("*").alias("n"))
-    hot = held.where(F.col("n") > HOT).select("key")
-    cold = keyed.join(hot, "key", "left_anti").select("seq", "held", "key")
-    fine = keyed.join(hot, "key", "left_semi").mapInPandas(_finer, "seq string, held boolean, key string")
-    both = cold.unionByName(fine).withColumn("k", F.xxhash64("key"))
-    short = both.where("held").select(F.col("seq").alias("a"), F.col("k").alias("k"))
-    long = both.where("NOT held").select(F.col("seq").alias("b"), F.col("k").alias("kb"))
+    keyed = cut(sequences.select("seq").mapInPandas(_keys, "seq string, held boolean, key string"), "keys")
+    hot = cut(keyed.where("held").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    both = keyed
+    if not hot.isEmpty():
+        fine = keyed.join(hot, "key", "left_semi").mapInPandas(_finer, "seq string, held boolean, key string")
+        both = keyed.join(hot, "key", "left_anti").select("seq", "held", "key").unionByName(fine)
+    short = both.where("held").select(F.col("seq").alias("a"), F.xxhash64("key").alias("k"))
+    long = both.where("NOT held").select(F.col("seq").alias("b"), F.xxhash64("key").alias("kb"))
     pairs = short.join(long, F.col("k") == F.col("kb")).where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
     return pairs.withColumn("edits", F.levenshtein("a", "b", MOST_EDITS)).where("edits >= 0").select("a", "b", "edits").distinct()
 
