@@ -149,17 +149,57 @@ def search(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _copies(stored: DataFrame, k: int, spread: int = 64) -> tuple[DataFrame, DataFrame] | None:
+    """(members: metric, curve_id, rep; groups: metric, rep, ids, the k + 1 smallest members) of vectors that occur more than
+    once, or None where all differ. Two rounds, so that copies of one vector never meet in one task."""
+    key = ["metric", "_h1", "_h2"]
+    hashed = stored.select("metric", "curve_id", F.xxhash64("vec").alias("_h1"), F.xxhash64(F.lit(1), F.col("vec")).alias("_h2"))
+    several = hashed.groupBy(*key).agg(F.count("*").alias("_n"), F.min("curve_id").alias("rep")).where("_n > 1")
+    several = cut(several, "copies")
+    if several.isEmpty():
+        return None
+    members = cut(hashed.join(several, key).select("metric", "curve_id", "rep"), "members")
+    sliced = members.withColumn("_s", F.pmod(F.xxhash64("curve_id", F.lit("slice")), F.lit(spread)))
+    first = sliced.withColumn("_r", F.row_number().over(Window.partitionBy("metric", "rep", "_s").orderBy("curve_id"))).where(F.col("_r") <= k + 1)
+    smallest = first.withColumn("_r", F.row_number().over(Window.partitionBy("metric", "rep").orderBy("curve_id"))).where(F.col("_r") <= k + 1)
+    return members, smallest.groupBy("metric", "rep").agg(F.array_sort(F.collect_list("curve_id")).alias("ids"))
+
+
 def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, query: str = "true") -> DataFrame:
     """metric, curve_id, neighbour_id, similarity, place: the k most similar vectors of the same metric.
 
-    vectors: metric, curve_id, vec as of unit_vectors. query: which vectors ask (all are searched). least: neighbours
-    below this similarity are of no interest, which bounds the radius; without it windows widen until k are found in
-    the cells looked into. Ties go to the smaller id; exact copies count as neighbours; a vector is never its own. A
-    vector without a neighbour has no row. Empty input: no rows.
+    vectors: metric, curve_id, vec as of unit_vectors; one row per curve and metric. query: which vectors ask, by a
+    condition on curve_id (all are searched). least: neighbours below this similarity are of no interest, which bounds the
+    radius; without it windows widen until k are found in the cells looked into. Ties go to the smaller id; a vector is
+    never its own neighbour. A vector without a neighbour has no row. Empty input: no rows.
+
+    Copies of one vector are searched once, by their smallest id, and take part in every result as the vectors they are;
+    the work for a group of copies grows with its size, not with its square.
     """
+    stored = cut(vectors.select("metric", "curve_id", "vec"), "vectors")
+    copies = _copies(stored, k)
+    order = Window.partitionBy("metric", "curve_id").orderBy(F.desc("similarity"), "neighbour_id")
+    if copies is None:
+        found = _search_all(stored, k, least, query)
+    else:
+        members, groups = copies
+        spare = members.where("curve_id <> rep").select("metric", "curve_id")
+        near = _search_all(stored.join(spare, ["metric", "curve_id"], "left_anti"), k, least, "true")
+        asked = groups.select("metric", F.col("rep").alias("neighbour_id"), "ids")
+        wide = near.join(asked, ["metric", "neighbour_id"], "left").select("metric", F.col("curve_id").alias("rep"), F.explode(F.coalesce("ids", F.array("neighbour_id"))).alias("neighbour_id"), "similarity")
+        own = groups.select("metric", "rep", F.explode("ids").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
+        top = Window.partitionBy("metric", "rep").orderBy(F.desc("similarity"), "neighbour_id")
+        lists = cut(wide.unionByName(own).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1).drop("_r"), "lists")
+        of = members.select(F.col("metric").alias("_m"), F.col("rep").alias("_rep"), "curve_id")
+        met = lists.join(of, (F.col("metric") == F.col("_m")) & (F.col("rep") == F.col("_rep")), "left").select("metric", F.coalesce("curve_id", "rep").alias("curve_id"), "neighbour_id", "similarity")
+        found = met.where("curve_id <> neighbour_id").where(query)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _search_all(stored: DataFrame, k: int, least: float | None, query: str) -> DataFrame:
+    """metric, curve_id, neighbour_id, similarity: up to k of each block looked into."""
     radius = float(np.sqrt(2 - 2 * least)) if least is not None else float(np.sqrt(2.0))
     reach = radius if least is not None else 0.4  # without a bound, cells whose border is nearer than MARGIN times this
-    stored = cut(vectors, "vectors")
     placed = cut(_placed(stored, fit_cells(stored), reach, query), "placed")
     asked = placed.select(*[F.col(c).alias(c) for c in ("metric", "curve_id", "vec", "probes")]).withColumn("cell", F.explode("probes")).drop("probes")
     sizes = (
@@ -182,10 +222,7 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, que
 
     queries = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns])  # cogroup wants columns of its own on either side
     found = rows.groupBy(*keys).cogroup(queries.groupBy(*["q_" + c for c in keys])).applyInPandas(both, "metric string, curve_id bigint, neighbour_id bigint, similarity double")
-    if least is not None:
-        found = found.where(F.col("similarity") >= least)
-    order = Window.partitionBy("metric", "curve_id").orderBy(F.desc("similarity"), "neighbour_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return found.where(F.col("similarity") >= least) if least is not None else found
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.98) -> DataFrame:
