@@ -31,9 +31,13 @@ def in_cells(curves: DataFrame, grid: DataFrame, keep: list[str], outside: bool
     guess = F.floor((F.col("_w") - F.col("_x0")) / F.col("_dx"))
     cell = F.when(F.col("_w") < bound(F.col("_k")), F.col("_k") - 1).when(F.col("_w") >= bound(F.col("_k") + 1), F.col("_k") + 1).otherwise(F.col("_k"))
     known = F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf"))
-    placed = rows.join(g, "metric").withColumn("_w", F.when(known, x)).withColumn("_k", guess).withColumn("cell", cell.cast("int"))
-    placed = placed.withColumn("cell", F.when((F.col("cell") >= 0) & (F.col("cell") < F.col("_n")), F.col("cell")))
-    return (placed if outside else placed.where(F.col("cell").isNotNull())).select("curve_id", "metric", "cell", *[k for k in keep if k not in ("curve_id", "metric")])
+    # The filter looks at _w alone: one on the cell would be pushed down with the cell's whole expression in it, again and again.
+    inside = (F.col("_w") >= F.col("_x0")) & (F.col("_w") < bound(F.col("_n")))
+    placed = rows.join(g, "metric").withColumn("_w", F.when(known, x))
+    if not outside:
+        placed = placed.where(inside)
+    placed = placed.withColumn("_k", guess).withColumn("cell", F.when(inside, cell).cast("int"))
+    return placed.select("curve_id", "metric", "cell", *[k for k in keep if k not in ("curve_id", "metric")])
 
 
 def finite(value: Column) -> Column:
