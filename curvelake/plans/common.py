@@ -17,6 +17,15 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
 
 
+def exact_mean(column: str, scale: float = 1e6):
+    """The mean of a column summed in whole 1 / scale, so that it is the same double in any order; nulls don't count."""
+    return F.sum(F.round(F.col(column) * scale).cast("bigint")).cast("double") / (F.count(column) * scale)
+
+
+def sql_mean(column: str, scale: str = "1e6") -> str:
+    return f"sum(CAST(round({column} * {scale}) AS BIGINT))::DOUBLE / (count({column}) * {scale})"
+
+
 def pmf(spark: SparkSession, d: str) -> DataFrame:
     return C.clean(table(spark, d, "pmf"))
 
@@ -28,8 +37,8 @@ def in_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cell_means(spark: SparkSession, d: str) -> DataFrame:
-    """variant, metric, cell, F_kJ_mol: the mean over all replicas' readings."""
-    return in_cells(spark, d).groupBy("variant", "metric", "cell").agg(F.avg("F_kJ_mol").alias("F_kJ_mol"))
+    """variant, metric, cell, F_kJ_mol: the mean over all replicas' readings, summed in whole 1e-6, so that it is the same in any order."""
+    return in_cells(spark, d).groupBy("variant", "metric", "cell").agg(exact_mean("F_kJ_mol").alias("F_kJ_mol"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +56,7 @@ CELLS = f"""(SELECT curve_id, variant, metric, replica, cell, x, F_kJ_mol, P, te
   SELECT *, CAST(floor((w - x_start) / x_step) AS INTEGER) AS cell FROM (
     SELECT p.*, g.x_start, g.x_step, g.n_cells, CASE WHEN g.is_periodic THEN g.x_start + (p.x - g.x_start) - 360 * floor((p.x - g.x_start) / 360) ELSE p.x END AS w
     FROM {PMF} p JOIN metric_grid g ON p.metric = g.metric)) WHERE cell >= 0 AND cell < n_cells)"""
-MEANS = f"(SELECT variant, metric, cell, avg(F_kJ_mol) AS F_kJ_mol FROM {CELLS} GROUP BY variant, metric, cell)"
+MEANS = f"(SELECT variant, metric, cell, {sql_mean('F_kJ_mol')} AS F_kJ_mol FROM {CELLS} GROUP BY variant, metric, cell)"
 FIN = lambda c: f"CASE WHEN isfinite({c}) THEN {c} END"
 FEATURE_ROWS = f"""(SELECT variant, {', '.join(FEATURES)}, sequence FROM (
   SELECT *, row_number() OVER (PARTITION BY variant ORDER BY exported_at DESC NULLS LAST, {', '.join(f'{c} DESC NULLS LAST' for c in FEATURES)}, sequence DESC NULLS LAST) AS n FROM features WHERE variant IS NOT NULL) WHERE n = 1)"""

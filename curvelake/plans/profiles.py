@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curvelake.functions import names as N
 from curvelake.functions import physics as P
 from curvelake.operators import curves as C
-from curvelake.plans.common import CELLS, MEANS, PMF, cell_means, in_cells, pmf, rounded
+from curvelake.plans.common import CELLS, MEANS, PMF, cell_means, exact_mean, in_cells, pmf, rounded, sql_mean
 from curvelake.session import table
 
 QUERIES: dict = {}
@@ -30,10 +30,10 @@ _KT = 0.008314462618 * 300
 
 @query(f"""
 WITH r AS (SELECT variant, metric, replica, cell, avg(F_kJ_mol) AS y FROM {CELLS} GROUP BY 1, 2, 3, 4)
-SELECT variant, metric, cell, round(avg(y), 10) AS mean, round(stddev_samp(y), 10) AS std, count(y) AS n FROM r GROUP BY 1, 2, 3""")
+SELECT variant, metric, cell, round(avg(y), 8) AS mean, round(stddev_samp(y), 8) AS std, count(y) AS n FROM r GROUP BY 1, 2, 3""")
 def q_replica_mean_std(spark, d):
     """A06."""
-    return rounded(C.replica_stats(in_cells(spark, d), ["variant", "metric"], "replica", "cell", "F_kJ_mol"), "mean", "std", places=10)
+    return rounded(C.replica_stats(in_cells(spark, d), ["variant", "metric"], "replica", "cell", "F_kJ_mol"), "mean", "std", places=8)
 
 
 @query(f"""
@@ -47,11 +47,10 @@ def q_replica_normed(spark, d):
     return rounded(made, "mean", "std", "mean_area")
 
 
-@query(f"SELECT metric, cell, round(avg(x), 6) AS x, round(avg(F_kJ_mol), 6) AS F_kJ_mol, round(avg(P), 9) AS P, count(*) AS n FROM {CELLS} GROUP BY 1, 2")
+@query(f"SELECT metric, cell, {sql_mean('x')} AS x, {sql_mean('F_kJ_mol')} AS F_kJ_mol, {sql_mean('P', '1e9')} AS P, count(*) AS n FROM {CELLS} GROUP BY 1, 2")
 def q_x_bin_mean(spark, d):
     """Rows of one cell collapsed to means."""
-    made = in_cells(spark, d).groupBy("metric", "cell").agg(F.avg("x").alias("x"), F.avg("F_kJ_mol").alias("F_kJ_mol"), F.avg("P").alias("P"), F.count("*").alias("n"))
-    return rounded(rounded(made, "x", "F_kJ_mol"), "P", places=9)
+    return in_cells(spark, d).groupBy("metric", "cell").agg(exact_mean("x").alias("x"), exact_mean("F_kJ_mol").alias("F_kJ_mol"), exact_mean("P", 1e9).alias("P"), F.count("*").alias("n"))
 
 
 @query("""WITH r AS (SELECT event_type, user_id, date_trunc('hour', ts) AS hour, avg(value) AS y FROM events GROUP BY 1, 2, 3)
@@ -103,11 +102,11 @@ def q_region_pop(spark, d):
 @query(f"""
 WITH m AS {MEANS}, b AS (SELECT *, exp(-least(greatest((F_kJ_mol - min(F_kJ_mol) OVER (PARTITION BY variant, metric)) / {_KT}, 0), 700)) AS b FROM m),
 p AS (SELECT variant, metric, cell, b / sum(b) OVER (PARTITION BY variant, metric) AS mass FROM b)
-SELECT variant, metric, cell, round(mass, 9) AS mass, round(sum(mass) OVER (PARTITION BY variant, metric ORDER BY cell), 9) AS cumulative FROM p""")
+SELECT variant, metric, cell, round(mass, 6) AS mass, round(sum(mass) OVER (PARTITION BY variant, metric ORDER BY cell), 6) AS cumulative FROM p""")
 def q_boltzmann(spark, d):
     """Mass from free energies and its running sum."""
     made = C.density(cell_means(spark, d), ["variant", "metric"], temperature=None).select("variant", "metric", "cell", "mass")
-    return rounded(C.cumulative(made, ["variant", "metric"], "cell", "mass"), "mass", "cumulative", places=9)
+    return rounded(C.cumulative(made, ["variant", "metric"], "cell", "mass"), "mass", "cumulative", places=6)
 
 
 @query(f"""
@@ -135,10 +134,10 @@ def q_bin_width(spark, d):
 
 @query(f"""
 WITH p AS {MEANS}, w AS (SELECT *, cell - lag(cell) OVER o AS h1, lead(cell) OVER o - cell AS h2, lag(F_kJ_mol) OVER o AS y0, lead(F_kJ_mol) OVER o AS y2 FROM p WINDOW o AS (PARTITION BY variant, metric ORDER BY cell))
-SELECT variant, metric, cell, round(F_kJ_mol, 10) AS F_kJ_mol, round(CASE WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN (h1::DOUBLE * h1 * y2 - h2 * h2 * y0 + (h2 * h2 - h1 * h1) * F_kJ_mol) / (h1 * h2 * (h1 + h2)) WHEN h2 IS NOT NULL THEN (y2 - F_kJ_mol) / h2 ELSE (F_kJ_mol - y0) / h1 END, 10) AS slope FROM w""")
+SELECT variant, metric, cell, F_kJ_mol, CASE WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN (h1::DOUBLE * h1 * y2 - h2 * h2 * y0 + (h2 * h2 - h1 * h1) * F_kJ_mol) / (h1 * h2 * (h1 + h2)) WHEN h2 IS NOT NULL THEN (y2 - F_kJ_mol) / h2 ELSE (F_kJ_mol - y0) / h1 END AS slope FROM w""")
 def q_derivative(spark, d):
     """W05."""
-    return rounded(C.derivative(cell_means(spark, d), ["variant", "metric"], "cell", "F_kJ_mol"), "F_kJ_mol", "slope", places=10)
+    return C.derivative(cell_means(spark, d), ["variant", "metric"], "cell", "F_kJ_mol")
 
 
 @query(f"SELECT curve_id, arg_min(x, (F_kJ_mol, x)) AS x, min(F_kJ_mol) AS F_kJ_mol FROM {PMF} GROUP BY 1")
@@ -189,21 +188,21 @@ def q_conv_time(spark, d):
 WITH m AS {MEANS}, b AS (SELECT *, exp(-least(greatest((F_kJ_mol - min(F_kJ_mol) OVER (PARTITION BY variant, metric)) / {_KT}, 0), 700)) AS b FROM m),
 p AS (SELECT variant, metric, cell, b / sum(b) OVER (PARTITION BY variant, metric) AS mass FROM b), s AS (SELECT metric, cell, sum(mass) AS p FROM p GROUP BY 1, 2),
 n AS (SELECT metric, cell, p / sum(p) OVER (PARTITION BY metric) AS p FROM s)
-SELECT metric, cell, round(p, 9) AS p, round(-{_KT} * ln(p) - min(-{_KT} * ln(p)) OVER (PARTITION BY metric), 6) AS F_kJ_mol FROM n""")
+SELECT metric, cell, round(p, 6) AS p, round(-{_KT} * ln(p) - min(-{_KT} * ln(p)) OVER (PARTITION BY metric), 6) AS F_kJ_mol FROM n""")
 def q_mixture_pmf(spark, d):
     """The curve of a mixture of all variants, equally weighted."""
     masses = C.density(cell_means(spark, d), ["variant", "metric"], temperature=None)
     mixed = C.mixture(masses, ["metric"], "cell", "mass", F.lit(1.0)).withColumn("f", P.free_energy(F.col("p"), P.kt(F.lit(300.0))))
-    return rounded(rounded(mixed.select("metric", "cell", "p", (F.col("f") - F.min("f").over(Window.partitionBy("metric"))).alias("F_kJ_mol")), "p", places=9), "F_kJ_mol")
+    return rounded(rounded(mixed.select("metric", "cell", "p", (F.col("f") - F.min("f").over(Window.partitionBy("metric"))).alias("F_kJ_mol")), "p"), "F_kJ_mol")
 
 
 @query(f"""
-WITH m AS {MEANS} SELECT metric, cell, count(*) AS n, round(avg(F_kJ_mol), 10) AS mean, round(quantile_cont(F_kJ_mol, 0.25), 10) AS q25, round(quantile_cont(F_kJ_mol, 0.75), 10) AS q75 FROM m GROUP BY 1, 2""")
+WITH m AS {MEANS} SELECT metric, cell, count(*) AS n, {sql_mean('F_kJ_mol')} AS mean, round(quantile_cont(F_kJ_mol, 0.25), 8) AS q25, round(quantile_cont(F_kJ_mol, 0.75), 8) AS q75 FROM m GROUP BY 1, 2""")
 def q_representative_pmf(spark, d):
     """Mean and quartiles of a set of curves on their grid."""
     q = F.percentile("F_kJ_mol", F.array(F.lit(0.25), F.lit(0.75)))
-    made = cell_means(spark, d).groupBy("metric", "cell").agg(F.count("*").alias("n"), F.avg("F_kJ_mol").alias("mean"), q.alias("q"))
-    return rounded(made.select("metric", "cell", "n", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75")), "mean", "q25", "q75", places=10)
+    made = cell_means(spark, d).groupBy("metric", "cell").agg(F.count("*").alias("n"), exact_mean("F_kJ_mol").alias("mean"), q.alias("q"))
+    return rounded(made.select("metric", "cell", "n", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75")), "q25", "q75", places=8)
 
 
 _DIST = f"""
@@ -285,7 +284,7 @@ def q_grid(spark, d):
 @query(f"""WITH p AS (SELECT variant, metric, cell, avg(greatest(P, 0)) AS p FROM {CELLS} WHERE P IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT metric, i AS cell FROM metric_grid, LATERAL (SELECT unnest(range(n_cells))::INT AS i)),
 k AS (SELECT variant, metric FROM p GROUP BY 1, 2 HAVING sum(p) > 0), f AS (SELECT k.variant, k.metric, g.cell, coalesce(p.p, 0) AS p FROM k JOIN g ON k.metric = g.metric LEFT JOIN p ON p.variant = k.variant AND p.metric = k.metric AND p.cell = g.cell),
 m AS (SELECT *, p / sum(p) OVER (PARTITION BY variant, metric) AS mass, count(*) OVER (PARTITION BY variant, metric) AS n FROM f)
-SELECT variant, metric || '|x=' || cell AS "column", round(mass, 9) AS mass, round(sqrt(mass) / sqrt(n), 9) AS shape FROM m""")
+SELECT variant, metric || '|x=' || cell AS "column", round(mass, 7) AS mass, round(sqrt(mass) / sqrt(n), 7) AS shape FROM m""")
 def q_design_matrix(spark, d):
     """Blocks of mass per metric that sum to 1, zero where missing, and their balanced square roots."""
     p = in_cells(spark, d).where("P IS NOT NULL").groupBy("variant", "metric", "cell").agg(F.avg(F.greatest("P", F.lit(0.0))).alias("p"))
@@ -294,7 +293,7 @@ def q_design_matrix(spark, d):
     w = Window.partitionBy("variant", "metric")
     full = keys.join(cells, "metric").join(p, ["variant", "metric", "cell"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     mass = full.withColumn("mass", F.col("p") / F.sum("p").over(w)).withColumn("n", F.count("*").over(w))
-    return rounded(mass.select("variant", F.concat("metric", F.lit("|x="), F.col("cell").cast("string")).alias("column"), "mass", (F.sqrt("mass") / F.sqrt("n")).alias("shape")), "mass", "shape", places=9)
+    return rounded(mass.select("variant", F.concat("metric", F.lit("|x="), F.col("cell").cast("string")).alias("column"), "mass", (F.sqrt("mass") / F.sqrt("n")).alias("shape")), "mass", "shape", places=7)
 
 
 @query("""SELECT metric, regexp_extract(metric, '^(phi|psi)_res([0-9]+)$', 1) <> '' AS is_torsion, CASE WHEN regexp_extract(metric, '^(phi|psi)_res([0-9]+)$', 1) <> '' THEN CASE WHEN metric LIKE 'phi%' THEN 'φ ' ELSE 'ψ ' END || regexp_extract(metric, '[0-9]+') ELSE metric END AS label,

@@ -42,13 +42,13 @@ def q_x_ranges(spark, d):
 
 
 @query(f"""WITH r AS (SELECT variant, metric, replica, cell, avg(F_kJ_mol) AS y FROM {CELLS} GROUP BY 1, 2, 3, 4), s AS (SELECT variant, metric, cell, avg(y) AS f, stddev_samp(y) AS std, count(y) AS n FROM r GROUP BY 1, 2, 3)
-SELECT variant, metric, cell, round(f - min(f) OVER w, 10) AS f, round(f - min(f) OVER w - coalesce(std, 0), 10) AS low, round(f - min(f) OVER w + coalesce(std, 0), 10) AS high, n FROM s WINDOW w AS (PARTITION BY variant, metric)""")
+SELECT variant, metric, cell, round(f - min(f) OVER w, 8) AS f, round(f - min(f) OVER w - coalesce(std, 0), 8) AS low, round(f - min(f) OVER w + coalesce(std, 0), 8) AS high, n FROM s WINDOW w AS (PARTITION BY variant, metric)""")
 def q_curve_report(spark, d):
     """Each variant's mean curve from its minimum, with a band of one standard deviation over replicas."""
     s = C.replica_stats(in_cells(spark, d), ["variant", "metric"], "replica", "cell", "F_kJ_mol")
     f = F.col("mean") - F.min("mean").over(Window.partitionBy("variant", "metric"))
     band = F.coalesce("std", F.lit(0.0))
-    return rounded(s.select("variant", "metric", "cell", f.alias("f"), (f - band).alias("low"), (f + band).alias("high"), "n"), "f", "low", "high", places=10)
+    return rounded(s.select("variant", "metric", "cell", f.alias("f"), (f - band).alias("low"), (f + band).alias("high"), "n"), "f", "low", "high", places=8)
 
 
 @query("""WITH m AS (SELECT event_type, date_trunc('day', ts) AS day, avg(value) AS y, count(*) AS n FROM events GROUP BY 1, 2)
@@ -173,7 +173,7 @@ def q_dendrogram(spark, d):
 
 @query(f"""WITH f AS (SELECT variant, ntile(8) OVER (ORDER BY rg__mean, variant) - 1 AS bin FROM {FEATURE_ROWS} WHERE isfinite(rg__mean)), m AS {MEANS},
 s AS (SELECT bin, cell, avg(F_kJ_mol) AS f FROM m JOIN f ON m.variant = f.variant WHERE metric = 'rg' GROUP BY 1, 2), q AS (SELECT bin, cell, f - min(f) OVER (PARTITION BY bin) AS f FROM s)
-SELECT bin, cell, round(f, 10) AS f, round(f - lag(f) OVER (PARTITION BY cell ORDER BY bin), 10) AS delta FROM q""")
+SELECT bin, cell, round(f, 8) AS f, round(f - lag(f) OVER (PARTITION BY cell ORDER BY bin), 8) AS delta FROM q""")
 def q_trajectory(spark, d):
     """Mean curves of equal-count bins along a coordinate and their change from bin to bin."""
     from curvelake.operators import series as S
@@ -182,7 +182,7 @@ def q_trajectory(spark, d):
     bins = S.equal_count_bins(rows, [], ["rg__mean", "variant"], 8).select("variant", F.col("bin").cast("bigint").alias("bin"))
     s = cell_means(spark, d).where("metric = 'rg'").join(bins, "variant").groupBy("bin", "cell").agg(F.avg("F_kJ_mol").alias("f"))
     q = s.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("bin")))
-    return rounded(q.withColumn("delta", F.col("f") - F.lag("f").over(Window.partitionBy("cell").orderBy("bin"))), "f", "delta", places=10)
+    return rounded(q.withColumn("delta", F.col("f") - F.lag("f").over(Window.partitionBy("cell").orderBy("bin"))), "f", "delta", places=8)
 
 
 @query(f"""WITH c AS (SELECT variant, metric, temperature_k, x, F_kJ_mol FROM {PMF} WHERE metric = 'rg'), t AS (SELECT variant, coalesce(median(CASE WHEN temperature_k > 0 THEN temperature_k END), 300) AS t FROM c GROUP BY 1)

@@ -212,11 +212,11 @@ def q_reference_first(spark, d):
 
 
 @query("""SELECT variant, min(CASE WHEN metric = 'rg' THEN mean END) AS rg__mean, min(CASE WHEN metric = 'rg' THEN n END) AS rg__n, min(CASE WHEN metric = 'e2e' THEN mean END) AS e2e__mean, min(CASE WHEN metric = 'e2e' THEN n END) AS e2e__n
-FROM (SELECT variant, metric, round(avg(CASE WHEN isfinite(F_kJ_mol) THEN F_kJ_mol END), 10) AS mean, count(*) AS n FROM pmf GROUP BY 1, 2) GROUP BY variant""")
+FROM (SELECT variant, metric, round(avg(CASE WHEN isfinite(F_kJ_mol) THEN F_kJ_mol END), 8) AS mean, count(*) AS n FROM pmf GROUP BY 1, 2) GROUP BY variant""")
 def q_summary_pivot(spark, d):
     """R01, S16."""
     finite = F.when(~F.isnan("F_kJ_mol") & (F.abs("F_kJ_mol") < float("inf")), F.col("F_kJ_mol"))
-    long = rounded(table(spark, d, "pmf").groupBy("variant", "metric").agg(F.avg(finite).alias("mean"), F.count("*").alias("n")), "mean", places=10)
+    long = rounded(table(spark, d, "pmf").groupBy("variant", "metric").agg(F.avg(finite).alias("mean"), F.count("*").alias("n")), "mean", places=8)
     return T.pivot_stats(long, "variant", "metric", ["mean", "n"], ["rg", "e2e"])
 
 
@@ -234,12 +234,12 @@ def q_category_codes(spark, d):
 
 
 @query(f"""WITH v AS (SELECT variant, "column", value FROM {FEATURES_TALL} WHERE "column" IN ('rg__mean', 'e2e__mean', 'sasa__mean', 'rmsd__mean')), m AS (SELECT split_part("column", '__', 1) AS family, variant, avg(value) AS v FROM v WHERE value IS NOT NULL GROUP BY 1, 2)
-SELECT family, variant, round(v, 10) AS value, round(coalesce((v - avg(v) OVER (PARTITION BY family)) / stddev_samp(v) OVER (PARTITION BY family), 0), 6) AS z FROM m""")
+SELECT family, variant, round(v, 8) AS value, round(coalesce((v - avg(v) OVER (PARTITION BY family)) / stddev_samp(v) OVER (PARTITION BY family), 0), 6) AS z FROM m""")
 def q_heatmap(spark, d):
     """One statistic across metrics, z-scored per column."""
     v = A.tall(features(spark, d), ["rg__mean", "e2e__mean", "sasa__mean", "rmsd__mean"], ["variant"]).where("value IS NOT NULL")
     m = v.groupBy(F.split_part("column", F.lit("__"), F.lit(1)).alias("family"), "variant").agg(F.avg("value").alias("value"))
-    return rounded(rounded(X.standardise(m, ["family"]), "z"), "value", places=10)
+    return rounded(rounded(X.standardise(m, ["family"]), "z"), "value", places=8)
 
 
 # Transforms and linear algebra

@@ -26,10 +26,10 @@ def query(sql: str | None = None):
 
 @query(f"""
 SELECT "column", count(value) AS "count", round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min,
-  round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS max
+  round(quantile_cont(value, 0.25), 8) AS p25, round(quantile_cont(value, 0.5), 8) AS p50, round(quantile_cont(value, 0.75), 8) AS p75, max(value) AS max
 FROM {FEATURES_TALL} GROUP BY "column" """)
 def q_describe(spark, d):
-    return rounded(S.describe(features(spark, d), FEATURES), "mean", "std", "p25", "p50", "p75")
+    return rounded(rounded(S.describe(features(spark, d), FEATURES), "mean", "std"), "p25", "p50", "p75", places=8)
 
 
 @query("""
@@ -238,16 +238,16 @@ def q_outlier_score(spark, d):
     return rounded(scored.join(F.broadcast(cut)).select("variant", "score", (F.col("score") > F.col("a")).alias("over_95"), (F.col("score") > F.col("b")).alias("over_99")), "score")
 
 
-@query(f"""SELECT "column", round(quantile_cont(value, 0.02), 6) AS low, round(quantile_cont(value, 0.98), 6) AS high FROM {FEATURES_TALL} GROUP BY "column" """)
+@query(f"""SELECT "column", round(quantile_cont(value, 0.02), 8) AS low, round(quantile_cont(value, 0.98), 8) AS high FROM {FEATURES_TALL} GROUP BY "column" """)
 def q_percentile_pair(spark, d):
     q = F.percentile("value", F.array(F.lit(0.02), F.lit(0.98)))
-    return rounded(S.tall(features(spark, d), FEATURES).groupBy("column").agg(q.alias("q")).select("column", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), "low", "high")
+    return rounded(S.tall(features(spark, d), FEATURES).groupBy("column").agg(q.alias("q")).select("column", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), "low", "high", places=8)
 
 
-@query(f"""SELECT variant, round(avg({FIN('rmsd__mean')}), 10) AS mean, round(stddev_samp({FIN('rmsd__mean')}), 10) AS std, count({FIN('rmsd__mean')}) AS n FROM features GROUP BY variant""")
+@query(f"""SELECT variant, round(avg({FIN('rmsd__mean')}), 8) AS mean, round(stddev_samp({FIN('rmsd__mean')}), 8) AS std, count({FIN('rmsd__mean')}) AS n FROM features GROUP BY variant""")
 def q_rmsf_stats(spark, d):
     """A09."""
     from curvelake.operators.grid import finite
 
     v = finite(F.col("rmsd__mean"))
-    return rounded(features(spark, d).groupBy("variant").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n")), "mean", "std", places=10)
+    return rounded(features(spark, d).groupBy("variant").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n")), "mean", "std", places=8)
