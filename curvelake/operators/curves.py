@@ -174,3 +174,27 @@ def distances(masses: DataFrame, keys: Sequence[str], item: str, x: str, mass: s
         a.join(b, [*keys, x]).where("a < b").groupBy(*keys, "a", "b")
         .agg(F.sqrt(F.greatest(F.sum(term), F.lit(0.0))).alias("js"), F.sqrt(F.sum((F.sqrt("_p") - F.sqrt("_q")) ** 2) / 2).alias("hellinger"), F.sum(F.abs(F.col("_cp") - F.col("_cq"))).alias("w1"))
     )
+
+
+def interpolated_density(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, places: int = 4) -> DataFrame:
+    """keys, item, x, density: each item's curve on the union of its key's rounded x, 0 outside it, with an integral of 1.
+
+    Items with fewer than two points are left out. x is rounded half up; equal x are averaged first.
+    """
+    points = df.withColumn(x, F.floor(F.col(x) * 10**places + 0.5) / 10**places).groupBy(*keys, item, x).agg(F.avg(F.greatest(F.col(y), F.lit(0.0))).alias("_v"))
+    several = points.groupBy(*keys, item).agg(F.count("*").alias("_n")).where("_n >= 2").select(*keys, item)
+    asked = several.join(points.select(*keys, x).distinct(), list(keys))
+    made = interpolate(points.withColumnRenamed("_v", y), asked, [*keys, item], x, y, "zero")
+    w = Window.partitionBy(*keys, item)
+    part = (F.col(x) - F.lag(x).over(w.orderBy(x))) * (F.col(y) + F.lag(y).over(w.orderBy(x))) / 2
+    area = made.withColumn("_a", part).withColumn("_t", F.sum("_a").over(w))
+    return area.select(*keys, item, x, F.when(F.col("_t") > 0, F.col(y) / F.col("_t")).otherwise(F.col(y)).alias("density"))
+
+
+def replica_mass(df: DataFrame, keys: Sequence[str], replica: str, x: str, y: str, step: str) -> DataFrame:
+    """keys, x, mass: the mean over replicas with at least three points of y at x, times step, plus 1e-12, over the sum."""
+    enough = df.groupBy(*keys, replica).agg(F.countDistinct(x).alias("_n")).where("_n >= 3").select(*keys, replica)
+    kept = df.join(enough, [*keys, replica], "left_semi")
+    inner = kept.groupBy(*keys, replica, x).agg(F.avg(F.greatest(F.col(y), F.lit(0.0))).alias("_y"), F.first(step).alias("_s"))
+    mean = inner.groupBy(*keys, x).agg((F.avg("_y") * F.first("_s") + 1e-12).alias("_m"))
+    return mean.select(*keys, x, (F.col("_m") / F.sum("_m").over(Window.partitionBy(*keys))).alias("mass"))

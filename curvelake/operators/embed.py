@@ -269,6 +269,47 @@ def isomap(d: np.ndarray, k: int = 12, dims: int = 2) -> np.ndarray:
     return classical_scaling(np.where(np.isfinite(g), g, 2 * top), dims)
 
 
+def fuzzy_graph(d: np.ndarray, k: int = 15) -> np.ndarray:
+    """Symmetric membership strengths of k neighbours: 1 at the nearest, summing to log2 k by each row's own width."""
+    n = len(d)
+    k = min(k, n - 1)
+    near = np.argsort(d + np.diag(np.full(n, -1.0)), 1, kind="stable")[:, 1 : k + 1]
+    dist = np.take_along_axis(d, near, 1)
+    rho = dist[:, :1]
+    lo, hi = np.zeros((n, 1)), np.full((n, 1), max(dist.max(), 1e-12) * 8)
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        high = np.exp(-(dist - rho) / np.maximum(mid, 1e-12)).sum(1, keepdims=True) > np.log2(k + 1e-9)
+        hi, lo = np.where(high, mid, hi), np.where(high, lo, mid)
+    w = np.zeros((n, n))
+    w[np.arange(n)[:, None], near] = np.exp(-(dist - rho) / np.maximum((lo + hi) / 2, 1e-12))
+    return w + w.T - w * w.T
+
+
+def neighbour_map(d: np.ndarray, k: int = 15, dims: int = 2, min_dist: float = 0.1, rounds: int = 200) -> np.ndarray:
+    """UMAP-like: a layout whose membership strengths 1 / (1 + a r^2b) come near those of the fuzzy graph.
+
+    Start from the diffusion map, then full gradient steps of the cross entropy, so there is no random draw.
+    """
+    n = len(d)
+    w = fuzzy_graph(d, k)
+    # a and b fit the curve that is 1 up to min_dist and falls off exponentially behind it.
+    r = np.linspace(0.01, 3, 300)
+    want = np.where(r < min_dist, 1.0, np.exp(-(r - min_dist)))
+    a, b = min(((a, b) for a in np.linspace(0.2, 3, 57) for b in np.linspace(0.4, 2, 33)), key=lambda ab: ((1 / (1 + ab[0] * r ** (2 * ab[1])) - want) ** 2).sum())
+    y = diffusion_map((w + np.eye(n)) / (w + np.eye(n)).sum(1, keepdims=True), dims)[0]
+    y = 10 * (y - y.mean(0)) / max(np.abs(y).max(), 1e-12)
+    for step in range(rounds):
+        diff = y[:, None, :] - y[None, :, :]
+        r2 = np.maximum((diff**2).sum(2), 1e-6)
+        pull = w * a * b * r2 ** (b - 1) / (1 + a * r2**b)
+        push = (1 - w) * b / ((0.001 + r2) * (1 + a * r2**b)) * min(1.0, 5.0 * k / n)
+        np.fill_diagonal(push, 0)
+        move = ((push - pull)[:, :, None] * diff).sum(1)
+        y = y + (1 - step / rounds) * np.clip(move, -4, 4) * 0.1
+    return y
+
+
 def neighbour_graph(d: np.ndarray, k: int = 12) -> np.ndarray:
     """Distances of the symmetric graph of k neighbours, infinite without an edge."""
     n = len(d)

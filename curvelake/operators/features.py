@@ -21,32 +21,92 @@ def standardise(tall: DataFrame, by: Sequence[str], value: str = "value", ddof:
     return tall.withColumn("z", F.when(v.isNotNull(), F.when(F.coalesce(s, F.lit(0.0)) > 0, (v - m) / s).otherwise(0.0)))
 
 
+# Negative values count as 0 before a logarithm or root, as noise around 0 mustn't turn into gaps.
 RULES = {
     "zscore": lambda v: v,
-    "log1p_zscore": lambda v: F.when(v > -1, F.log1p(v)),
-    "sqrt_zscore": lambda v: F.when(v >= 0, F.sqrt(v)),
-    "logit_zscore": lambda v: F.when((v > 0) & (v < 1), F.ln(v / (1 - v))),
+    "log1p_zscore": lambda v: F.log1p(F.greatest(v, F.lit(0.0))),
+    "sqrt_zscore": lambda v: F.sqrt(F.greatest(v, F.lit(0.0))),
 }
 
 
 def transform(tall: DataFrame, rules: dict[str, str], column: str = "column", scope: str | None = None) -> DataFrame:
-    """tall (column, value) with z by each column's rule (zscore where none is named; identity leaves the value).
+    """tall (column, value) with z by each column's rule; columns without a known rule keep their value.
 
-    scope: a further column inside whose groups is scaled; rows without a group keep their value.
+    scope: a further column inside whose groups is scaled; rows without a group keep their value. A column the table
+    lacks counts as none.
     """
+    if scope is not None and scope not in tall.columns:
+        scope = None
     v = finite(F.col("value"))
+    known = {n: r for n, r in rules.items() if r in RULES}
     prepared = v
-    for name, rule in rules.items():
-        if rule in RULES:
-            prepared = F.when(F.col(column) == name, RULES[rule](v)).otherwise(prepared)
+    for name, rule in known.items():
+        prepared = F.when(F.col(column) == name, RULES[rule](F.when(v.isNotNull(), v))).otherwise(prepared)
+    prepared = F.when(v.isNotNull(), prepared)  # greatest() would make a missing value 0
     made = standardise(tall.withColumn("_p", prepared), [column, *([scope] if scope else [])], "_p")
-    same = [n for n, r in rules.items() if r == "identity"]
-    out = F.when(F.col(column).isin(*same), v).otherwise(F.col("z")) if same else F.col("z")
+    out = F.when(F.col(column).isin(*known), F.col("z")).otherwise(v) if known else v
     if scope:
         out = F.when(F.col(scope).isNull(), v).otherwise(out)
     return made.withColumn("z", out).drop("_p")
 
 
+def viable(df: DataFrame, columns: Sequence[str], least: int = 3, most_missing: float = 1.0) -> list[str]:
+    """Columns with at least `least` finite values (2 where the table has fewer rows), variance, and at most this share missing."""
+    if not columns:
+        return []
+    c = {x: finite(F.col(f"`{x}`").cast("double")) for x in columns}
+    row = df.agg(F.count("*").alias("rows"), *[f(v).alias(f"{n}{i}") for i, v in enumerate(c.values()) for n, f in (("n", F.count), ("v", F.var_samp))]).first()
+    need = least if row["rows"] >= least else 2
+    return [x for i, x in enumerate(columns) if row[f"n{i}"] >= need and (row[f"v{i}"] or 0) > 0 and row[f"n{i}"] >= (1 - most_missing) * row["rows"]]
+
+
+def design(df: DataFrame, columns: Sequence[str], least: int = 3) -> tuple[DataFrame, list[str]]:
+    """(df with its viable columns median-imputed, those columns); rows with fewer than two values (one for one column) are left out."""
+    kept = viable(df, columns, least)
+    if not kept:
+        return df.limit(0), []
+    filled = sum((finite(F.col(f"`{c}`").cast("double")).isNotNull().cast("int") for c in kept), F.lit(0))
+    return impute(df.where(filled >= min(2, len(kept))), kept), kept
+
+
+def balance_torsions(df: DataFrame, columns: Sequence[str], how: str = "balance") -> tuple[DataFrame, list[str]]:
+    """Torsion columns left out, or scaled so that all torsions together weigh as the other columns do."""
+    import re
+
+    concept = lambda c: m[0].lower() if (m := re.match(r"(?i)(phi|psi)[_-]?(?:res)?[a-z]{0,6}\d+", c)) else None
+    torsions = [c for c in columns if concept(c)]
+    rest = [c for c in columns if not concept(c)]
+    if how == "exclude" or not torsions:
+        return df, rest if how == "exclude" else list(columns)
+    factor = (max(len(rest), 1) / len({concept(c) for c in torsions})) ** 0.5
+    return df.withColumns({c: F.col(f"`{c}`") * factor for c in torsions}), list(columns)
+
+
+def tab_input(df: DataFrame, preset: str, rules: dict[str, str] | None = None, observable: str = "metric", unit: str = "coordinate_units", flags: Sequence[str] = ()) -> dict:
+    """The input of an embedding from long rows: the preset's present features, rows whose flags hold, features that may be
+    mixed, transformed. Returns features, missing, excluded, warnings, rows (with row_id, the untouched columns and one
+    z_<feature> each)."""
+    from curvelake.functions import names as N
+
+    present, missing = N.preset(preset, df.columns)
+    kept = flags_hold(df, flags)
+    one = kept.agg(*[F.countDistinct(c).alias(c) for c in (observable, unit) if c in df.columns]).first().asDict() if {observable, unit} & set(df.columns) else {}
+    allowed = present if preset == "pmf_annotations" else N.for_embedding(present, one.get(observable, 2), ["u"] * min(one.get(unit, 0), 1) + ["v"] * (one.get(unit, 0) > 1))
+    row_id = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    rows = kept.withColumn("row_id", row_id)
+    rate = rows.agg(F.count("*").alias("n"), *[F.count(finite(F.col(f"`{c}`").cast("double"))).alias(c) for c in allowed]).first().asDict() if allowed else {"n": 0}
+    warnings = [f"{c}: more than half missing" for c in allowed if rate["n"] and rate[c] < 0.5 * rate["n"]] + [f"flag {f} is not in the table" for f in flags if f not in df.columns]
+    for c in allowed:
+        v = finite(F.col(f"`{c}`").cast("double"))
+        rule = (rules or {}).get(c)
+        if rule in RULES:
+            p = F.when(v.isNotNull(), RULES[rule](v))
+            stats = rows.agg(F.avg(p).alias("m"), F.stddev_samp(p).alias("s")).first()
+            v = F.when(p.isNotNull(), (p - (stats["m"] or 0.0)) / stats["s"] if stats["s"] else F.lit(0.0))
+        rows = rows.withColumn(f"z_{c}", v)
+    return {"features": allowed, "missing": missing, "excluded": [c for c in present if c not in allowed], "warnings": warnings, "rows": rows}
+
+
 def flags_hold(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """Rows whose flags are all true; null is false; flags the table lacks are passed over."""
     return df.where(F.forall(F.array(F.lit(True), *[F.coalesce(F.col(f), F.lit(False)) for f in flags if f in df.columns]), lambda f: f))

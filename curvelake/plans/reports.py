@@ -208,11 +208,102 @@ SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value
 def q_stream_windows(spark, d):
     """Extension: hourly windows of a file stream, run to its end; windows the watermark has closed."""
     base = os.path.join(shared_dir(spark), f"curvelake-stream-{uuid.uuid4().hex}")
-    schema = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema
     events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    assert schema["ts"]
     made = windows.tumbling(events, "ts", "1 hour", "1 hour", ["event_type"], "value")
     run = made.writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     out = spark.read.parquet(base + "/out")
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean", "low", "high"), "mean")
+
+
+@query(f"""WITH p AS (SELECT metric, variant, floor(x * 10000 + 0.5) / 10000 AS x, avg(greatest(P, 0)) AS v FROM {PMF} WHERE P IS NOT NULL AND metric IN ('rg', 'e2e') AND variant LIKE 'ref_%' GROUP BY 1, 2, 3),
+k AS (SELECT metric, variant FROM p GROUP BY 1, 2 HAVING count(*) >= 2), g AS (SELECT DISTINCT metric, x FROM p), a AS (SELECT k.metric, k.variant, g.x FROM k JOIN g ON k.metric = g.metric),
+l AS (SELECT a.*, p.x AS lx, p.v AS lv FROM a ASOF LEFT JOIN p ON a.metric = p.metric AND a.variant = p.variant AND a.x >= p.x), r AS (SELECT l.*, p.x AS rx, p.v AS rv FROM l ASOF LEFT JOIN p ON l.metric = p.metric AND l.variant = p.variant AND l.x <= p.x),
+i AS (SELECT metric, variant, x, CASE WHEN lx = rx THEN lv WHEN lx IS NULL OR rx IS NULL THEN 0 ELSE lv + (x - lx) / (rx - lx) * (rv - lv) END AS y FROM r),
+t AS (SELECT *, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS part FROM i WINDOW w AS (PARTITION BY metric, variant ORDER BY x)), s AS (SELECT *, sum(part) OVER (PARTITION BY metric, variant) AS area FROM t)
+SELECT metric, variant, x, round(CASE WHEN area > 0 THEN y / area ELSE y END, 7) AS density FROM s""")
+def q_pmf_matrix(spark, d):
+    """Densities of the reference variants on a shared grid."""
+    rows = pmf(spark, d).where("P IS NOT NULL AND metric IN ('rg', 'e2e') AND startswith(variant, 'ref_')")
+    return rounded(C.interpolated_density(rows, ["metric"], "variant", "x", "P"), "density", places=7)
+
+
+@query(f"""WITH e AS (SELECT variant, metric, replica FROM {CELLS} WHERE P IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT cell) >= 3),
+r AS (SELECT c.variant, c.metric, c.replica, c.cell, avg(greatest(P, 0)) AS y FROM {CELLS} c JOIN e ON c.variant = e.variant AND c.metric = e.metric AND c.replica = e.replica WHERE P IS NOT NULL GROUP BY 1, 2, 3, 4),
+m AS (SELECT r.variant, r.metric, r.cell, avg(y) * any_value(g.x_step) + 1e-12 AS m FROM r JOIN metric_grid g ON r.metric = g.metric GROUP BY 1, 2, 3)
+SELECT variant, metric, cell, round(m / sum(m) OVER (PARTITION BY variant, metric), 7) AS mass FROM m""")
+def q_mass_blocks(spark, d):
+    """Masses averaged over replicas, each block with a sum of 1."""
+    rows = in_cells(spark, d).where("P IS NOT NULL").join(table(spark, d, "metric_grid").select("metric", "x_step"), "metric")
+    return rounded(C.replica_mass(rows, ["variant", "metric"], "replica", "cell", "P", "x_step"), "mass", places=7)
+
+
+@query()
+def q_correlation_report(spark, d):
+    """Correlations with p and q values, redundant pairs marked, and their places in the chained order."""
+    from curvelake.plans.statistics import _p_values
+
+    made = A.benjamini_hochberg(_p_values(spark, d), "p", ["a", "b"]).withColumn("redundant", F.abs("r") >= 0.8)
+    rows = made.select("a", "b", "r").collect()  # a row per pair of columns
+    m = np.eye(len(FEATURES))
+    for x in rows:
+        i, j = FEATURES.index(x["a"]), FEATURES.index(x["b"])
+        m[i, j] = m[j, i] = x["r"]
+    order = {c: i for i, c in enumerate(X.chained_order(FEATURES, m))}
+    place = F.create_map(*[F.lit(v) for kv in order.items() for v in kv])
+    return rounded(made.select("a", "b", "n", "r", "p", "q", "redundant", F.element_at(place, F.col("a")).alias("place_a"), F.element_at(place, F.col("b")).alias("place_b")), "r", "p", "q")
+
+
+@query()
+def q_series_report(spark, d):
+    """Per series its length, mean, correlation time, effective size and stride."""
+    from curvelake.operators import series as S
+
+    keys = ["event_type", "user_id"]
+    events = table(spark, d, "events")
+    tau = S.correlation_time(S.autocorrelation(events, keys, ["ts", "event_id"], "value", 50), keys)
+    mean = events.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return rounded(mean.join(tau, keys, "left").select(*keys, "n", "mean", "std", "tau", "ess", "stride"), "mean", "std", "tau", "ess")
+
+
+@query(f"""WITH s AS (SELECT variant FROM {FEATURE_ROWS} WHERE kd_mean BETWEEN -0.5 AND 0.5 AND rg__mean BETWEEN 0.8 AND 1.4), m AS {MEANS}, j AS (SELECT m.* FROM m JOIN s ON m.variant = s.variant),
+b AS (SELECT *, exp(-least(greatest((F_kJ_mol - min(F_kJ_mol) OVER (PARTITION BY variant, metric)) / {0.008314462618 * 300}, 0), 700)) AS b FROM j), p AS (SELECT variant, metric, cell, b / sum(b) OVER (PARTITION BY variant, metric) AS mass FROM b),
+x AS (SELECT metric, cell, sum(mass) AS p FROM p GROUP BY 1, 2) SELECT metric, cell, round(p / sum(p) OVER (PARTITION BY metric), 6) AS p FROM x""")
+def q_region_pmf(spark, d):
+    """The mixture curve of the variants inside a region of a map."""
+    inside = E.in_box(feature_rows(spark, d), "kd_mean", "rg__mean", (-0.5, 0.8), (0.5, 1.4)).select("variant")
+    masses = C.density(cell_means(spark, d).join(inside, "variant", "left_semi"), ["variant", "metric"], temperature=None)
+    return rounded(C.mixture(masses, ["metric"], "cell", "mass", F.lit(1.0)), "p")
+
+
+@query()
+def q_embedding_report(spark, d):
+    """Viable features, torsions balanced, imputed and projected, with the outlier score of each row."""
+    ready, columns = X.design(feature_rows(spark, d), FEATURES)
+    balanced, columns = X.balance_torsions(ready, columns)
+    p = X.Pca(balanced, columns)
+    return rounded(p.scores(balanced, 3, ["variant"]), "pc1", "pc2", "pc3")
+
+
+@query()
+def q_sequence_clusters(spark, d):
+    """Sequence features clustered by k-means, with each cluster's size and class shift."""
+    from curvelake.operators import sequence as Q
+    from curvelake.plans.shapes import _sequences
+
+    s = Q.sequence_features(_sequences(spark, d).where("length(s) > 0"), ["variant", "s"], "s")
+    vec = s.select("variant", "s", F.array(*[F.col(f"frac_{k}") for k in N.CLASSES], "net_charge").alias("vec"))
+    label = E.k_means(vec, "variant", "vec", 4)
+    joined = vec.join(label, "variant")
+    size = joined.groupBy("cluster").agg(F.count("*").alias("size"))
+    return rounded(Q.class_shift(joined, "cluster", "s").join(size, "cluster"), "delta_pp")
+
+
+@query(f"""WITH r AS (SELECT variant, {', '.join(f'{FIN(c)} AS v{i}' for i, c in enumerate(('rg__effective_support_frac', 'rg__global_basin_escape_barrier_kt', 'rg__local_ruggedness_kt')))} FROM features)
+SELECT count(*) AS n, round(max((v0 - (SELECT avg(v0) FROM r)) / (SELECT stddev_samp(v0) FROM r)), 6) AS top FROM r""")
+def q_tab_input(spark, d):
+    """The input of an embedding from a preset, transformed."""
+    f = features(spark, d)
+    long = f.select("variant", F.col("rg__effective_support_frac").alias("effective_support_frac"), F.col("rg__global_basin_escape_barrier_kt").alias("global_basin_escape_barrier_kT"), F.col("rg__local_ruggedness_kt").alias("local_ruggedness_kT"))
+    made = X.tab_input(long, "pmf_intrinsic", {"effective_support_frac": "zscore", "global_basin_escape_barrier_kT": "log1p_zscore"})
+    return rounded(made["rows"].agg(F.count("*").alias("n"), F.max("z_effective_support_frac").alias("top")), "top")

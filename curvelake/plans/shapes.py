@@ -251,7 +251,7 @@ def q_zscore(spark, d):
     return rounded(X.standardise(A.tall(features(spark, d), FEATURES, ["variant"]), ["column"]), "z")
 
 
-@query(f"""WITH t AS (SELECT metric, variant, F_kJ_mol AS value, CASE WHEN F_kJ_mol > -1 THEN ln(1 + F_kJ_mol) END AS p FROM {PMF})
+@query(f"""WITH t AS (SELECT metric, variant, F_kJ_mol AS value, ln(1 + greatest(F_kJ_mol, 0)) AS p FROM {PMF})
 SELECT metric, count(*) AS n, count(z) AS n_z, round(max(z), 6) AS top FROM (SELECT metric, CASE WHEN p IS NOT NULL THEN (p - avg(p) OVER (PARTITION BY metric)) / stddev_samp(p) OVER (PARTITION BY metric) END AS z FROM t) GROUP BY metric""")
 def q_zscore_rules(spark, d):
     """log1p z-score inside each metric."""
@@ -500,6 +500,13 @@ def q_isomap(spark, d):
     return _frame(spark, ids, E.isomap(E.distances(x, x)), "iso")
 
 
+@query()
+def q_neighbour_map(spark, d):
+    """A UMAP-like layout."""
+    ids, x = _group_means(spark, d)
+    return _frame(spark, ids, E.neighbour_map(E.distances(x, x), 10), "u")
+
+
 @query()
 def q_linkage(spark, d):
     """Average linkage cut where the silhouette is best."""

@@ -15,7 +15,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", name: str = "curvela
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
-        .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.shuffle.partitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")

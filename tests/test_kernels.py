@@ -47,6 +47,14 @@ def test_maps(blobs):
     assert E.neighbour_overlap(blobs, blobs * 2 + 1, 5) == 1.0
 
 
+def test_neighbour_map_keeps_groups(blobs):
+    d = E.distances(blobs, blobs)
+    w = E.fuzzy_graph(d, 8)
+    assert np.allclose(w, w.T) and w.max() <= 1 + 1e-12
+    y = E.neighbour_map(d, 8)
+    assert E.silhouette(E.distances(y, y), np.repeat([0, 1, 2], 20)) > 0.6
+
+
 def test_grids():
     z = np.zeros((8, 8))
     z[0, 0] = 1
@@ -94,3 +102,24 @@ def test_choices_and_sets():
     u = ["a", "b", "c"]
     assert [T.change_selection(["a"], ["b"], h, u) for h in ("set", "add", "remove", "toggle", "invert", "clear")] == [["b"], ["a", "b"], ["a"], ["a", "b"], ["b", "c"], []]
     assert [T.condensed_index(i, j, 4) for i in range(4) for j in range(i + 1, 4)] == list(range(6))
+
+
+def test_transforms_and_designs(spark):
+    rows = [("a", "g", v) for v in (1.0, 3.0, -2.0, None, float("nan"))] + [("b", None, 5.0), ("c", "g", 7.0)]
+    df = spark.createDataFrame(rows, "column string, grp string, value double")
+    z = {(r["column"], r["value"] if r["value"] == r["value"] else "nan"): r["z"] for r in X.transform(df, {"a": "log1p_zscore", "c": "zscore", "b": "none"}, scope="grp").collect()}
+    p = np.log1p([1.0, 3.0, 0.0])
+    assert np.allclose([z["a", 1.0], z["a", 3.0], z["a", -2.0]], (p - p.mean()) / p.std(ddof=1)) and z["a", None] is None and z["a", "nan"] is None and z["b", 5.0] == 5.0 and z["c", 7.0] == 0.0
+    wide = spark.createDataFrame([(1.0, 2.0, 5.0, None), (2.0, None, 5.0, None), (4.0, 6.0, 5.0, 1.0), (None, None, 5.0, None)], "phi_res1 double, b double, flat double, few double")
+    ready, kept = X.design(wide, ["phi_res1", "b", "flat", "few"])
+    assert kept == ["phi_res1"] and ready.count() == 3
+    assert X.viable(wide, ["b"], 2) == ["b"] and X.viable(wide, ["b"], 2, 0.1) == [] and X.viable(wide, []) == []
+    scaled, names = X.balance_torsions(wide, ["phi_res1", "b", "flat"])
+    assert abs(scaled.first()["phi_res1"] - 2**0.5) < 1e-12 and X.balance_torsions(wide, ["phi_res1", "b"], "exclude")[1] == ["b"]
+
+
+def test_tab_input(spark):
+    df = spark.createDataFrame([("rg", "nm", 0.1, 1.0, True), ("rg", "nm", 0.3, None, None), ("rg", "nm", 0.4, 3.0, True)], "metric string, coordinate_units string, effective_support_frac double, x_eqpop double, pmf_has_valid_probability boolean")
+    made = X.tab_input(df, "pmf_intrinsic", {"effective_support_frac": "zscore"}, flags=["pmf_has_valid_probability", "none"])
+    assert made["features"] == ["effective_support_frac"] and made["rows"].count() == 2 and "flag none is not in the table" in made["warnings"] and "local_ruggedness_kT" in made["missing"]
+    assert X.tab_input(df, "pmf_annotations")["features"] == ["x_eqpop"]

@@ -53,3 +53,15 @@ def test_energies_and_p_values(spark):
     t = 2.2281388519
     assert abs(P.p_of_r(t / (t * t + 10) ** 0.5, 12) - 0.05) < 1e-8
     assert P.p_of_r(1.0, 5) == 0.0 and P.p_of_r(None, 5) is None and abs(P.p_of_r(0.0, 10) - 1) < 1e-12
+
+
+def test_modes_and_choices():
+    assert N.sequence_columns(["seq_aa_C_frac", "seq_aa_A_frac", "seq_frac_x", "seq_length", "other"]) == ["seq_length", "seq_aa_A_frac", "seq_aa_C_frac", "seq_frac_x"]
+    assert N.sequence_columns(["L", "x"]) == ["L"] and "seq_unique_aa_count" not in N.sequence_columns(["seq_unique_aa_count", "seq_dipep_AC_frac"], pca=True)
+    assert N.is_sequence_column("KD_mean") and not N.is_sequence_column("rg")
+    assert [N.input_mode(x) for x in ("PMFs", "aa", "thermo", None, "zz")] == ["pmf", "sequence", "thermodynamic", "basic", "basic"] and N.method_label("phate") == "PHATE" and N.method_label("x") == "x"
+    assert N.chosen(["c", "a"], ["a", "b", "c"]) == ["a", "c"] and N.chosen(["z"], ["a", "b"], 1) == ["a"] and N.chosen(None, ["a"]) == ["a"]
+    assert N.map_columns(["UMAP1", "q", "UMAP2"]) == ("UMAP1", "UMAP2") and N.map_columns(["q"]) is None
+    assert N.weight_columns([("z", "double"), ("weight", "int"), ("s", "string")]) == ["weight", "z"]
+    assert N.error_columns(["n", "rms_x", "JS"]) == ["JS", "rms_x", "n"]
+    assert N.pretty("phi_res2__mean", "ACD") == "φ C2 — mean" and N.pretty("rg__mean") == "rg__mean" and N.pretty("psi_res7") == "ψ 7"

@@ -105,3 +105,29 @@ def test_streaming_windows(spark, tmp_path):
     assert {r["n"] for r in spark.read.parquet(str(out)).collect()} == {2}
     for made in (windows.tumbling(stream, "at", "1 minute", "10 minutes", ["kind"], "value"), windows.sessions(stream, "at", "1 minute", "3 minutes", ["kind"]), windows.cell_counts(stream.withColumn("x", F.col("value")).withColumn("metric", F.col("kind")), "at", "1 minute", "10 minutes", 0.0, 1.0)):
         assert made.isStreaming
+
+
+def test_convergence_tables(spark, tmp_path):
+    from curvelake.sources import convergence
+
+    for name in ("A_convergence", "B_convergence", "A_replica_convergence"):
+        spark.createDataFrame([("JS", 1.0, 0.5)], "metric string, x double, RMSE_F double").toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    assert [v for v, _ in convergence.discover(str(tmp_path))] == ["A", "B"] and [v for v, _ in convergence.discover(str(tmp_path), "replica")] == ["A"]
+    df = convergence.scan(spark, str(tmp_path), ["B"], ["x", "RMSE_F"])
+    assert [tuple(r) for r in df.select("variant", "metric", "x", "RMSE_F", "source").collect()] == [("B", "JS", 1.0, 0.5, "pooled")]
+    assert convergence.scan(spark, str(tmp_path), ["Z"]) is None
+    assert convergence.options(df)["y"] == ["RMSE_F"] and convergence.options(df)["variants"] == ["B"]
+
+
+def test_engine_and_cli(spark, sf, tmp_path, capsys):
+    from curvelake import cli
+    from curvelake.engine import Engine
+
+    engine = Engine(spark, sf)
+    assert "pmf" in engine.names and engine.sql("SELECT count(*) AS n FROM pmf JOIN metric_grid USING (metric)").first()["n"] > 0
+    assert engine.run("q_table_status").count() == 3
+    part = Engine(spark, sf, share=0.2, seed=1)
+    assert 0 < part.table("features").select("variant").distinct().count() < engine.table("features").select("variant").distinct().count()
+    assert cli.main([sf, "--list"]) == 0 and "q_describe" in capsys.readouterr().out
+    assert cli.main([sf, "--query", "q_table_status", "--out", str(tmp_path / "o"), "--format", "csv"]) == 0
+    assert spark.read.csv(str(tmp_path / "o"), header=True).count() == 3
