@@ -198,3 +198,16 @@ def replica_mass(df: DataFrame, keys: Sequence[str], replica: str, x: str, y: st
     inner = kept.groupBy(*keys, replica, x).agg(F.avg(F.greatest(F.col(y), F.lit(0.0))).alias("_y"), F.first(step).alias("_s"))
     mean = inner.groupBy(*keys, x).agg((F.avg("_y") * F.first("_s") + 1e-12).alias("_m"))
     return mean.select(*keys, x, (F.col("_m") / F.sum("_m").over(Window.partitionBy(*keys))).alias("mass"))
+
+
+def quantile_distance(masses: DataFrame, keys: Sequence[str], item: str, x: str, mass: str, points: int = 256) -> DataFrame:
+    """keys, a, b, w2: the root mean square difference of two items' quantile functions at (i + 0.5) / points.
+
+    Every cell gives the points its stretch of the running sum covers, so an item is `points` rows. For bounded sets of items.
+    """
+    run = masses.withColumn("_c", F.sum(mass).over(Window.partitionBy(*keys, item).orderBy(x)))
+    first, last = F.floor((F.col("_c") - F.col(mass)) * points - 0.5) + 1, F.least(F.floor(F.col("_c") * points - 0.5), F.lit(points - 1))
+    spread = run.select(*keys, item, x, first.alias("_i0"), last.alias("_i1")).where("_i1 >= _i0").select(*keys, item, x, F.explode(F.sequence("_i0", "_i1")).alias("_i"))
+    q = spread.groupBy(*keys, item, "_i").agg(F.min(x).alias("_x"))
+    a, b = q.select(*keys, F.col(item).alias("a"), "_i", F.col("_x").alias("_xa")), q.select(*keys, F.col(item).alias("b"), "_i", F.col("_x").alias("_xb"))
+    return a.join(b, [*keys, "_i"]).where("a < b").groupBy(*keys, "a", "b").agg(F.sqrt(F.avg((F.col("_xa") - F.col("_xb")) ** 2)).alias("w2"))

@@ -303,3 +303,10 @@ def q_torsion_names(spark, d):
     g = table(spark, d, "metric_grid").where("metric LIKE 'p%'")
     m = F.col("metric")
     return g.select(m, N.torsion(m).isNotNull().alias("is_torsion"), N.label(m, F.lit(None).cast("string")).alias("label"), F.row_number().over(Window.orderBy(*N.torsion_order(m))).cast("bigint").alias("place"))
+
+
+@query(f"""WITH {_DIST}, u AS (SELECT unnest(range(256)) AS i), q AS (SELECT metric, item, i, min(cell) AS x FROM (SELECT metric, item, cell, floor((cp - p) * 256 - 0.5) + 1 AS i0, least(floor(cp * 256 - 0.5), 255) AS i1 FROM c) c JOIN u ON u.i BETWEEN i0 AND i1 GROUP BY 1, 2, 3)
+SELECT a.metric, a.item AS a, b.item AS b, round(sqrt(avg((a.x - b.x) ** 2)), 6) AS w2 FROM q a JOIN q b ON a.metric = b.metric AND a.i = b.i AND a.item < b.item GROUP BY 1, 2, 3""")
+def q_quantile_distance(spark, d):
+    """W2 of groups of curves."""
+    return rounded(C.quantile_distance(_groups(spark, d), ["metric"], "item", "cell", "p"), "w2")
