@@ -63,6 +63,12 @@ def _matrix(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1)
 
 
+def _nearest(m: np.ndarray, centres: np.ndarray, step: int = 2000) -> np.ndarray:
+    """Index of the nearest centre of each row, in steps, so that no large distance matrix stands in memory."""
+    squares = np.einsum("ij,ij->i", centres, centres)
+    return np.concatenate([(squares[None, :] - 2 * m[i : i + step] @ centres.T).argmin(1) for i in range(0, len(m), step)] or [np.zeros(0, int)])
+
+
 def fit_cells(vectors: DataFrame) -> dict[str, np.ndarray]:
     """metric -> centres. Metrics of up to two cells' rows get one. The sample is chosen by hash and bounded."""
     counts = {r["metric"]: r["n"] for r in vectors.groupBy("metric").agg(F.count("*").alias("n")).collect()}  # a metric each: the fixed grid's
@@ -76,7 +82,7 @@ def fit_cells(vectors: DataFrame) -> dict[str, np.ndarray]:
             rng = np.random.default_rng(7)
             centres = rows[rng.permutation(len(rows))[: max(1, min(MOST_CELLS, -(-counts[metric] // CELL)))]].copy()
             for _ in range(6):
-                near = (np.einsum("ij,ij->i", centres, centres)[None, :] - 2 * rows @ centres.T).argmin(1)
+                near = _nearest(rows, centres)
                 for c in np.unique(near):
                     centres[c] = rows[near == c].mean(0)
             out[metric] = centres
@@ -91,17 +97,20 @@ def _placed(vectors: DataFrame, centres: dict[str, np.ndarray], radius: float, q
         for batch in batches:
             for metric, part in batch.groupby("metric"):
                 c = sent.value.get(metric)
+                m = _matrix(part["vec"])
                 if c is None or len(c) == 1:
                     home, probes = np.zeros(len(part), np.int32), [np.zeros(1, np.int32)] * len(part)
                 else:
-                    m = _matrix(part["vec"])
-                    squares = np.einsum("ij,ij->i", c, c)
-                    dist = squares[None, :] - 2 * m @ c.T
-                    home = dist.argmin(1).astype(np.int32)
-                    apart = np.sqrt(np.maximum(squares[home][:, None] + squares[None, :] - 2 * c[home] @ c.T, 1e-12))
-                    border = (dist - dist[np.arange(len(m)), home][:, None]) / (2 * apart)
-                    border[np.arange(len(m)), home] = 0
-                    probes = [np.flatnonzero(b <= MARGIN * radius).astype(np.int32) for b in border]
+                    home, probes = _nearest(m, c).astype(np.int32), []
+                    squares, between = np.einsum("ij,ij->i", c, c), c @ c.T if len(c) <= 1024 else None
+                    for i in range(0, len(m), 1000):
+                        at, own = np.arange(len(m[i : i + 1000])), home[i : i + 1000]
+                        dist = squares[None, :] - 2 * m[i : i + 1000] @ c.T
+                        cross = between[own] if between is not None else c[own] @ c.T
+                        apart = np.sqrt(np.maximum(squares[own][:, None] + squares[None, :] - 2 * cross, 1e-12))
+                        border = (dist - dist[at, own][:, None]) / (2 * apart)
+                        border[at, own] = 0
+                        probes += [np.flatnonzero(b <= MARGIN * radius).astype(np.int32) for b in border]
                 none = np.zeros(0, np.int32)
                 yield pd.DataFrame({"metric": metric, "curve_id": part["curve_id"], "vec": part["vec"], "home": home, "probes": [p if a else none for p, a in zip(probes, part["asks"])]})
 

@@ -53,7 +53,12 @@ def _words(tokens: list[str]) -> list[str]:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as lists of lower-case words, without titles, markup, lists of letters, logs and tables.
+    """The words of the sentences of a text."""
+    return [words for words, _ in counted(text)]
+
+
+def counted(text: str) -> list[tuple[list[str], int]]:
+    """The sentences of a text as (lower-case words, number of tokens between blanks), without titles, markup, lists of letters, logs and tables.
 
     Wrapped lines are joined where one goes on in lower case. A stretch counts as a sentence if at least 60 % of its
     tokens are words, which rows of numbers aren't.
@@ -86,7 +91,7 @@ def sentences(text: str) -> list[list[str]]:
         for sentence in _END.split(unit.lower()):
             tokens = sentence.split()
             if len(tokens) > 1 and len(words := _words(tokens)) >= 0.6 * len(tokens):
-                out.append(words)
+                out.append((words, len(tokens)))
     return out
 
 
@@ -95,19 +100,19 @@ def _slot(word: str) -> int:
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """doc_id, slots (word nodes, sentence by sentence), lengths (words of each sentence), lines (of short sentences the
-    hash of the whole sentence, else -1); documents without a sentence are left out."""
+    """doc_id, slots (word nodes, sentence by sentence), lengths (words of each sentence), tokens (with numbers and the like),
+    lines (of short sentences the hash of the whole sentence, else -1); documents without a sentence are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            keep, slots, lengths, lines = [], [], [], []
+            keep, slots, lengths, sizes, lines = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = sentences(text) if text else []
+                found = counted(text) if text else []
                 if doc_id is None or not found:
                     continue
                 own: list[int] = []
-                for s in found:
+                for s, _ in found:
                     for w in s:
                         n = known.get(w)
                         if n is None:
@@ -117,12 +122,13 @@ def parsed(documents: DataFrame) -> DataFrame:
                         own.append(n)
                 keep.append(doc_id)
                 slots.append(own)
-                lengths.append([len(s) for s in found])
-                lines.append([_slot(" ".join(s[:COMMON_WORDS])) if len(s) <= COMMON_WORDS else -1 for s in found])
+                lengths.append([len(s) for s, _ in found])
+                sizes.append([n for _, n in found])
+                lines.append([_slot(" ".join(s)) if len(s) <= COMMON_WORDS else -1 for s, _ in found])
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(slots, ints), pa.array(lengths, ints), pa.array(lines, ints)], ["doc_id", "slots", "lengths", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(slots, ints), pa.array(lengths, ints), pa.array(sizes, ints), pa.array(lines, ints)], ["doc_id", "slots", "lengths", "tokens", "lines"])
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, slots array<int>, lengths array<int>, lines array<int>")
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, slots array<int>, lengths array<int>, tokens array<int>, lines array<int>")
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -140,6 +146,7 @@ class _Batch:
         lengths = batch.column("lengths")
         per = lengths.value_lengths().to_numpy(zero_copy_only=False).astype(int)
         self.length = lengths.flatten().to_numpy().astype(int)
+        self.tokens = batch.column("tokens").flatten().to_numpy().astype(int)
         self.slot = batch.column("slots").flatten().to_numpy()
         self.doc = np.repeat(np.arange(self.docs), per)  # of a sentence
         self.sentence = np.repeat(np.arange(len(self.length)), self.length)  # of a word
@@ -222,8 +229,8 @@ def _final(corpus: DataFrame, score: np.ndarray, used: np.ndarray, common: np.nd
                 ok = ~np.isnan(b.grade) & ~np.isnan(mean)
                 yield pa.RecordBatch.from_pydict({"grade": b.grade[ok], "score": mean[ok]})
                 continue
-            words = np.bincount(b.doc[english], b.length[english], b.docs)
-            rest = np.bincount(b.doc[prose], b.length[prose], b.docs)
+            words = np.bincount(b.doc[english], b.tokens[english], b.docs)
+            rest = np.bincount(b.doc[prose], b.tokens[prose], b.docs)
             m = b.means(now)
             ok = english & ~np.isnan(m)
             near = np.abs(m[:, None] - mid[None, :]).argmin(1) if len(m) else np.zeros(0, int)
@@ -239,7 +246,7 @@ def _final(corpus: DataFrame, score: np.ndarray, used: np.ndarray, common: np.nd
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, reading_level, score of every document with at least LEAST_WORDS words of prose in the graded documents'
+    """doc_id, reading_level, score of every document with at least LEAST_WORDS words (stretches between blanks) of prose in the graded documents'
     language (English, whatever lang says).
 
     Null and empty texts, other languages, logs and junk have no row. A document's repeated row gives a row each. Without
