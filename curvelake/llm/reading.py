@@ -60,7 +60,7 @@ def sentences(text: str) -> list[list[str]]:
 def counted(text: str) -> list[tuple[list[str], int]]:
     """The sentences of a text as (lower-case words, number of tokens between blanks), without titles, markup, lists of letters, logs and tables.
 
-    Wrapped lines are joined where one goes on in lower case. A stretch counts as a sentence if at least 60 % of its
+    Wrapped lines are joined where one goes on in lower case, but for lines set off by dashes. A stretch counts as a sentence if at least 60 % of its
     tokens are words, which rows of numbers aren't.
     """
     if "<" in text:
@@ -82,7 +82,7 @@ def counted(text: str) -> list[tuple[list[str], int]]:
         bare = _MARK.sub("", bare + " ", count=1).strip()
         if not bare:
             continue
-        if units and units[-1] and bare[0].islower():
+        if units and units[-1] and bare[0].islower() and not line.lstrip().startswith("--"):
             units[-1] += " " + bare
         else:
             units.append(bare)
