@@ -24,6 +24,7 @@ from curvelake.operators.grid import dense, finite, in_cells
 from curvelake.session import cut
 
 PROJECTIONS, THRESHOLD, HALF_WIDTH = 24, 16, 1.5
+DENSE, SPARE = 0.02, 8  # share of rows from which candidates are verified as a block; ties kept beyond k while doing so
 CELL, SAMPLE_PER_CELL, MOST_CELLS, MARGIN, BLOCK = 2000, 12, 4096, 0.35, 4096
 
 
@@ -137,7 +138,15 @@ def search(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
                 lo = np.searchsorted(arrays[:, j], p_queries[some, j] - HALF_WIDTH * r).astype(np.uint16)
                 hi = np.searchsorted(arrays[:, j], p_queries[some, j] + HALF_WIDTH * r, "right").astype(np.uint16)
                 hits += (rank[:, j][None, :] - lo[:, None]) < (hi - lo)[:, None]
-            q, c = np.nonzero(hits >= THRESHOLD)
+            met = hits >= THRESHOLD
+            if met.mean() > DENSE:  # wide windows: one product of the blocks finds the best of those that met
+                rough = np.where(met & (query_ids[some][:, None] != row_ids[None, :]), queries[some] @ rows.T, -2)
+                most = min(k + SPARE, len(rows))
+                c = np.argpartition(-rough, most - 1, axis=1)[:, :most].ravel()
+                q = np.repeat(np.arange(len(some)), most)
+                q, c = q[rough[q, c] > -1.5], c[rough[q, c] > -1.5]
+            else:
+                q, c = np.nonzero(met)
             q = some[q]
             other = query_ids[q] != row_ids[c]
             q, c = q[other], c[other]
