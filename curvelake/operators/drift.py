@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.session import cut
+from curvelake.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -201,7 +201,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     entry = F.struct("field", F.when(F.size("kinds") > 0, F.array_join("kinds", "|")).alias("kind"), "nested")
     files = cut(fields.groupBy("file_id", "stream", "file_seq").agg(F.array_sort(F.collect_list(entry)).alias("fields")).withColumn("sig", F.sha2(F.to_json("fields", {"ignoreNullFields": "false"}), 256)), "files")
     distinct = files.groupBy("sig").agg(F.first("fields").alias("fields"))
-    matched = distinct.mapInPandas(_match, "sig string, matched array<struct<field string, kind string, quantity string>>")
+    matched = spread(distinct).mapInPandas(_match, "sig string, matched array<struct<field string, kind string, quantity string>>")
     return files.join(matched, "sig").select("file_id", "stream", "file_seq", "matched")
 
 

@@ -56,6 +56,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there is room for: for small rows that cost much work each, which the adaptive planner
+    would gather into one task for their few bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables that lie side by side in a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
