@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.session import cut
+from curvelake.session import cut, spread
 
 MOST_EDITS, HOT = 4, 500
 VECTORS, POWERS, LLOYD = 4, 8, 2
@@ -62,8 +62,8 @@ def segment_keys(text: str, edits: int = MOST_EDITS) -> Iterator[tuple[bool, str
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for at in range(0, len(batch), 2000):
-            rows = [(s, held, key) for s in batch["seq"][at : at + 2000] for held, key, _ in segment_keys(s)]
+        for at in range(0, len(batch), 400):
+            rows = [(s, held, key) for s in batch["seq"][at : at + 400] for held, key, _ in segment_keys(s)]
             yield pd.DataFrame(rows, columns=["seq", "held", "key"])
 
 
@@ -81,7 +81,7 @@ def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def similar_sequences(sequences: DataFrame) -> DataFrame:
     """a, b, edits: all pairs of distinct sequences within MOST_EDITS of each other; a is shorter, or equal and smaller."""
-    keyed = cut(sequences.select("seq").mapInPandas(_keys, "seq string, held boolean, key string"), "keys")
+    keyed = cut(spread(sequences.select("seq")).mapInPandas(_keys, "seq string, held boolean, key string"), "keys")
     hot = cut(keyed.where("held").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot")
     both = keyed
     if not hot.isEmpty():
