@@ -10,6 +10,7 @@ Word nodes live in SLOTS hash slots, so what a round gathers and sends out is bo
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -26,8 +27,9 @@ SLOTS = 1 << 19
 LEVELS = (1, 2, 3, 4)
 ROUNDS, TOLERANCE = 8, 1e-3
 LEAST_WORDS = 60
-COMMON = 0.004  # a sentence of up to COMMON_WORDS words that stands in this share of all documents is a footer
+COMMON = 0.004  # a sentence of up to COMMON_WORDS words that stands in this share of all distinct texts is a footer
 COMMON_WORDS = 15
+COPY = 0.5  # texts with this share of common lines among their distinct sentences are near copies of one another
 KNOWN = 0.6  # share of a sentence's words that graded documents must use for it to count as their language
 
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -101,12 +103,12 @@ def _slot(word: str) -> int:
 
 def parsed(documents: DataFrame) -> DataFrame:
     """doc_id, slots (word nodes, sentence by sentence), lengths (words of each sentence), tokens (with numbers and the like),
-    lines (of short sentences the hash of the whole sentence, else -1); documents without a sentence are left out."""
+    lines (of short sentences the hash of the whole sentence, else -1), body (hash of all sentences); documents without a sentence are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            keep, slots, lengths, sizes, lines = [], [], [], [], []
+            keep, slots, lengths, sizes, lines, bodies = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = counted(text) if text else []
                 if doc_id is None or not found:
@@ -125,10 +127,11 @@ def parsed(documents: DataFrame) -> DataFrame:
                 lengths.append([len(s) for s, _ in found])
                 sizes.append([n for _, n in found])
                 lines.append([_slot(" ".join(s)) if len(s) <= COMMON_WORDS else -1 for s, _ in found])
+                bodies.append(int.from_bytes(hashlib.blake2b("\n".join(" ".join(s) for s, _ in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(slots, ints), pa.array(lengths, ints), pa.array(sizes, ints), pa.array(lines, ints)], ["doc_id", "slots", "lengths", "tokens", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(slots, ints), pa.array(lengths, ints), pa.array(sizes, ints), pa.array(lines, ints), pa.array(bodies, pa.int64())], ["doc_id", "slots", "lengths", "tokens", "lines", "body"])
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, slots array<int>, lengths array<int>, tokens array<int>, lines array<int>")
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, slots array<int>, lengths array<int>, tokens array<int>, lines array<int>, body bigint")
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -169,10 +172,34 @@ class _Batch:
 
 
 def _footers(corpus: DataFrame) -> np.ndarray:
-    """Hashes of the short sentences that stand in a COMMON share of all documents; at most COMMON_WORDS / COMMON a document's length each, so few."""
-    lines = corpus.select(F.explode(F.array_distinct("lines")).alias("line")).where("line >= 0").groupBy("line").agg(F.count("*").alias("n"))
-    total = corpus.count()
-    return np.array(sorted(r["line"] for r in lines.where(F.col("n") >= max(3.0, COMMON * total)).collect()), np.int64)
+    """Hashes of the short sentences that stand in a COMMON share of all distinct texts; at most COMMON_WORDS / COMMON a text's length each, so few.
+
+    Copies of a text count once, or a text copied often would lose its own sentences. Near copies are known by being made of common lines for the most
+    part, which texts with a footer aren't: they count for none of their lines, so a footer is common among other texts as well.
+    """
+    texts = corpus.groupBy("body").agg(F.first("lines").alias("lines"))  # texts of one hash have the same lines
+    least = max(3.0, COMMON * texts.count())
+    own = texts.select(F.array_except(F.array_distinct("lines"), F.array(F.lit(-1))).alias("own"), F.size(F.filter("lines", lambda n: n < 0)).alias("long"))
+    counts = lambda rows: {r["line"] for r in rows.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    found = counts(own.select(F.explode("own").alias("line")))
+    if not found:
+        return np.array([], np.int64)
+    sent = corpus.sparkSession.sparkContext.broadcast(np.array(sorted(found), np.int64))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("own")
+            flat = lists.flatten().to_numpy()
+            doc = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            common = np.isin(flat, sent.value)
+            n = np.bincount(doc, minlength=len(batch)) + batch.column("long").to_numpy()
+            copy = np.bincount(doc[common], minlength=len(batch)) >= COPY * np.maximum(n, 1)
+            line, times = np.unique(flat[common & ~copy[doc]], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"line": line.astype(np.int32), "n": times.astype(np.int64)})
+
+    kept = own.mapInArrow(part, "line int, n bigint").groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    sent.unpersist()
+    return np.array(sorted(r["line"] for r in kept), np.int64)
 
 
 def propagate(corpus: DataFrame, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

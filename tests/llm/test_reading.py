@@ -56,6 +56,19 @@ def test_footers_do_not_count(spark):
     assert 500 not in {r["doc_id"] for r in R.reading_levels(*tables(spark, docs, labels)).collect()}
 
 
+def test_a_text_copied_into_a_third_of_the_rows_keeps_its_lines(spark):
+    rng = random.Random(4)
+    truth, docs, labels = corpus(rng, 200)
+    hot = text(rng, 1, 12, 0)
+    near = [hot.replace(w, w + "x", 1) for w in LEVELS[1]]
+    footer = "\nThe shared notebook is not controlled.\n"
+    docs = [(i, t + footer) for i, t in docs] + [(1000 + i, hot + footer) for i in range(100)] + [(2000 + i, near[i % len(near)]) for i in range(100)]
+    short = [(5000, " ".join(hot.split(". ")[0] + "." for _ in range(9))), (5001, text(rng, 1, 3) + footer * 20)]
+    got = {r["doc_id"]: r["reading_level"] for r in R.reading_levels(*tables(spark, docs + short, labels)).collect()}
+    assert [got.get(i) for i in (*range(1000, 1100), *range(2000, 2100))] == [1] * 200
+    assert got.get(5000) == 1 and 5001 not in got and set(truth) <= set(got)
+
+
 def test_sentences():
     got = R.sentences("<p>This dimen-\n// sional frame. (K, E, K)\n# Note 1: X\n[01] a=b c=d\n1.0 2.0\nIt's a well-known one!&nbsp;OK then</p>")
     assert got == [["this", "dimensional", "frame"], ["it's", "a", "well-known", "one"], ["ok", "then"]]
