@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROUNDS = 3000  # a safety bound; series that stand unsettled at it are marked
+STRETCH = 1.2
+
 
 def in_cells(curves: DataFrame, grid: DataFrame, keep: list[str], outside: bool = False) -> DataFrame:
     """Rows with curve_id and x inside their metric's grid: curve_id, metric, cell and the columns of keep.
@@ -54,16 +57,24 @@ def dense(cells: pa.ListArray, field: str, n_cells: int) -> np.ndarray:
     return out
 
 
-def ssa_fill(values: np.ndarray, rank: int = 4, window: int | None = None, rounds: int = 30, tol: float = 1e-4, fold: int = 256) -> np.ndarray:
-    """values (series x cells, NaN where missing) with every missing entry filled by iterative singular-spectrum cuts.
+def ssa_fill(values: np.ndarray, rank: int = 4, window: int | None = None, rounds: int = ROUNDS, tol: float = 1e-4, fold: int = 256) -> np.ndarray:
+    """values (series x cells, NaN where missing) with every missing entry filled by iterative singular-spectrum cuts."""
+    return ssa_settle(values, rank, window, rounds, tol, fold)[0]
+
+
+def ssa_settle(values: np.ndarray, rank: int = 4, window: int | None = None, rounds: int = ROUNDS, tol: float = 1e-4, fold: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """As ssa_fill, and whether each series settled within rounds.
 
     Start: linear between neighbours, the nearest value at the ends. A series without any value stays NaN; one with
     fewer than three is filled by the start alone. A series stops when its largest change falls under tol of its spread.
+    The step over a change grows by STRETCH a round as long as what the cut leaves out doesn't grow, else the round is
+    taken back to the plain step.
     """
     out = np.array(values, dtype=float)
     n, length = out.shape
+    settled = np.ones(n, bool)
     if n == 0 or length == 0:
-        return out
+        return out, settled
     gap = np.isnan(out)
     have = (~gap).sum(1)
     at = np.arange(length)
@@ -78,37 +89,45 @@ def ssa_fill(values: np.ndarray, rank: int = 4, window: int | None = None, round
     if window is None:
         window = max(2, min(12, length // 3))
     if length < 4 or not len(todo):
-        return out
+        return out, settled
     k = length - window + 1
     count = np.convolve(np.ones(window), np.ones(k))
     for first in range(0, len(todo), fold):
         live = todo[first : first + fold]
         spread = np.nanstd(values[live], axis=1) + 1e-12
+        step, least, plain = np.ones(len(live)), np.full(len(live), np.inf), out[live]
         for _ in range(rounds):
             series = out[live]
             mean = series.mean(1, keepdims=True)
             hankel = np.lib.stride_tricks.sliding_window_view(series - mean, k, axis=1)  # series x window x k
-            _, vectors = np.linalg.eigh(hankel @ hankel.transpose(0, 2, 1))
+            energy, vectors = np.linalg.eigh(hankel @ hankel.transpose(0, 2, 1))
             lead = vectors[:, :, -min(rank, window) :]
             cutm = lead @ (lead.transpose(0, 2, 1) @ hankel)
             back = np.zeros_like(series)
             for i in range(window):  # means of the anti-diagonals
                 back[:, i : i + k] += cutm[:, i, :]
             new = np.where(gap[live], back / count + mean, series)
-            change = np.abs(new - series).max(1)
-            out[live] = new
-            go = change > tol * spread
-            live, spread = live[go], spread[go]
+            rest = energy[:, : -min(rank, window)].sum(1)
+            worse = (step > 1) & (rest > least * (1 + 1e-9))
+            done = ~worse & (np.abs(new - series).max(1) <= tol * spread)
+            step = np.where(worse, 1.0, step * STRETCH)
+            far = np.where(done[:, None], new, series + step[:, None] * (new - series))
+            out[live] = np.where(worse[:, None], plain, far)
+            plain, least = np.where(worse[:, None], plain, new), np.where(worse, least, rest)
+            go = ~done
+            live, spread, step, least, plain = live[go], spread[go], step[go], least[go], plain[go]
             if not len(live):
                 break
-    return out
+        out[live], settled[live] = plain, False
+    return out, settled
 
 
 def regular_grid(curves: DataFrame, grid: DataFrame, values: tuple[str, ...] = ("F_kJ_mol", "P"), rank: int = 4) -> DataFrame:
-    """One row per curve and cell of its metric's grid: curve_id, metric, cell, and per value v its v and v_filled.
+    """One row per curve and cell of its metric's grid: curve_id, metric, cell, and per value v its v, v_filled and v_settled.
 
     A cell's value is the mean of its finite readings; other cells are filled and marked true in v_filled. A curve
-    without a finite reading keeps nulls, marked true as well. Rows without curve_id, or whose x is null, NaN or outside
+    without a finite reading keeps nulls, marked true as well. v_settled is false in all rows of a curve whose filled
+    values still moved after ROUNDS rounds. Rows without curve_id, or whose x is null, NaN or outside
     the grid, belong to no cell, but their curve and metric still get a grid. Repeated rows count as often as they
     stand. A curve that stands under several metrics gets a grid for each. Empty input: no rows. Groups fold map-side to
     at most n_cells rows, so no curve, however large, is gathered raw.
@@ -129,10 +148,12 @@ def regular_grid(curves: DataFrame, grid: DataFrame, values: tuple[str, ...] = (
                 }
                 for v in values:
                     tall = dense(part.column("cells"), v, int(n_cells))
-                    done = ssa_fill(tall, rank).ravel()
+                    done, settled = ssa_settle(tall, rank)
+                    done = done.ravel()
                     out[v] = pa.array(done, mask=np.isnan(done))
                     out[v + "_filled"] = np.isnan(tall).ravel()
+                    out[v + "_settled"] = np.repeat(settled, n_cells)
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = "metric string, curve_id bigint, cell int, " + ", ".join(f"{v} double, {v}_filled boolean" for v in values)
-    return sized.mapInArrow(fill, schema).select("curve_id", "metric", "cell", *[c for v in values for c in (v, f"{v}_filled")])
+    schema = "metric string, curve_id bigint, cell int, " + ", ".join(f"{v} double, {v}_filled boolean, {v}_settled boolean" for v in values)
+    return sized.mapInArrow(fill, schema).select("curve_id", "metric", "cell", *[c for v in values for c in (v, f"{v}_filled", f"{v}_settled")])

@@ -59,3 +59,23 @@ def test_few_values():
     got = grid.ssa_fill(np.array([[nan] * 6, [nan, 2.0, nan, nan, nan, nan], [1.0, nan, 3.0, nan, nan, nan]]))
     assert np.isnan(got[0]).all() and (got[1] == 2).all() and got[2].tolist() == [1, 2, 3, 3, 3, 3]
     assert grid.ssa_fill(np.zeros((0, 5))).shape == (0, 5)
+
+
+def test_filling_goes_on_until_it_settles():
+    t = np.arange(60)
+    rng = np.random.default_rng(3)
+    whole = np.stack([np.sin(t / 5 + p) + 0.2 * rng.normal(size=60) for p in range(40)])
+    whole[:, 20:32] = np.nan
+    filled, settled = grid.ssa_settle(whole)
+    assert settled.all() and not grid.ssa_settle(whole, rounds=30)[1].all()
+    assert np.abs(filled - grid.ssa_settle(whole, rounds=30)[0]).max() > 0.05
+
+
+def test_default_settles_more_than_thirty_rounds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, "rg", 0.05 + 0.1 * k, 0.5, float(math.sin(k / 2 + c) + 0.3 * rng.normal())) for c in range(20) for k in range(20) if not 7 <= k < 12]
+    got = grid.regular_grid(curves(spark, rows), metrics(spark)).toPandas().sort_values(["curve_id", "cell"])
+    tall = got.F_kJ_mol.where(~got.F_kJ_mol_filled).to_numpy().reshape(20, 20)
+    want, settled = grid.ssa_settle(tall)
+    assert np.allclose(got.F_kJ_mol.to_numpy().reshape(20, 20), want) and (got.F_kJ_mol_settled.to_numpy().reshape(20, 20) == settled[:, None]).all()
+    assert not np.allclose(want, grid.ssa_fill(tall, rounds=30), atol=1e-2) and got.P_settled.all()
