@@ -151,11 +151,8 @@ def q_rama_smooth(spark, d):
 
 @query()
 def q_gradient(spark, d):
-    """Gradients of a feature over the plane of two others, on group means of at most 2,000 hash buckets."""
-    rows = feature_rows(spark, d).select(F.pmod(F.xxhash64("variant"), F.lit(2000)).alias("g"), *[finite(F.col(c)).alias(c) for c in ("kd_mean", "rg__mean", "e2e__mean")]).dropna()
-    m = rows.groupBy("g").agg(*[F.avg(c).alias(c) for c in ("kd_mean", "rg__mean", "e2e__mean")]).orderBy("g").collect()
-    x, y, v = (np.array([r[c] for r in m]) for c in ("kd_mean", "rg__mean", "e2e__mean"))
-    g = E.gradient_field(x, y, v, 12) if len(m) else np.zeros((12, 12, 2))
+    """Gradients of a feature over the plane of two others, from all rows."""
+    g = E.gradient_map(feature_rows(spark, d), "kd_mean", "rg__mean", "e2e__mean", 12)
     return spark.createDataFrame([(i, j, round(float(g[i, j, 0]), 6), round(float(g[i, j, 1]), 6)) for i in range(12) for j in range(12)], "i int, j int, gx double, gy double")
 
 

@@ -67,6 +67,27 @@ def test_grids():
     assert np.allclose(g, [2, -3], atol=1e-6)
 
 
+def test_gradients_of_a_table_are_those_of_all_its_rows(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=3000), rng.normal(size=3000) * 40
+    f = np.sin(x) + 0.1 * y + rng.normal(size=3000)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(x, y, f)] + [(None, 1.0, 1.0), (float("inf"), 1.0, 1.0), (1.0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, f double")
+    assert np.allclose(E.gradient_map(df, "x", "y", "f", 6), E.gradient_field(x, y, f, 6), atol=1e-6)
+    assert (E.gradient_map(df.limit(0), "x", "y", "f", 6) == 0).all()
+
+
+def test_gradient_query_uses_all_rows(spark, sf):
+    from curvelake.plans.common import feature_rows
+    from curvelake.plans.reports import q_gradient
+
+    names = ["kd_mean", "rg__mean", "e2e__mean"]
+    rows = feature_rows(spark, sf).toPandas()[names]
+    x, y, f = (rows[np.isfinite(rows.astype(float)).all(axis=1)][c].to_numpy(float) for c in names)
+    got = q_gradient(spark, sf).toPandas().sort_values(["i", "j"])
+    assert np.allclose(got[["gx", "gy"]].to_numpy().reshape(12, 12, 2), E.gradient_field(x, y, f, 12), atol=1e-5)
+
+
 def test_neighbours_and_k_means(spark, blobs):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(blobs)] + [(99, None)], "id int, vec array<double>")
     got = E.nearest(df, df.where("id % 20 = 0"), "id", "vec", 3).toPandas()
