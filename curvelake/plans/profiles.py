@@ -171,6 +171,25 @@ def q_grid_interp(spark, d):
     return rounded(C.interpolate(rows, asked, ["curve_id"], "x", "F_kJ_mol"), "x", "F_kJ_mol")
 
 
+@query()
+def q_grid_interp_all(spark, d):
+    """Every cell centre of every metric's grid by straight lines between readings, angles across their turn; null outside the readings.
+
+    q_grid_interp has a quarter of the cells and four metrics, as its SQL does.
+    """
+    g = table(spark, d, "metric_grid")
+    centres = g.select("metric", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("cell"), "x_start", "x_step").select("metric", "cell", (F.col("x_start") + F.col("x_step") * (F.col("cell") + 0.5)).alias("x"))
+    turned = F.when(F.col("is_periodic"), F.col("x_start") + F.pmod(F.col("x") - F.col("x_start"), F.lit(360.0))).otherwise(F.col("x"))
+    keys = ["curve_id", "metric"]
+    rows = pmf(spark, d).join(g, "metric").select(*keys, "is_periodic", turned.alias("x"), "F_kJ_mol").groupBy(*keys, "is_periodic", "x").agg(F.avg("F_kJ_mol").alias("F_kJ_mol"))
+    ends = rows.where("is_periodic").groupBy(*keys).agg(F.min(F.struct("x", "F_kJ_mol")).alias("low"), F.max(F.struct("x", "F_kJ_mol")).alias("high"))
+    side = lambda end, turn: ends.select(*keys, (F.col(f"{end}.x") + turn).alias("x"), F.col(f"{end}.F_kJ_mol").alias("F_kJ_mol"))
+    known = rows.select(*keys, "x", "F_kJ_mol").unionByName(side("low", 360.0)).unionByName(side("high", -360.0))
+    asked = rows.select(*keys).distinct().join(centres, "metric")
+    made = C.interpolate(known, asked, keys, "x", "F_kJ_mol").join(F.broadcast(centres), ["metric", "x"])
+    return rounded(made.select(*keys, "cell", "x", "F_kJ_mol"), "x", "F_kJ_mol")
+
+
 @query("""
 WITH o AS (SELECT user_id, event_type, event_id, row_number() OVER w AS i, avg(value) OVER (w ROWS UNBOUNDED PRECEDING) AS y FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
 t AS (SELECT *, count(*) OVER g AS n, last_value(y) OVER (g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, max(y) OVER g - min(y) OVER g AS r FROM o WINDOW g AS (PARTITION BY user_id, event_type)),

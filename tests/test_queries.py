@@ -3,6 +3,7 @@
 import pathlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from compare import cell
@@ -29,3 +30,19 @@ def test_query(spark, sf, con, name):
     assert names == sorted(want.column_names)
     table = lambda t: sorted((tuple(cell(v) for v in r) for r in zip(*[t[c].to_pylist() for c in names])), key=repr)
     assert table(rows) == table(want)
+
+
+def test_interpolation_asks_for_every_cell_and_wraps_angles(spark, sf, con):
+    got = plans.all_queries()["q_grid_interp_all"](spark, sf).toPandas()
+    rows = con.sql("SELECT p.curve_id, p.metric, p.x, p.F_kJ_mol AS y, g.x_start, g.x_step, g.n_cells, g.is_periodic FROM pmf p JOIN metric_grid g ON p.metric = g.metric WHERE curve_id IS NOT NULL AND variant IS NOT NULL AND isfinite(x) AND isfinite(F_kJ_mol)").df()
+    assert set(got.metric) == set(rows.metric) and rows.metric.nunique() == 8
+    found = {k: part.sort_values("cell") for k, part in got.groupby(["curve_id", "metric"])}
+    assert set(found) == set(rows.groupby(["curve_id", "metric"]).groups)
+    for key, part in rows.groupby(["curve_id", "metric"]):
+        start, step, n, turns = part[["x_start", "x_step", "n_cells", "is_periodic"]].iloc[0]
+        at = start + step * (np.arange(int(n)) + 0.5)
+        x = start + (part.x - start) % 360.0 if turns else part.x
+        y = part.y.groupby(x.to_numpy()).mean()
+        want = np.interp(at, y.index, y.to_numpy(), period=360.0) if turns else np.interp(at, y.index, y.to_numpy(), left=np.nan, right=np.nan)
+        assert found[key].cell.tolist() == list(range(int(n)))
+        assert np.allclose(found[key].F_kJ_mol.to_numpy(float), want, atol=2e-6, equal_nan=True)
