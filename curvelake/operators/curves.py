@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +193,33 @@ def interpolated_density(df: DataFrame, keys: Sequence[str], item: str, x: str,
     return area.select(*keys, item, x, F.when(F.col("_t") > 0, F.col(y) / F.col("_t")).otherwise(F.col(y)).alias("density"))
 
 
+def density_matrix(df: DataFrame, key: str, item: str, x: str, y: str, places: int = 4, most: int = 256) -> DataFrame:
+    """key, item, x, density: as interpolated_density for few keys and any number of items, on at most `most` x a key.
+
+    A key with more rounded x gets as many even ones from its least to its greatest. A curve is gathered as one list of
+    its rounded x, so its length is bounded by their number.
+    """
+    points = df.withColumn(x, F.floor(F.col(x) * 10**places + 0.5) / 10**places).groupBy(key, item, x).agg(F.avg(F.greatest(F.col(y), F.lit(0.0))).alias("_v"))
+    known = points.select(key, x).distinct()
+    spans = known.groupBy(key).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+    few = [r[key] for r in spans if r["n"] <= most]
+    grids = {r[key]: np.linspace(r["lo"], r["hi"], most) for r in spans if r["n"] > most}
+    for r in known.where(F.col(key).isin(few)).groupBy(key).agg(F.array_sort(F.collect_list(x)).alias("x")).collect() if few else []:
+        grids[r[key]] = np.array(r["x"])
+
+    def part(batches):
+        for batch in batches:
+            for k, i, px, py in zip(*(batch.column(c) for c in range(4))):
+                name, at = k.as_py(), np.array(px.values)
+                order, grid = np.argsort(at), grids[name]
+                v = np.interp(grid, at[order], np.array(py.values)[order], left=0.0, right=0.0)
+                area = np.trapezoid(v, grid)
+                yield pa.RecordBatch.from_pydict({key: pa.array([name] * len(grid), pa.string()), item: pa.array([i.as_py()] * len(grid), pa.string()), x: grid, "density": v / area if area > 0 else v})
+
+    lists = points.groupBy(key, item).agg(F.collect_list(F.struct(x, "_v")).alias("_p")).where(F.size("_p") >= 2).select(key, item, F.col(f"_p.{x}").alias("_x"), F.col("_p._v").alias("_y"))
+    return lists.mapInArrow(part, f"{key} string, {item} string, {x} double, density double")
+
+
 def replica_mass(df: DataFrame, keys: Sequence[str], replica: str, x: str, y: str, step: str) -> DataFrame:
     """keys, x, mass: the mean over replicas with at least three points of y at x, times step, plus 1e-12, over the sum."""
     enough = df.groupBy(*keys, replica).agg(F.countDistinct(x).alias("_n")).where("_n >= 3").select(*keys, replica)

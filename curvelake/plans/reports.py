@@ -225,6 +225,18 @@ def q_pmf_matrix(spark, d):
     return rounded(C.interpolated_density(rows, ["metric"], "variant", "x", "P"), "density", places=7)
 
 
+@query()
+def q_pmf_matrix_all(spark, d):
+    """Densities of all variants and metrics on each metric's shared grid of at most 256 x, angles brought into one turn.
+
+    q_pmf_matrix has the reference variants and two metrics, as its SQL does. Variants that lack a metric stay, without rows for it.
+    """
+    g = table(spark, d, "metric_grid").select("metric", "x_start", "is_periodic")
+    turned = F.when(F.col("is_periodic"), F.col("x_start") + F.pmod(F.col("x") - F.col("x_start"), F.lit(360.0))).otherwise(F.col("x"))
+    rows = pmf(spark, d).where("P IS NOT NULL").join(F.broadcast(g), "metric").select("metric", "variant", turned.alias("x"), "P")
+    return rounded(C.density_matrix(rows, "metric", "variant", "x", "P"), "density", places=7)
+
+
 @query(f"""WITH e AS (SELECT variant, metric, replica FROM {CELLS} WHERE P IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT cell) >= 3),
 r AS (SELECT c.variant, c.metric, c.replica, c.cell, avg(greatest(P, 0)) AS y FROM {CELLS} c JOIN e ON c.variant = e.variant AND c.metric = e.metric AND c.replica = e.replica WHERE P IS NOT NULL GROUP BY 1, 2, 3, 4),
 m AS (SELECT r.variant, r.metric, r.cell, avg(y) * any_value(g.x_step) + 1e-12 AS m FROM r JOIN metric_grid g ON r.metric = g.metric GROUP BY 1, 2, 3)

@@ -46,3 +46,24 @@ def test_interpolation_asks_for_every_cell_and_wraps_angles(spark, sf, con):
         want = np.interp(at, y.index, y.to_numpy(), period=360.0) if turns else np.interp(at, y.index, y.to_numpy(), left=np.nan, right=np.nan)
         assert found[key].cell.tolist() == list(range(int(n)))
         assert np.allclose(found[key].F_kJ_mol.to_numpy(float), want, atol=2e-6, equal_nan=True)
+
+
+def test_the_matrix_has_all_variants_and_metrics(spark, sf, con):
+    got = plans.all_queries()["q_pmf_matrix_all"](spark, sf).toPandas()
+    rows = con.sql("SELECT p.metric, variant, CASE WHEN is_periodic THEN x_start + (x - x_start) - 360 * floor((x - x_start) / 360) ELSE x END AS x, greatest(P, 0) AS P FROM pmf p JOIN metric_grid g ON p.metric = g.metric WHERE curve_id IS NOT NULL AND variant IS NOT NULL AND isfinite(x) AND isfinite(F_kJ_mol) AND isfinite(P)").df()
+    rows["x"] = np.floor(rows.x * 10000 + 0.5) / 10000
+    assert got.variant.nunique() > 1 and set(got.metric) == set(rows.metric) and rows.metric.nunique() == 8
+    want = 0
+    found = {k: part.sort_values("x") for k, part in got.groupby(["metric", "variant"])}
+    for metric, part in rows.groupby("metric"):
+        grid = np.unique(part.x)
+        grid = np.linspace(grid[0], grid[-1], 256) if len(grid) > 256 else grid
+        for variant, own in part.groupby("variant"):
+            y = own.groupby("x").P.mean()
+            if len(y) < 2:
+                continue
+            want += 1
+            v = np.interp(grid, y.index, y.to_numpy(), left=0, right=0)
+            area = np.trapezoid(v, grid)
+            assert np.allclose(found[metric, variant].density, v / area if area > 0 else v, atol=1e-5)
+    assert want == len(found)
