@@ -1,8 +1,10 @@
 """Attribute-value rows into one wide, typed row per entity.
 
-Method: the rows are parted by attribute into typed narrow tables (entity, value, row_id), all partitioned alike by
-entity, and a balanced tree of outer joins combines them: log2(attributes) levels instead of one deep chain, and no
-exchange between the levels.
+Method: the rows are parted by attribute into typed narrow tables (entity, value, row_id). Balanced groups of narrow
+tables are each combined by one multiway outer join: their union is exchanged once by entity and one aggregate puts the
+values of an entity side by side. The groups, by then co-partitioned and sorted by entity, hang on the list of all
+entities by left outer joins, which lose none and, unlike full ones, keep partitioning and order. So every narrow table is
+exchanged once, nothing between the levels, and no task holds more than GROUPS sorted inputs however many attributes.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curvelake.session import cut
 
-SLICES = 16
+WAYS, GROUPS = 8, 8  # narrow tables of a group at least; groups at most
 
 
 def norm_name(name: Column) -> Column:
@@ -58,18 +60,28 @@ def widen(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     ignored, so their names can't clash.
     """
     attributes = [(r["metric"], r["value_type"]) for r in catalog.select("metric", "value_type").where(F.col("metric").isNotNull()).distinct().orderBy("metric").collect()]
-    # By attribute, and by a slice of the variants, so that a hot attribute is several tasks.
-    parted = filled_cells(rows, catalog).repartition("metric", F.pmod(F.xxhash64("variant"), F.lit(SLICES)))
-    cells = cut(parted.sortWithinPartitions("metric", "variant"), "cells")
-    if not attributes:
-        return cells.select("variant").distinct()
-    level = [
-        cells.where(F.col("metric") == name).select("variant", F.col("value").cast(kind).alias(name), F.col("row_id").alias(f"{name}__row_id")).repartition("variant")
-        for name, kind in attributes
-    ]
-    while len(level) > 1:
-        level = [a.join(b[0], "variant", "full") if b else a for a, b in ((level[i], level[i + 1 : i + 2]) for i in range(0, len(level), 2))]
-    return level[0]
+    # As they come out of the aggregate, by (variant, attribute): a hot attribute is spread over all tasks, however large.
+    # Sorted by attribute, so that a narrow table's scan skips the row groups of the others.
+    cells = cut(filled_cells(rows, catalog).sortWithinPartitions("metric", "variant"), "cells")
+    entities = cells.select("variant").distinct()
+    ways = max(WAYS, -(-len(attributes) // GROUPS))
+    wide = entities
+    for at in range(0, len(attributes), ways):
+        wide = wide.join(_multiway(cells, attributes[at : at + ways]), "variant", "left")
+    return wide
+
+
+def _multiway(cells: DataFrame, attributes: list[tuple[str, str]]) -> DataFrame:
+    """The outer join of the attributes' narrow tables: variant, and of each attribute its typed value and row_id."""
+    pair = lambda i, value, row_id: F.struct(value.alias("v"), row_id.alias("r")).alias(f"c{i}")
+    union = None
+    for i, (name, kind) in enumerate(attributes):
+        empty = [F.lit(None).cast(f"struct<v:{k},r:bigint>").alias(f"c{j}") for j, (_, k) in enumerate(attributes)]
+        empty[i] = pair(i, F.col("value").cast(kind), F.col("row_id"))
+        narrow = cells.where(F.col("metric") == name).select("variant", *empty)
+        union = narrow if union is None else union.unionAll(narrow)
+    side_by_side = union.groupBy("variant").agg(*[F.first(f"c{i}", ignorenulls=True).alias(f"c{i}") for i in range(len(attributes))])
+    return side_by_side.select("variant", *[c for i, (name, _) in enumerate(attributes) for c in (F.col(f"c{i}.v").alias(name), F.col(f"c{i}.r").alias(f"{name}__row_id"))])
 
 
 def filled(wide: DataFrame) -> DataFrame:
