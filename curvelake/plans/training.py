@@ -42,12 +42,17 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "pmf"), table(spark, d, "metric_grid"))
 
 
-def _rewritten(spark: SparkSession, d: str) -> DataFrame:
-    return compact.rewrite(table(spark, d, "chunk_files"), table(spark, d, "chunk_rows"), TARGET_BYTES)
+def _consolidated(spark: SparkSession, d: str) -> DataFrame:
+    return compact.consolidate(table(spark, d, "chunk_files"), table(spark, d, "chunk_rows"), TARGET_BYTES)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _rewritten(spark, d).where("repeats").select("file_id", "row_no")
+    return _consolidated(spark, d).where("repeats").select("file_id", "row_no")
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the large files, each once."""
+    return _consolidated(spark, d).where("NOT repeats").drop("repeats")
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -55,11 +60,11 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    return compact.reconcile(table(spark, d, "chunk_files"), _rewritten(spark, d), TARGET_BYTES)
+    return compact.reconcile(table(spark, d, "chunk_files"), _consolidated(spark, d), TARGET_BYTES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_points, p5_found, p5_wide, p6_found, p6_grid, p7_found, p7_plan, p7_reconcile)
+    f.__name__: f for f in (p1_found, p1_points, p5_found, p5_wide, p6_found, p6_grid, p7_found, p7_kept, p7_plan, p7_reconcile)
 }
 
 _READ = r"""
@@ -74,12 +79,33 @@ _READ = r"""
   LATERAL (SELECT CASE WHEN c.unit IS NOT NULL AND ends_with(s.val, c.unit) THEN rtrim(left(s.val, length(s.val) - length(c.unit))) ELSE s.val END AS bare)
 """
 
+# The attributes of the catalog, as the columns of the wide table.
+_WIDE = {
+    "rg__mean": "DOUBLE", "rg__std": "DOUBLE", "rg__median": "DOUBLE", "e2e__mean": "DOUBLE", "e2e__std": "DOUBLE", "sasa__mean": "DOUBLE", "sasa__iqr": "DOUBLE",
+    "rmsd__mean": "DOUBLE", "rmsd__skew": "DOUBLE", "phi_res4__circular_mean_deg": "DOUBLE", "psi_res4__circular_mean_deg": "DOUBLE", "phi_res9__circular_std_deg": "DOUBLE",
+    "rg__effective_support_frac": "DOUBLE", "rg__global_basin_escape_barrier_kt": "DOUBLE", "rg__local_ruggedness_kt": "DOUBLE",
+    "rg__n_basins_persist_2kt": "BIGINT", "e2e__n_basins_persist_2kt": "BIGINT", "rg__n": "BIGINT", "e2e__n": "BIGINT", "pmf_n_bins": "BIGINT",
+    "rg__pmf_is_multimodal": "BOOLEAN", "e2e__global_basin_touches_boundary": "BOOLEAN", "pmf_input_type": "VARCHAR", "seq_parse_method": "VARCHAR",
+}
+_TYPED = {
+    "DOUBLE": "TRY_CAST(replace(value, ',', '.') AS DOUBLE)",
+    "BIGINT": r"TRY_CAST(regexp_extract(value, '^([-+]?\d+)', 1) AS BIGINT)",
+    "BOOLEAN": "lower(value) IN ('true', 'yes', '1')",
+    "VARCHAR": "value",
+}
+_BEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant, metric ORDER BY recorded_at DESC NULLS LAST, row_id) AS n FROM ({_READ}) WHERE value IS NOT NULL AND variant IS NOT NULL) WHERE n = 1)"
+_FOLDER = "coalesce(regexp_replace(path, '/[^/]*$', ''), '')"
+_PLAN = f"""(SELECT file_id, path, n_rows, n_bytes, offset_bytes, offset_bytes // {TARGET_BYTES} AS group_no FROM (
+  SELECT file_id, path, coalesce(n_rows, 0) AS n_rows, coalesce(n_bytes, 0) AS n_bytes,
+    CAST(coalesce(sum(coalesce(n_bytes, 0)) OVER (ORDER BY CAST('0x' || substr(md5({_FOLDER}), 1, 3) AS INTEGER), {_FOLDER}, file_id, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_bytes
+  FROM chunk_files WHERE file_id IS NOT NULL))"""
+_MARKED = """(SELECT *, row_number() OVER (
+    PARTITION BY lower(trim(variant)), lower(trim(metric)), replica, round(x, 6) + 0.0, round(P, 6) + 0.0, round(F_kJ_mol, 6) + 0.0 ORDER BY file_id, row_no) > 1 AS repeats
+  FROM chunk_rows)"""
+
 SQL: dict[str, str] = {
-    "p5_found": f"""
-WITH r AS ({_READ})
-SELECT variant, metric, row_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY variant, metric ORDER BY recorded_at DESC NULLS LAST, row_id) AS n FROM r WHERE value IS NOT NULL AND variant IS NOT NULL
-) WHERE n = 1""",
+    "p5_found": f"SELECT variant, metric, row_id FROM {_BEST}",
+    "p5_wide": "SELECT variant, " + ", ".join(f"max({_TYPED[t]}) FILTER (metric = '{c}') AS \"{c}\"" for c, t in _WIDE.items()) + f" FROM {_BEST} GROUP BY variant",
     "p6_found": """
 WITH c AS (SELECT DISTINCT curve_id, metric FROM pmf WHERE curve_id IS NOT NULL AND metric IS NOT NULL),
 r AS (
@@ -89,9 +115,12 @@ r AS (
 )
 SELECT a.curve_id, a.cell FROM (SELECT c.curve_id, c.metric, CAST(unnest(range(g.n_cells)) AS INTEGER) AS cell FROM c JOIN metric_grid g ON c.metric = g.metric) a
 ANTI JOIN r ON a.curve_id = r.curve_id AND a.metric = r.metric AND a.cell = r.cell""",
-    "p7_found": """
-SELECT file_id, row_no FROM (
-  SELECT file_id, row_no, row_number() OVER (
-    PARTITION BY lower(trim(variant)), lower(trim(metric)), replica, round(x, 6) + 0.0, round(P, 6) + 0.0, round(F_kJ_mol, 6) + 0.0 ORDER BY file_id, row_no) AS n
-  FROM chunk_rows) WHERE n > 1""",
+    "p7_found": f"SELECT file_id, row_no FROM {_MARKED} WHERE repeats",
+    "p7_kept": f"SELECT r.* EXCLUDE (repeats), coalesce(p.group_no, -1) AS group_no FROM {_MARKED} r LEFT JOIN (SELECT file_id, min(group_no) AS group_no FROM {_PLAN} GROUP BY file_id) p ON r.file_id = p.file_id WHERE NOT repeats",
+    "p7_plan": f"SELECT * FROM {_PLAN}",
+    "p7_reconcile": f"""
+SELECT file_id, coalesce(group_no, -1) AS group_no, listed_rows, coalesce(kept_rows, 0) AS kept_rows, coalesce(repeated_rows, 0) AS repeated_rows,
+  coalesce(listed_rows = coalesce(kept_rows, 0) + coalesce(repeated_rows, 0), false) AS whole
+FROM (SELECT file_id, min(group_no) AS group_no, CAST(sum(n_rows) AS BIGINT) AS listed_rows FROM {_PLAN} GROUP BY file_id)
+FULL JOIN (SELECT file_id, count(*) FILTER (NOT repeats) AS kept_rows, count(*) FILTER (repeats) AS repeated_rows FROM {_MARKED} GROUP BY file_id) USING (file_id)""",
 }

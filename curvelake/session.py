@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,12 +27,18 @@ def local_session(cores: int | str = 8, memory: str = "8g", name: str = "curvela
     )
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where that is unset, a local one."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a session on one machine
+    gets a local one; any other is refused, as its executors wouldn't see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext.getCheckpointDir()
         if not got:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="curvelake-"))
             got = spark.sparkContext.getCheckpointDir()
         found = got
@@ -43,16 +50,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has ended; the folder's owner clears it
+    except (AttributeError, OSError, Py4JError):  # the session has ended; the folder's owner clears it
         pass
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name inside the shared folder; drop_cuts removes it, at the latest at the end of the process."""
+    path = os.path.join(shared_dir(spark), f"curvelake-{name}-{uuid.uuid4().hex}")
+    if not _made:
+        atexit.register(drop_cuts, spark)
+    _made.append(path)
+    return path
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Removes all that cut wrote so far; call it when the results that stand on it are written."""
+    while _made:
+        _drop(spark, _made.pop())
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, written as a table into the shared folder and read again: its lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"curvelake-{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,8 +35,8 @@ def test_repeats(spark):
     assert got == {(2, 1), (3, 2), (9, 1)}
     assert made.count() == len(data) and made.where("_h1 = 'clash' AND _n = 5").count() == len(data)
     assert {r["group_no"] for r in made.where("file_id = 9").collect()} == {-1}
-    total = compact.reconcile(manifest(spark, 3), made, 1000).agg({"delivered_rows": "sum", "kept_rows": "sum", "listed_rows": "sum"}).first().asDict()
-    assert total == {"sum(delivered_rows)": 8, "sum(kept_rows)": 5, "sum(listed_rows)": 6}
+    got = {r["file_id"]: (r["group_no"], r["listed_rows"], r["kept_rows"], r["repeated_rows"], r["whole"]) for r in compact.reconcile(manifest(spark, 3), made, 1000).collect()}
+    assert got == {1: (0, 2, 2, 0, True), 2: (0, 2, 0, 1, False), 3: (0, 2, 2, 1, False), 9: (-1, None, 1, 1, False)}
 
 
 def test_one_record_in_a_third_of_all_rows(spark):
@@ -45,10 +45,27 @@ def test_one_record_in_a_third_of_all_rows(spark):
 
 
 def test_written_groups_hold_each_record_once(spark, tmp_path):
-    data = [(i % 20 + 1, i, "p", "rg", i % 37, 0.1, 0.2, 0.3) for i in range(200)]
-    made = compact.rewrite(manifest(spark, 20), rows(spark, data), 500)
-    compact.write_groups(made, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 37
+    data = [(i % 20 + 1, i, "p", "rg", i % 37, 0.1, 0.2, 0.3) for i in range(200)] + [(99, i, "p", "rg", i, 0.7, 0.2, 0.3) for i in range(50)]
+    path = str(tmp_path / "out")
+    back = compact.consolidate(manifest(spark, 20), rows(spark, data), 500, path).cache()
+    assert back.count() == 250 and back.where("NOT repeats").count() == 37 + 50 and back.where("repeats").count() == 163
+    assert back.where("repeats AND variant IS NOT NULL").count() == 0 and back.where("NOT repeats AND (_h1 <> 'clash' OR _n <> 5)").count() == 0
+    keys = {(r["replica"], r["x"]) for r in back.where("NOT repeats").collect()}
+    assert keys == {(i, 0.1) for i in range(37)} | {(i, 0.7) for i in range(50)}
+    # One file per planned group; the rows of unlisted files lie in group -1.
+    groups = {r["group_no"] for r in back.where("NOT repeats").collect()}
+    folders = {p.name: list(p.glob("*.parquet")) for p in (tmp_path / "out" / "repeats=false").iterdir()}
+    assert set(folders) == {f"part={g}" for g in groups} and all(len(f) == 1 for n, f in folders.items() if n != "part=-1")
+    every = compact.reconcile(manifest(spark, 20), back, 500).collect()
+    assert len(every) == 21 and sum(r["kept_rows"] + r["repeated_rows"] for r in every) == 250
+
+
+def test_rows_are_scanned_and_shuffled_once(spark, tmp_path):
+    rows(spark, [(1, 1, "p", "rg", 1, 0.1, 0.2, 0.3)]).write.parquet(str(tmp_path / "in"))
+    marked = compact.mark_repeats(spark.read.parquet(str(tmp_path / "in")), ["variant"])
+    marked.collect()
+    plan = marked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
 
 
 def test_empty(spark):
