@@ -1,19 +1,20 @@
 """Schemas that drift between files: one consistent table, and every change of a file against the file before it.
 
-Method: similarity flooding. Each distinct file schema and the target schema become graphs (fields, their types, their
-nested fields); scores of node pairs start from the names and flow along equal edges until they settle; then fields and
-quantities are paired off, best first, each once. Files share few distinct schemas, so the graphs are matched once per
-distinct schema, on the executors.
+Method: similarity flooding. Each file's schema and that of the file before it become graphs (fields, their JSON types,
+the form of their values, their nested names); scores of node pairs start from the names and flow along equal edges until
+they settle; then fields are paired off, best first, each once, where the pair is consistent with the whole corpus: two
+names that stand together in any file are two quantities'. Known words of names help at the start but aren't needed.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,10 @@ CURVE_POINT = (
     Quantity("note", "string", "string", {"note": 4, "notes": 4, "comment": 4, "remark": 3}),
 )
 
-_TYPES = {"BIGINT": "number", "DOUBLE": "number", "FLOAT": "number", "DECIMAL": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": None}
+KINDS = {"number": 1, "string": 2, "boolean": 4, "array": 8, "object": 16}  # a field's JSON types as bits
+EPS, LEAST = 0.05, 0.25  # the start of a pair whose names share nothing; the score a correspondence must reach, 1 being that of two equal fields
+SPREAD = 0.8  # decades by which the mean size of one quantity's numbers varies between files
+ROUNDS, SETTLED = 60, 1e-4
 
 
 def words_of(name: str) -> list[str]:
@@ -64,145 +68,169 @@ def name_score(field: str, quantity: Quantity) -> float:
     if field.lower() == quantity.name.lower():
         return 1.0
     words = words_of(field)
+    if not quantity.words:
+        return 0.0
     hit = sum(quantity.words.get(w, 0.0) for w in set(words))
     miss = sum(1.0 for w in set(words) if w not in quantity.words)
     best = max(quantity.words.values())
     return 0.0 if hit <= 0.5 else 0.95 * hit / (hit + miss + 0.3 * best)
 
 
-def parse_schema(text: str) -> list[tuple[str, str | None, tuple[str, ...]]]:
-    """The top fields of a text of schema_of_variant: name, JSON type (None for null) and the names of nested fields."""
-    pos = 0
-
-    def name() -> str:
-        nonlocal pos
-        if text[pos] == "`":
-            pos, out = pos + 1, []
-            while True:
-                if text[pos] == "`":
-                    if pos + 1 < len(text) and text[pos + 1] == "`":
-                        out.append("`")
-                        pos += 2
-                        continue
-                    pos += 1
-                    return "".join(out)
-                out.append(text[pos])
-                pos += 1
-        end = text.index(":", pos)
-        out_, pos = text[pos:end], end
-        return out_
-
-    def kind() -> tuple[str | None, tuple[str, ...], list]:
-        nonlocal pos
-        word = re.compile(r"[A-Z_]+").match(text, pos)
-        base, pos = word.group(), word.end()
-        fields: list = []
-        if pos < len(text) and text[pos] == "(":
-            pos = text.index(")", pos) + 1
-        if pos < len(text) and text[pos] == "<":
-            pos += 1
-            if base == "ARRAY":
-                kind()
-            else:
-                while text[pos] != ">":
-                    n = name()
-                    pos += 2  # ': '
-                    t, kids, _ = kind()
-                    fields.append((n, t, kids))
-                    if text[pos] == ",":
-                        pos += 2
-            pos += 1
-        return _TYPES.get(base, base.lower()), tuple(f[0] for f in fields), fields
-
-    return kind()[2]
-
-
-def flood(fields: list[tuple[str, str | None, tuple[str, ...]]], quantities: tuple[Quantity, ...] = CURVE_POINT, rounds: int = 60, eps: float = 1e-4, least: float = 0.2) -> dict[str, str]:
-    """Field name -> quantity name by similarity flooding; fields that fit none are left out.
-
-    Pairs are (field, quantity), (type, type) and (nested field, quantity's value). A (field, quantity) pair passes its
-    score to the pair of their types and back, in equal shares, and so do nested fields; names give the start and are
-    added again in every round. Ties go to the smaller names.
+def letters_score(a: str, b: str) -> float:
+    """Between 0 and 1: the share of letter pairs two names have in common, letter case aside."""
+    if a.lower() == b.lower():
+        return 1.0
+    pairs = [Counter(x[i : i + 2] for i in range(len(x) - 1)) for x in (f"^{a.lower()}$", f"^{b.lower()}$")]
+    return 2 * sum((pairs[0] & pairs[1]).values()) / sum(sum(p.values()) for p in pairs)
+
+
+def listed(name: str, quantities: tuple[Quantity, ...], least: float = 0.2) -> tuple[str | None, float]:
+    """The quantity whose words name a field best, and its score; none below least. Ties go to the first quantity."""
+    scores = [name_score(name, q) for q in quantities]
+    best = int(np.argmax(scores)) if scores else 0
+    return (quantities[best].name, scores[best]) if scores and scores[best] >= least else (None, 0.0)
+
+
+@dataclass(frozen=True)
+class Field:
+    """A node of a schema graph: a field's name, JSON types (bits of KINDS), nested names (bits of a 63-bit mask), and the form
+    of its values: mean decimal logarithm of their numbers (of their lengths, where text), share of whole numbers, whether text."""
+
+    name: str
+    kinds: int = 0
+    nest: int = 0
+    size: float | None = None
+    whole: float = 0.0
+    text: bool = False
+
+
+def _form_score(a: Field, b: Field) -> float:
+    """How alike the values of two fields are; 0 where one has none."""
+    if a.size is None or b.size is None or a.text != b.text:
+        return 0.0
+    return float(np.exp(-((a.size - b.size) ** 2) / (2 * (3 * SPREAD if a.text else SPREAD) ** 2)) * (1 - abs(a.whole - b.whole)))
+
+
+def flood(pairs: list[tuple[list[Field], list[Field]]], names: np.ndarray, rounds: int = ROUNDS, eps: float = SETTLED) -> np.ndarray:
+    """Scores of all field pairs of each pair of schemas (before, now), by similarity flooding, relative to the best of the two.
+
+    names: the start, pairs x fields x fields, padded by 0. The pairwise connectivity graph has nodes for pairs of fields,
+    of their JSON types, of the forms of their values and of their nested names; a field pair passes its score on to the
+    type, form and nest pair it stands at, and takes an equal share of theirs (a form counts half, a type and a nest a quarter). In every round a node's score is its start
+    plus its own plus what flows in, over the largest of its kind of node. All pairs of schemas flood at once.
     """
-    if not fields:
-        return {}
-    kinds_a = sorted({t or "null" for _, t, _ in fields})
-    kinds_b = sorted({q.json_type for q in quantities})
-    nested = sorted({n for f in fields for n in f[2]})
-    start = np.array([[name_score(f, q) for q in quantities] for f, _, _ in fields])
-    # A type edge joins each field to its type and a nest edge each field to its nested fields.
-    to_type = np.array([[float((t or "null") == k) for k in kinds_a] for _, t, _ in fields])
-    of_type = np.array([[float(q.json_type == k) for k in kinds_b] for q in quantities])
-    to_nest = np.array([[float(n in f[2]) for n in nested] for f in fields]).reshape(len(fields), len(nested))
-    type_start = np.array([[1.0 if a == b else 0.1 for b in kinds_b] for a in kinds_a])
-    nest_start = np.full((len(nested), len(quantities)), 0.1)
-    # Shares: a pair spreads its score evenly over the neighbours along one kind of edge.
-    out_type = np.maximum(to_type.sum(0)[:, None] * of_type.sum(0)[None, :], 1.0)
-    field, kind, nest = start.copy(), type_start.copy(), nest_start.copy()
+    n, width = len(pairs), names.shape[1]
+    kind, form, nest, there = (np.zeros((n, width, width)) for _ in range(4))
+    types = np.zeros((n, 2, width), np.int64)
+    for i, (old, new) in enumerate(pairs):
+        types[i, 0, : len(old)], types[i, 1, : len(new)] = [f.kinds for f in old], [f.kinds for f in new]
+        there[i, : len(old), : len(new)] = 1
+        for j, f in enumerate(old):
+            for k, g in enumerate(new):
+                form[i, j, k] = _form_score(f, g)
+                either = bin(f.nest | g.nest).count("1")
+                nest[i, j, k] = bin(f.nest & g.nest).count("1") / either if either else 0.0
+    bits = np.arange(len(KINDS))
+    of = [((t[:, :, None] >> bits) & 1).astype(float) for t in (types[:, 0], types[:, 1])]  # pairs x fields x types
+    kind_start = np.broadcast_to(np.where(np.eye(len(KINDS)) > 0, 1.0, 0.1), (n, len(KINDS), len(KINDS)))
+    shares = np.maximum(of[0].sum(1)[:, :, None] * of[1].sum(1)[:, None, :], 1.0)
+    top = lambda x: x / np.maximum(x.max((1, 2), keepdims=True), 1e-12)
+    field_start = np.where(there > 0, np.maximum(names, EPS), 0.0)
+    field, kind, form_now, nest_now = field_start, kind_start, form, nest
+    if not rounds:
+        return top(field)
     for _ in range(rounds):
-        back = to_type @ (kind / out_type) @ of_type.T + (to_nest @ nest if nested else 0.0)
-        field2 = start + start * (field + 0.5 * back)
-        kind2 = type_start + kind + to_type.T @ field @ of_type / out_type
-        nest2 = nest_start + nest + (to_nest.T @ field) / np.maximum(to_nest.sum(1).max() if nested else 1.0, 1.0)
-        top = max(field2.max(), 1e-12)
-        field2, kind2, nest2 = field2 / top, kind2 / max(kind2.max(), 1e-12), nest2 / max(nest2.max(), 1e-12) if nested else nest2
-        moved = np.abs(field2 - field).max()
-        field, kind, nest = field2, kind2, nest2
+        sent = field_start + field
+        flow = 0.25 * (of[0] @ ((kind_start + kind) / shares) @ of[1].transpose(0, 2, 1)) + 0.5 * (form + form_now) + 0.25 * (nest + nest_now)
+        new = top(there * (sent + flow))
+        kind = top(kind_start + kind + of[0].transpose(0, 2, 1) @ sent @ of[1] / shares)
+        form_now = top(form + form_now + np.where(form > 0, sent, 0.0))
+        nest_now = top(nest + nest_now + np.where(nest > 0, sent, 0.0))
+        moved = np.abs(new - field).max(initial=0.0)
+        field = new
         if moved < eps:
             break
-    # Consistent correspondences: the best pair whose field and quantity are both free, and so on.
-    order = sorted(((-max(field[i, j], 0.0), -start[i, j], fields[i][0], quantities[j].name, i, j) for i in range(len(fields)) for j in range(len(quantities)) if start[i, j] >= least))
-    used_f: set[int] = set()
-    used_q: set[int] = set()
-    out = {}
-    for _, _, f, q, i, j in order:
-        if i not in used_f and j not in used_q:
-            used_f.add(i)
-            used_q.add(j)
-            out[f] = q
-    return out
+    return field
+
 
+def correspondences(pairs: list[tuple[list[Field], list[Field]]], apart: list[set[tuple[str, str]]], quantities: tuple[Quantity, ...] = CURVE_POINT, rounds: int = ROUNDS, known: dict | None = None) -> list[list[tuple[str, str]]]:
+    """(name before, name now) of the fields that go on under another name, for each pair of schemas.
+
+    Names give the start: equal names 1, names listed under one quantity more than a half, else their letters. Consistent
+    are pairs whose names never stand in one file (apart), aren't listed under two quantities, and reach LEAST; of those
+    the best are taken first, each field once. Equal names always belong together. Ties go to the smaller names.
+    """
+    known = {} if known is None else known
+    if not pairs:
+        return []
+    width = max(max(len(a), len(b)) for a, b in pairs)
+    names, barred = np.zeros((len(pairs), width, width)), np.zeros((len(pairs), width, width), bool)
+    for i, (old, new) in enumerate(pairs):
+        for j, f in enumerate(old):
+            for k, g in enumerate(new):
+                key = (f.name, g.name)
+                if key not in known:
+                    (qa, sa), (qb, sb) = (known.get(x) or known.setdefault(x, listed(x, quantities)) for x in key)
+                    start = 1.0 if f.name == g.name else 0.6 + 0.4 * min(sa, sb) if qa and qa == qb else 0.6 * letters_score(*key)
+                    known[key] = (start, bool(qa and qb and qa != qb))
+                names[i, j, k], barred[i, j, k] = known[key]
+                barred[i, j, k] |= (min(key), max(key)) in apart[i]
+    scores = flood(pairs, np.where(barred, 0.0, names), rounds)
+    out = []
+    for i, (old, new) in enumerate(pairs):
+        both = {f.name for f in old} & {f.name for f in new}
+        free = [(-scores[i, j, k], f.name, g.name) for j, f in enumerate(old) for k, g in enumerate(new) if f.name not in both and g.name not in both and not barred[i, j, k] and scores[i, j, k] >= LEAST]
+        used: set[tuple[int, str]] = set()
+        found = []
+        for _, f, g in sorted(free):
+            if (0, f) not in used and (1, g) not in used:
+                used |= {(0, f), (1, g)}
+                found.append((f, g))
+        out.append(found)
+    return out
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for sig, fields in zip(batch["sig"], batch["fields"]):
-            known = flood([(f["field"], f["kind"], tuple(f["nested"])) for f in fields])
-            rows.append((sig, [{"field": f["field"], "kind": f["kind"], "quantity": known.get(f["field"], "other:" + f["field"])} for f in fields]))
-        yield pd.DataFrame(rows, columns=["sig", "matched"])
 
+_FIELD = "struct<name: string, kinds: int, nest: bigint, size: double, whole: double, text: boolean>"
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"shape": batch["shape"], "fields": [[{"field": n, "kind": t, "nested": list(kids)} for n, t, kids in parse_schema(s)] for s in batch["shape"]]})
+_EXPLODED = """
+SELECT l.file_id, l.stream, l.file_seq, e.key AS name, schema_of_variant(e.value) AS shape, e.value AS value
+FROM {lines} l, LATERAL variant_explode(l.whole) AS e
+WHERE e.key IS NOT NULL
+"""
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
-    """One row per file that has a complete line: file_id, stream, file_seq and its matched fields (field, kind, quantity).
+    """One row per file that has a complete line with a field: file_id, stream, file_seq and its fields, sorted by name.
 
     lines: file_id, stream, file_seq, line; further columns are ignored. A line counts if it is one whole JSON object;
-    null, empty and cut lines don't. Lines fold map-side to a file's few distinct shapes before anything is shuffled.
+    null, empty and cut lines don't. Values fold map-side to one row per file and field before anything is shuffled.
     """
-    shape = F.when(F.rtrim("line").endswith("}"), F.expr("schema_of_variant(try_parse_json(line))"))
-    shapes = (
-        lines.where(F.col("file_id").isNotNull())
-        .select("file_id", "stream", "file_seq", F.regexp_replace(shape, r"DECIMAL\(\d+,\d+\)|BIGINT|FLOAT", "DOUBLE").alias("shape"))
-        .where(F.col("shape").startswith("OBJECT"))
-        .distinct()
+    whole = F.when(F.rtrim("line").endswith("}"), F.expr("try_parse_json(line)"))
+    taken = lines.where(F.col("file_id").isNotNull()).select("file_id", "stream", "file_seq", whole.alias("whole"))
+    tall = lines.sparkSession.sql(_EXPLODED, lines=taken)
+    shape = F.col("shape")
+    kind = F.when(shape.startswith("OBJECT"), 16).when(shape.startswith("ARRAY"), 8).when(shape == "STRING", 2).when(shape == "BOOLEAN", 4).when(shape == "VOID", 0).otherwise(1).alias("kind")
+    numbers = F.transform(F.expr(r"regexp_extract_all(text, '([-+]?[0-9]+([.,][0-9]+)?([eE][-+]?[0-9]+)?)', 1)"), lambda t: F.abs(F.regexp_replace(t, ",", ".").try_cast("double")))
+    leads = F.regexp_extract("text", r"^\s*[-+]?[0-9]+([.,][0-9]+)?([eE][-+]?[0-9]+)?\s*([A-Za-z/%]*)\s*$", 0) != ""
+    nested = F.regexp_extract_all(shape, F.lit(r"[<,] ?`?([^:<>`,]+)`?: "), 1)
+    mask = F.when(F.col("kind") == 16, F.aggregate(nested, F.lit(0).cast("bigint"), lambda m, n: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(n), F.lit(63)).cast("int")))))
+    each = (
+        tall.select("file_id", "stream", "file_seq", "name", kind, shape, "value")
+        .withColumn("text", F.when(F.col("kind").isin(2, 8, 16), F.expr("CASE WHEN kind = 2 THEN variant_get(value, '$', 'string') ELSE to_json(value) END")))
+        .withColumn("number", F.when(F.col("kind") == 1, F.abs(F.expr("try_variant_get(value, '$', 'double')"))).when((F.col("kind") > 2) | leads, F.array_max(numbers)))
+        .select("file_id", "stream", "file_seq", "name", "kind", F.coalesce(mask, F.lit(0).cast("bigint")).alias("nest"), "number", F.length("text").alias("length"))
     )
-    shapes = cut(shapes, "shapes")
-    known = shapes.select("shape").distinct().mapInPandas(_parse, "shape string, fields array<struct<field string, kind string, nested array<string>>>")
-    fields = (
-        shapes.join(known, "shape")
-        .select("file_id", "stream", "file_seq", F.explode("fields").alias("f"))
-        .groupBy("file_id", "stream", "file_seq", F.col("f.field").alias("field"))
-        .agg(F.array_sort(F.collect_set("f.kind")).alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("f.nested")))).alias("nested"))
+    counted = F.col("number") > 0
+    fields = each.groupBy("file_id", "stream", "file_seq", "name").agg(
+        F.bit_or("kind").cast("int").alias("kinds"),
+        F.bit_or("nest").alias("nest"),
+        F.avg(F.when(counted, F.log10("number"))).alias("size"),
+        F.coalesce(F.avg(F.when(counted, (F.col("number") == F.floor("number")).cast("double"))), F.lit(0.0)).alias("whole"),
+        F.avg(F.when(F.col("number").isNull() & (F.col("length") > 0), F.log10("length"))).alias("length"),
     )
-    entry = F.struct("field", F.when(F.size("kinds") > 0, F.array_join("kinds", "|")).alias("kind"), "nested")
-    files = cut(fields.groupBy("file_id", "stream", "file_seq").agg(F.array_sort(F.collect_list(entry)).alias("fields")).withColumn("sig", F.sha2(F.to_json("fields", {"ignoreNullFields": "false"}), 256)), "files")
-    distinct = files.groupBy("sig").agg(F.first("fields").alias("fields"))
-    matched = spread(distinct).mapInPandas(_match, "sig string, matched array<struct<field string, kind string, quantity string>>")
-    return files.join(matched, "sig").select("file_id", "stream", "file_seq", "matched")
+    text = F.col("size").isNull() & F.col("length").isNotNull()
+    entry = F.struct("name", "kinds", "nest", F.coalesce("size", "length").alias("size"), "whole", text.alias("text"))
+    return cut(fields.groupBy("file_id", "stream", "file_seq").agg(F.array_sort(F.collect_list(entry)).alias("fields")), "files")
 
 
 def previous_in_stream(files: DataFrame, value: str, block: int = 256) -> DataFrame:
@@ -220,28 +248,92 @@ def previous_in_stream(files: DataFrame, value: str, block: int = 256) -> DataFr
     return joined.withColumn("before", F.coalesce(F.col("_inner"), F.col("_carry"))[value]).drop("_block", "_inner", "_carry", "_s", "_b")
 
 
-def schema_changes(lines: DataFrame) -> DataFrame:
+def names_apart(files: DataFrame) -> DataFrame:
+    """a < b: names that stand together in a file; as a quantity has at most one name in a file, they are two quantities'."""
+    sets = files.select(F.transform("fields", lambda f: f["name"]).alias("n")).distinct()
+    pairs = sets.select("n", F.explode("n").alias("a")).select("a", F.explode("n").alias("b")).where("a < b")
+    return pairs.distinct()
+
+
+def successions(files: DataFrame, quantities: tuple[Quantity, ...] = CURVE_POINT) -> DataFrame:
+    """file_id, fields, before and renames (array of old, new) of every file that has one before it in its stream."""
+    name = lambda column: F.transform(column, lambda f: f["name"])
+    both = previous_in_stream(files, "fields").where(F.col("before").isNotNull()).select("file_id", "fields", "before")
+    both = both.withColumn("gone", F.array_except(name("before"), name("fields"))).withColumn("come", F.array_except(name("fields"), name("before")))
+    both = cut(both, "successions")
+    open_ = both.where((F.size("gone") > 0) & (F.size("come") > 0))
+    met = open_.select("file_id", F.explode("gone").alias("g"), "come").select("file_id", "g", F.explode("come").alias("c"))
+    met = met.select("file_id", F.least("g", "c").alias("a"), F.greatest("g", "c").alias("b"))
+    apart = met.join(names_apart(files), ["a", "b"]).groupBy("file_id").agg(F.collect_list(F.struct("a", "b")).alias("apart"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        node = lambda rows: [Field(**f) for f in rows]
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                rows = batch.slice(at, 512).to_pylist()
+                pairs = [(node(r["before"]), node(r["fields"])) for r in rows]
+                found = correspondences(pairs, [{(p["a"], p["b"]) for p in r["apart"] or ()} for r in rows], quantities, known=known)
+                yield pa.RecordBatch.from_pydict(
+                    {"file_id": [r["file_id"] for r in rows], "renames": [[{"old": f, "new": g} for f, g in m] for m in found]},
+                    pa.schema([("file_id", pa.int64()), ("renames", pa.list_(pa.struct([("old", pa.string()), ("new", pa.string())])))]),
+                )
+
+    asked = spread(open_.select("file_id", "fields", "before").join(apart, "file_id", "left"))
+    matched = asked.mapInArrow(run, "file_id bigint, renames array<struct<old: string, new: string>>")
+    closed = both.where((F.size("gone") == 0) | (F.size("come") == 0)).withColumn("renames", F.expr("CAST(array() AS array<struct<old: string, new: string>>)"))
+    return open_.join(matched, "file_id").unionByName(closed).drop("gone", "come")
+
+
+def schema_changes(lines: DataFrame, quantities: tuple[Quantity, ...] = CURVE_POINT) -> DataFrame:
     """file_id, field, change_kind: each change of a file against the file before it in its stream.
 
     added, removed, renamed and retyped as in TESTDATA.md. A field whose values are all null has no type and is never
     retyped. The first file of a stream has no change. Files without a complete line have no schema and are passed over.
-    No lines: no rows.
+    quantities: words that may occur in names; names outside these lists are matched by their letters, types, nesting
+    and values. No lines: no rows.
     """
-    files = previous_in_stream(file_schemas(lines), "matched")
-    both = files.where(F.col("before").isNotNull()).select("file_id", "matched", "before")
-    now = both.select("file_id", F.explode("matched").alias("n")).select("file_id", F.col("n.quantity").alias("quantity"), F.col("n.field").alias("field"), F.col("n.kind").alias("kind"), F.lit(1).alias("side"))
-    old = both.select("file_id", F.explode("before").alias("n")).select("file_id", F.col("n.quantity").alias("quantity"), F.col("n.field").alias("field"), F.col("n.kind").alias("kind"), F.lit(0).alias("side"))
-    pick = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
-    pairs = now.unionByName(old).groupBy("file_id", "quantity").agg(pick(1, "field").alias("f1"), pick(0, "field").alias("f0"), pick(1, "kind").alias("k1"), pick(0, "kind").alias("k0"))
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("f0").isNull(), F.lit("added")),
-            F.when(F.col("f1").isNull(), F.lit("removed")),
-            F.when(F.col("f0") != F.col("f1"), F.lit("renamed")),
-            F.when(F.col("k0") != F.col("k1"), F.lit("retyped")),
-        )
+    made = successions(file_schemas(lines), quantities)
+    entry = "struct<field: string, change_kind: string>"
+    changes = F.expr(
+        f"""flatten(array(
+          transform(filter(fields, f -> NOT exists(before, b -> b.name = f.name) AND NOT exists(renames, r -> r.new = f.name)), f -> CAST((f.name, 'added') AS {entry})),
+          transform(filter(before, f -> NOT exists(fields, n -> n.name = f.name) AND NOT exists(renames, r -> r.old = f.name)), f -> CAST((f.name, 'removed') AS {entry})),
+          transform(renames, r -> CAST((r.new, 'renamed') AS {entry})),
+          transform(filter(transform(fields, f -> (f.name AS name, f.kinds AS kinds, get(filter(renames, r -> r.new = f.name), 0).old AS old)),
+            f -> f.kinds <> 0 AND exists(before, b -> b.name = coalesce(f.old, f.name) AND b.kinds <> 0 AND b.kinds <> f.kinds)), f -> CAST((f.name, 'retyped') AS {entry}))))"""
     )
-    return pairs.select("file_id", F.coalesce("f1", "f0").alias("field"), F.explode(kinds).alias("change_kind"))
+    return made.select("file_id", F.explode(changes).alias("c")).select("file_id", "c.field", "c.change_kind")
+
+
+def name_quantities(files: DataFrame, quantities: tuple[Quantity, ...] = CURVE_POINT) -> DataFrame:
+    """name, quantity, score: which quantity each field name stands for.
+
+    A name takes the quantity whose words name it; one outside all lists that of the names it was matched with as a rename,
+    the most frequent first, on and on until no further name is reached. Names never reached are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            found = [listed(n, quantities) for n in names]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "quantity": pa.array([q for q, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
+
+    names = files.select(F.explode("fields.name").alias("name")).distinct()
+    every = cut(names.mapInArrow(run, "name string, quantity string, score double"), "names")
+    known = every.where("quantity IS NOT NULL")
+    if every.where("quantity IS NULL").isEmpty():
+        return known
+    renames = successions(files, quantities).select(F.explode("renames").alias("r"))
+    links = renames.select(F.col("r.old").alias("name"), F.col("r.new").alias("other")).unionByName(renames.select(F.col("r.new").alias("name"), F.col("r.old").alias("other")))
+    links = cut(links.groupBy("name", "other").agg(F.count("*").alias("n")), "links")
+    while True:
+        of = known.select(F.col("name").alias("other"), "quantity")
+        offers = links.join(known, "name", "left_anti").join(of, "other").groupBy("name", "quantity").agg(F.sum("n").alias("n"))
+        new = cut(offers.groupBy("name").agg(F.min_by("quantity", F.struct(-F.col("n"), "quantity")).alias("quantity")).withColumn("score", F.lit(0.0)), "reached")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
 
 
 def number_in(text: Column) -> Column:
@@ -253,10 +345,12 @@ def number_in(text: Column) -> Column:
 def consistent_points(lines: DataFrame, quantities: tuple[Quantity, ...] = CURVE_POINT) -> DataFrame:
     """All points in one table: file_id, line_no and one typed column per quantity; repeated lines of a file once.
 
-    Lines that aren't whole objects are left out. Values that can't be read as the column's type become null.
+    Lines that aren't whole objects are left out. Of two fields of a file that stand for one quantity the better named is taken. Values that can't be read as the column's type become null.
     """
-    matched = file_schemas(lines)
-    names = matched.select(F.col("file_id").alias("_f"), F.map_from_arrays(F.transform("matched", lambda m: m["quantity"]), F.transform("matched", lambda m: m["field"])).alias("_names"))
+    files = file_schemas(lines)
+    held = files.select(F.col("file_id").alias("_f"), F.explode("fields.name").alias("name")).join(name_quantities(files, quantities), "name")
+    best = held.groupBy("_f", "quantity").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("name"))
+    names = best.groupBy("_f").agg(F.map_from_entries(F.collect_list(F.struct("quantity", "name"))).alias("_names"))
     whole = lines.where(F.rtrim("line").endswith("}") & F.expr("try_parse_json(line)").isNotNull()).groupBy("file_id", "line").agg(F.min("line_no").alias("line_no"))
     raw = whole.withColumn("_raw", F.from_json("line", "map<string,string>")).join(names, F.col("file_id") == F.col("_f"))
     columns = []
