@@ -80,5 +80,65 @@ def test_chain_is_split_into_groups_each_near_each(spark):
     assert all(edits(x, y) <= 4 for g in groups.values() for x in g for y in g)
 
 
+def bridged(seed):
+    """Two families whose bases differ at six places, each near each inside; members that lean to the other base are near some of the other family."""
+    rng = random.Random(seed)
+    other_than = lambda c: rng.choice([x for x in AA if x != c])
+    base = [rng.choice(AA) for _ in range(40)]
+    places = rng.sample(range(40), 18)
+    apart, own = places[:6], places[6:]
+    far = [other_than(c) if i in apart else c for i, c in enumerate(base)]
+    put = lambda s, at, c: "".join(c if i == at else x for i, x in enumerate(s))
+    lean = lambda s, to, at: "".join(to[i] if i in at else x for i, x in enumerate(s))
+    a = ["".join(base), lean(base, far, apart[:2])] + [put(base, at, other_than(base[at])) for at in own[: rng.randrange(3, 7)]]
+    b = ["".join(far), lean(far, base, apart[2:4])] + [put(far, at, other_than(far[at])) for at in own[6 : 6 + rng.randrange(3, 7)]]
+    assert all(edits(x, y) <= 4 for f in (a, b) for x in f for y in f)
+    return a, b, sum(edits(x, y) <= 4 for x in a for y in b)
+
+
+def grouped(spark, names):
+    groups = {}
+    for r in C.cluster(frame(spark, names)).collect():
+        groups.setdefault(r["cluster_key"], set()).add(r["variant"])
+    return groups
+
+
+def test_bridged_families_are_told_apart_by_the_embedding(spark, monkeypatch):
+    cases, names, want = [c for c in map(bridged, range(12)) if c[2]], [], {}
+    assert len(cases) >= 5
+    for a, b, _ in cases:
+        names += a + b
+        want |= {min(a): set(a), min(b): set(b)}
+    assert grouped(spark, names) == want
+    monkeypatch.setattr(C, "POWERS", 0)
+    assert grouped(spark, names) != want
+
+
+def test_no_member_of_a_bridged_group_is_lost(spark):
+    rng = random.Random(5)
+    start = "".join(rng.choice(AA) for _ in range(40))
+    chain = [start]
+    for i in range(9):
+        s = list(chain[-1])
+        for j in range(2):
+            s[i * 4 + j] = rng.choice([c for c in AA if c != s[i * 4 + j]])
+        chain.append("".join(s))
+    groups = grouped(spark, chain)
+    assert all(edits(x, y) <= 4 for g in groups.values() for x in g for y in g)
+    alone = set(chain) - {x for g in groups.values() for x in g}
+    # Whoever is left alone is near all members of no group, and of no other left alone.
+    assert not any(all(edits(x, y) <= 4 for y in g) for x in alone for g in groups.values())
+    assert not any(edits(x, y) <= 4 for x in alone for y in alone if x != y)
+
+
+def test_segments_hot_again_after_refining(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 3)
+    rng = random.Random(3)
+    core = ["".join(rng.choice("AC") for _ in range(12)) for _ in range(40)]
+    seqs = sorted({"MGSSHHHHHHSSG" + c for c in core} | {"", "A", "CA"})[1:]
+    got = {frozenset((r["a"], r["b"])) for r in C.similar_sequences(spark.createDataFrame([(s,) for s in seqs], "seq string")).collect()}
+    assert got == {frozenset((x, y)) for x in seqs for y in seqs if x < y and edits(x, y) <= 4}
+
+
 def test_empty(spark):
     assert C.cluster(frame(spark, [])).count() == 0
