@@ -24,7 +24,6 @@ from curvelake.operators.grid import dense, finite, in_cells
 from curvelake.session import cut
 
 PROJECTIONS, THRESHOLD, HALF_WIDTH = 24, 16, 1.5
-DENSE, SPARE = 0.02, 8  # share of rows from which candidates are verified as a block; ties kept beyond k while doing so
 CELL, SAMPLE_PER_CELL, MOST_CELLS, MARGIN, BLOCK = 2000, 12, 4096, 0.35, 4096
 
 
@@ -90,7 +89,7 @@ def fit_cells(vectors: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def _placed(vectors: DataFrame, centres: dict[str, np.ndarray], radius: float, query: str) -> DataFrame:
+def _placed(vectors: DataFrame, centres: dict[str, np.ndarray], radius: float, query: str, margin: float = MARGIN) -> DataFrame:
     """vectors with home, their own cell, and probes, the cells a query looks into (empty for vectors that don't ask)."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS rows a metric
 
@@ -111,15 +110,18 @@ def _placed(vectors: DataFrame, centres: dict[str, np.ndarray], radius: float, q
                         apart = np.sqrt(np.maximum(squares[own][:, None] + squares[None, :] - 2 * cross, 1e-12))
                         border = (dist - dist[at, own][:, None]) / (2 * apart)
                         border[at, own] = 0
-                        probes += [np.flatnonzero(b <= MARGIN * radius).astype(np.int32) for b in border]
+                        probes += [np.flatnonzero(b <= margin * radius).astype(np.int32) for b in border]
                 none = np.zeros(0, np.int32)
                 yield pd.DataFrame({"metric": metric, "curve_id": part["curve_id"], "vec": part["vec"], "home": home, "probes": [p if a else none for p, a in zip(probes, part["asks"])]})
 
     return vectors.withColumn("asks", F.expr(query)).mapInPandas(place, "metric string, curve_id bigint, vec binary, home int, probes array<int>")
 
 
-def search(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float, first_radius: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, similarity) of the up to k nearest rows of each query within radius, by collision counting."""
+def search(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float, first_radius: float, seed: int = 11, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, similarity) of the up to k nearest rows of each query within radius, by collision counting.
+
+    Every row that collides often enough is verified, however many do; of equally similar ones the smaller ids come first.
+    """
     directions = np.random.default_rng(seed).standard_normal((PROJECTIONS, rows.shape[1])).astype(np.float32)
     p_rows, p_queries = rows @ directions.T, queries @ directions.T
     order = p_rows.argsort(0, kind="stable")
@@ -138,18 +140,17 @@ def search(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
                 lo = np.searchsorted(arrays[:, j], p_queries[some, j] - HALF_WIDTH * r).astype(np.uint16)
                 hi = np.searchsorted(arrays[:, j], p_queries[some, j] + HALF_WIDTH * r, "right").astype(np.uint16)
                 hits += (rank[:, j][None, :] - lo[:, None]) < (hi - lo)[:, None]
-            met = hits >= THRESHOLD
-            if met.mean() > DENSE:  # wide windows: one product of the blocks finds the best of those that met
-                rough = np.where(met & (query_ids[some][:, None] != row_ids[None, :]), queries[some] @ rows.T, -2)
-                most = min(k + SPARE, len(rows))
-                c = np.argpartition(-rough, most - 1, axis=1)[:, :most].ravel()
-                q = np.repeat(np.arange(len(some)), most)
-                q, c = q[rough[q, c] > -1.5], c[rough[q, c] > -1.5]
-            else:
-                q, c = np.nonzero(met)
-            q = some[q]
-            other = query_ids[q] != row_ids[c]
-            q, c = q[other], c[other]
+            met = hits >= threshold
+            near_q, near_c = [], []
+            for i, one in enumerate(some):
+                c = np.flatnonzero(met[i])
+                c = c[row_ids[c] != query_ids[one]]
+                if len(c) > k:  # float32 is off by far less than 1e-5: whatever may be among the k goes on, ties included
+                    rough = rows[c] @ queries[one]
+                    c = c[rough >= np.partition(rough, len(c) - k)[len(c) - k] - 1e-5]
+                near_q.append(np.full(len(c), one))
+                near_c.append(c)
+            q, c = np.concatenate(near_q), np.concatenate(near_c)
             sim = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + 100_000]], rows[c[i : i + 100_000]], dtype=np.float64) for i in range(0, len(q), 100_000)] or [np.zeros(0)])
             inside = 2 - 2 * sim <= radius * radius + 1e-9
             q, c, sim = q[inside], c[inside], sim[inside]
@@ -183,13 +184,14 @@ def _copies(stored: DataFrame, k: int, spread: int = 64) -> tuple[DataFrame, Dat
     return members, smallest.groupBy("metric", "rep").agg(F.array_sort(F.collect_list("curve_id")).alias("ids"))
 
 
-def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, query: str = "true") -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, query: str = "true", exact: bool = False) -> DataFrame:
     """metric, curve_id, neighbour_id, similarity, place: the k most similar vectors of the same metric.
 
     vectors: metric, curve_id, vec as of unit_vectors; one row per curve and metric. query: which vectors ask, by a
     condition on curve_id (all are searched). least: neighbours below this similarity are of no interest, which bounds the
     radius; without it windows widen until k are found in the cells looked into. Ties go to the smaller id; a vector is
-    never its own neighbour. A vector without a neighbour has no row. Empty input: no rows.
+    never its own neighbour. A vector without a neighbour has no row. Empty input: no rows. exact: every cell is looked
+    into and every vector counts as colliding, so nothing is missed, at the price of comparing all with all.
 
     Copies of one vector are searched once, by their smallest id, and take part in every result as the vectors they are;
     the work for a group of copies grows with its size, not with its square.
@@ -198,11 +200,11 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, que
     copies = _copies(stored, k)
     order = Window.partitionBy("metric", "curve_id").orderBy(F.desc("similarity"), "neighbour_id")
     if copies is None:
-        found = _search_all(stored, k, least, query)
+        found = _search_all(stored, k, least, query, exact)
     else:
         members, groups = copies
         spare = members.where("curve_id <> rep").select("metric", "curve_id")
-        near = _search_all(stored.join(spare, ["metric", "curve_id"], "left_anti"), k, least, "true")
+        near = _search_all(stored.join(spare, ["metric", "curve_id"], "left_anti"), k, least, "true", exact)
         asked = groups.select("metric", F.col("rep").alias("neighbour_id"), "ids")
         wide = near.join(asked, ["metric", "neighbour_id"], "left").select("metric", F.col("curve_id").alias("rep"), F.explode(F.coalesce("ids", F.array("neighbour_id"))).alias("neighbour_id"), "similarity")
         own = groups.select("metric", "rep", F.explode("ids").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
@@ -214,11 +216,11 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float | None = None, que
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def _search_all(stored: DataFrame, k: int, least: float | None, query: str) -> DataFrame:
+def _search_all(stored: DataFrame, k: int, least: float | None, query: str, exact: bool = False) -> DataFrame:
     """metric, curve_id, neighbour_id, similarity: up to k of each block looked into."""
     radius = float(np.sqrt(2 - 2 * least)) if least is not None else float(np.sqrt(2.0))
     reach = radius if least is not None else 0.4  # without a bound, cells whose border is nearer than MARGIN times this
-    placed = cut(_placed(stored, fit_cells(stored), reach, query), "placed")
+    placed = cut(_placed(stored, fit_cells(stored), reach, query, np.inf if exact else MARGIN), "placed")
     asked = placed.select(*[F.col(c).alias(c) for c in ("metric", "curve_id", "vec", "probes")]).withColumn("cell", F.explode("probes")).drop("probes")
     sizes = (
         placed.groupBy("metric", F.col("home").alias("cell")).agg(F.count("*").alias("n"))
@@ -230,12 +232,13 @@ def _search_all(stored: DataFrame, k: int, least: float | None, query: str) -> D
     rows = placed.withColumnRenamed("home", "cell").join(sizes, ["metric", "cell"]).select("metric", "cell", part("row_blocks").alias("rb"), every("query_blocks").alias("qb"), "curve_id", "vec")
     queries = asked.join(sizes, ["metric", "cell"]).select("metric", "cell", every("row_blocks").alias("rb"), part("query_blocks").alias("qb"), "curve_id", "vec")
     keys = ["metric", "cell", "rb", "qb"]
-    first = radius / 2 if least is not None else 0.1
+    first = radius if exact else radius / 2 if least is not None else 0.1
+    threshold = 0 if exact else THRESHOLD
 
     def both(key: tuple, r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(r) or not len(q):
             return pd.DataFrame({"metric": [], "curve_id": [], "neighbour_id": [], "similarity": []})
-        a, b, s = search(r["curve_id"].to_numpy(), _matrix(r["vec"]), q["q_curve_id"].to_numpy(), _matrix(q["q_vec"]), k, radius, first)
+        a, b, s = search(r["curve_id"].to_numpy(), _matrix(r["vec"]), q["q_curve_id"].to_numpy(), _matrix(q["q_vec"]), k, radius, first, threshold=threshold)
         return pd.DataFrame({"metric": key[0], "curve_id": a, "neighbour_id": b, "similarity": s})
 
     queries = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns])  # cogroup wants columns of its own on either side

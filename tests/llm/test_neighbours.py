@@ -60,6 +60,41 @@ def test_a_third_of_all_vectors_are_copies(spark):
         assert got.groupby("curve_id").size().max() <= 5
 
 
+def test_a_hundred_ties_go_to_the_smaller_ids():
+    """All rows are equally similar to the query, their ids fall along the block; windows are wide enough for all to collide."""
+    rng = np.random.default_rng(8)
+    away = rng.standard_normal((100, 40))
+    query = np.abs(rng.standard_normal(40))
+    query /= np.linalg.norm(query)
+    away -= np.outer(away @ query, query)
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    rows = np.round(0.995 * query + np.sqrt(1 - 0.995**2) * away, 3).astype(np.float32)
+    rows = np.repeat(rows[:1], 100, 0)
+    for threshold in (N.THRESHOLD, 0):
+        _, found, sim = N.search(np.arange(100, 0, -1), rows, np.array([0]), query[None].astype(np.float32), 5, 0.2, 0.2, threshold=threshold)
+        assert found.tolist() == [1, 2, 3, 4, 5] and np.ptp(sim) == 0
+
+
+def test_exact_search_misses_nothing_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 60)
+    v = np.sqrt(unit(np.random.default_rng(9), 400))
+    got = N.most_similar(frame(spark, v), 5, None, "curve_id % 20 = 0", exact=True).toPandas()
+    assert recall(got, {i: w for i, w in brute(v, 5, None).items() if i % 20 == 0}) == 1.0
+
+
+def test_recall_in_whole_blocks():
+    rng = np.random.default_rng(10)
+    x = unit(rng, 2000)
+    x = np.concatenate([x, x * np.exp(rng.normal(0, 0.05, x.shape))])
+    v = np.sqrt(x / x.sum(1, keepdims=True)).astype(np.float32)
+    asked = np.arange(0, 4000, 20)
+    q, c, _ = N.search(np.arange(4000), v, asked, v[asked], 5, 0.2, 0.1)
+    s = v[asked].astype(float) @ v.T.astype(float)
+    s[np.arange(len(asked)), asked] = -1
+    want = {(a, b) for i, a in enumerate(asked) for b in np.argsort(-s[i], kind="stable")[:5] if s[i, b] >= 0.98}
+    assert len(want) > 100 and len(want & set(zip(q.tolist(), c.tolist()))) / len(want) >= 0.99
+
+
 def test_dirty_readings_and_pairs(spark):
     nan, inf = float("nan"), float("inf")
     grid = spark.createDataFrame([("rg", 0.0, 0.1, 10, False)], "metric string, x_start double, x_step double, n_cells int, is_periodic boolean")
