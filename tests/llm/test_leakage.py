@@ -49,10 +49,47 @@ def test_long_text_repeats_and_removal(spark):
 
 
 def test_large_test_sets_are_searched_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_BYTES", 300)
+    monkeypatch.setattr(L, "SLICE_WORDS", 40)
     assert found(spark, [ITEM, OTHER, NOISE]) == {(0, 1), (1, 2)}
 
 
+def test_spans_are_cut_and_the_rest_stays(spark):
+    run = WORDS[10:40]
+    item = " ".join(run)
+    odd = "Ünïcode İ ﬁne &amp; <i>x</i> before "
+    texts = [
+        f"{odd}{item.upper()}, {NOISE}", f"{NOISE}\n> " + "\n> ".join(run) + f"\n{NOISE}", NOISE, None, "", f"<p>{item}</p>", f"{item} and then {OTHER}! {NOISE} {item}",
+        f"{odd}" + " ".join(run[:12]) + "-\n// " + " ".join(run[12:]) + " tail",
+    ]
+    docs = spark.createDataFrame([(i, t, "clash", float("nan")) for i, t in enumerate(texts)], "doc_id bigint, text string, item_id string, n_words double")
+    tests = spark.createDataFrame([(1, item), (2, OTHER)], "item_id bigint, text string")
+    rows = {r["doc_id"]: r for r in L.without_spans(docs, tests).collect()}
+    got = {i: r["text"] for i, r in rows.items()}
+    assert len(rows) == len(texts) and all(r["item_id"] == "clash" for r in rows.values())
+    assert got[0] == f"{odd} , {NOISE}" and got[1] == f"{NOISE}\n>  \n{NOISE}" and [got[i] for i in (2, 3, 4)] == [NOISE, None, ""]
+    assert got[5] == "<p> </p>" and got[6] == f"  and then  ! {NOISE}  " and got[7] == f"{odd}  tail"
+    assert L.leaked_spans(spark.createDataFrame([(i, t) for i, t in got.items()], "doc_id bigint, text string"), tests).count() == 0
+
+
+def test_words_are_located_where_they_are_numbered():
+    known = L.Items([(1, ITEM)])
+    rng = random.Random(9)
+    bits = [*WORDS[:30], "-\n", "\r\n", " ", "<b>", "</b>", "&amp;", "&#x41;", "é", "e\u0301", "ﬁ", "İ", "\u00ad", "-", "1) ", "> ", "²", "<", "&"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 60)))
+        places = L.located(text, known)
+        assert len(places) == len(known.number(text)) and all(0 <= a < b <= len(text) for a, b in places)
+        assert all(p[0] <= q[0] for p, q in zip(places, places[1:]))
+
+
+def test_a_slice_takes_what_its_words_bound():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20000)]
+    known = L.Items([(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(1000)])
+    n = len(known.words)
+    assert n == 200_000 and known.bytes() <= 20 * n + 12 * 2 * len(known.item_ids) + 150 * len(set(words))
+
+
 def test_against_brute_force(spark):
     rng = random.Random(2)
     items = [(i, [rng.choice(WORDS[:40]) for _ in range(45)]) for i in range(6)]
