@@ -2,8 +2,12 @@
 
 Method: documents and words are the nodes of a bipartite graph; an edge weighs a word's share of a document's sentences,
 each sentence counting alike. Graded documents are clamped to their grade; in distributed harmonic rounds every word
-takes the mean of its documents and every other document the mean of its words. In the end each sentence of prose gets
-the level whose graded documents lie nearest, and a document the level most of its sentences have.
+takes the mean of its documents and every other document the mean of its words, until no word moves by TOLERANCE any
+more. The rounds follow an Anderson-accelerated path to the same fixed point. A document's level is then that whose graded
+documents lie nearest most of its sentences, by the words' values at the fixed point.
+
+The language goes along the same edges: graded documents are in the language looked for; so is a document of which a share
+of KNOWN is words of that language, and a word of which a share of SPOKEN is in such documents.
 
 Word nodes live in SLOTS hash slots, so what a round gathers and sends out is bounded by a constant whatever the corpus.
 """
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,12 +30,13 @@ from curvelake.session import cut
 
 SLOTS = 1 << 19
 LEVELS = (1, 2, 3, 4)
-ROUNDS, TOLERANCE = 8, 1e-3
+ROUNDS, TOLERANCE, HISTORY = 200, 1e-3, 5  # a safety bound, of which a warning tells; change of a word at which rounds end; steps kept for acceleration
 LEAST_WORDS = 60
 COMMON = 0.004  # a sentence of up to COMMON_WORDS words that stands in this share of all distinct texts is a footer
 COMMON_WORDS = 15
 COPY = 0.5  # texts with this share of common lines among their distinct sentences are near copies of one another
-KNOWN = 0.6  # share of a sentence's words that graded documents must use for it to count as their language
+SPOKEN = 0.25  # share of a word's weight that must be in documents of that language for it to be of it
+KNOWN = 0.6  # share of a sentence's words that must be of the graded documents' language for it to count as such
 
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _TITLE = re.compile(r"[ \t]*(?:#|@|=+[ \t]|\[\d+\])")
@@ -202,42 +208,93 @@ def _footers(corpus: DataFrame) -> np.ndarray:
     return np.array(sorted(r["line"] for r in kept), np.int64)
 
 
+def _edges(corpus: DataFrame, common: np.ndarray) -> DataFrame:
+    """grade, slots, weights: the edges of each document, a word of it once, from its sentences of prose."""
+    sent = corpus.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Batch(batch, sent.value)
+            ok = b.prose[b.sentence]
+            at = b.doc[b.sentence][ok].astype(np.int64) * SLOTS + b.slot[ok]
+            edge, back = np.unique(at, return_inverse=True)
+            weight = np.bincount(back, 1.0 / b.length[b.sentence][ok], len(edge)).astype(np.float32)
+            ends = pa.array(np.searchsorted(edge, np.arange(b.docs + 1, dtype=np.int64) * SLOTS), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((edge % SLOTS).astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), *lists], ["grade", "slots", "weights"])
+
+    return cut(corpus.mapInArrow(run, "grade double, slots array<int>, weights array<float>"), "edges")
+
+
+def _ahead(xs: list[np.ndarray], fs: list[np.ndarray]) -> np.ndarray:
+    """The next point of a fixed-point iteration from its last points and their images (Anderson's mixing)."""
+    if len(xs) < 2:
+        return fs[-1]
+    rests = np.stack([f - x for x, f in zip(xs, fs)])
+    steps = np.diff(rests, axis=0).T
+    mix, *_ = np.linalg.lstsq(steps, rests[-1], rcond=1e-8)
+    return np.clip(fs[-1] - np.diff(np.stack(fs), axis=0).T @ mix, LEVELS[0], LEVELS[-1])
+
+
 def propagate(corpus: DataFrame, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(score of every word slot, NaN where no grade reaches; whether graded documents use the slot)."""
+    """(value of every word slot at the fixed point, NaN where no grade reaches; whether the slot is of the graded documents' language).
+
+    What a round gathers and sends out is bounded by SLOTS, whatever the corpus.
+    """
     spark = corpus.sparkSession
-    score, used = np.full(SLOTS, np.nan), np.zeros(SLOTS, bool)
+    edges = _edges(corpus, common)
+    score, known = np.full(SLOTS, np.nan), np.zeros(SLOTS, bool)
+    used = None
+    xs: list[np.ndarray] = []
+    fs: list[np.ndarray] = []
     for n in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((score.astype(np.float32), common))
+        sent = spark.sparkContext.broadcast((score.astype(np.float32), known))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, lines = sent.value
-            total, weight, graded = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(SLOTS)
+            now, own = sent.value
+            value_of, there = np.nan_to_num(now).astype(float), (~np.isnan(now)).astype(float)
+            sums = np.zeros((5, SLOTS))
             for batch in batches:
-                b = _Batch(batch, lines)
-                value = np.where(np.isnan(b.grade), b.of_docs(now), b.grade)  # graded documents stay clamped
-                at = b.doc[b.sentence]
-                ok = b.prose[b.sentence] & ~np.isnan(value[at])
-                w = 1.0 / b.length[b.sentence][ok]
-                slot, v = b.slot[ok], value[at[ok]]
-                total += np.bincount(slot, w * v, SLOTS)
-                weight += np.bincount(slot, w, SLOTS)
-                graded += np.bincount(slot, ~np.isnan(b.grade[at[ok]]), SLOTS)
-            some = np.flatnonzero(weight)
-            yield pa.RecordBatch.from_pydict({"slot": some.astype(np.int32), "total": total[some], "weight": weight[some], "graded": graded[some]})
-
-        sums = corpus.mapInArrow(part, "slot int, total double, weight double, graded double").groupBy("slot").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"), F.sum("graded").alias("g"))
-        got = sums.toPandas()  # at most SLOTS rows
-        new = np.full(SLOTS, np.nan)
-        new[got["slot"]] = got["t"] / got["w"]
-        if n == 0:
-            used[got["slot"][got["g"] > 0]] = True
-        moved = np.nanmax(np.abs(new - score), initial=0.0) if not np.isnan(score).all() else np.inf
-        reached = np.isnan(score).sum() != np.isnan(new).sum()
-        score = new
+                grade = batch.column("grade").to_numpy(zero_copy_only=False).astype(float)
+                slot, w = batch.column("slots").flatten().to_numpy(), batch.column("weights").flatten().to_numpy().astype(float)
+                doc = np.repeat(np.arange(len(batch)), batch.column("slots").value_lengths().to_numpy(zero_copy_only=False))
+                per = lambda x: np.bincount(doc, x, len(batch))
+                reached = per(w * there[slot])
+                value = np.where(np.isnan(grade), per(w * value_of[slot]) / np.where(reached > 0, reached, np.nan), grade)  # graded documents stay clamped
+                english = ~np.isnan(grade) | (per(w * own[slot]) >= KNOWN * np.maximum(per(w), 1e-9))
+                ok = ~np.isnan(value[doc])
+                for row, x in enumerate((np.where(ok, w * np.nan_to_num(value[doc]), 0.0), w * ok, w * ~np.isnan(grade[doc]), w * english[doc], w)):
+                    sums[row] += np.bincount(slot, x, SLOTS)
+            some = np.flatnonzero(sums[4])
+            yield pa.RecordBatch.from_pydict({"slot": some.astype(np.int32), **{c: s[some] for c, s in zip("twgea", sums)}})
+
+        schema = "slot int, t double, w double, g double, e double, a double"
+        got = edges.mapInArrow(part, schema).groupBy("slot").agg(*[F.sum(c).alias(c) for c in "twgea"]).toPandas()  # at most SLOTS rows
         sent.unpersist()
-        if moved < TOLERANCE and not reached:
+        slot = got["slot"].to_numpy()
+        new, kept = np.full(SLOTS, np.nan), known
+        new[slot] = (got["t"] / got["w"].where(got["w"] > 0)).to_numpy()
+        used = slot[got["g"].to_numpy() > 0] if used is None else used
+        known = np.zeros(SLOTS, bool)
+        known[used] = True
+        if n:
+            known[slot[(got["e"] >= SPOKEN * got["a"]).to_numpy()]] = True
+        some = ~np.isnan(new)
+        if not some.any():
             break
-    return score, used
+        same = np.array_equal(some, ~np.isnan(score)) and np.array_equal(known, kept)
+        if same and np.abs(new[some] - score[some]).max() < TOLERANCE:
+            score = new
+            break
+        if same:
+            xs, fs = [*xs, score[some]][-HISTORY:], [*fs, new[some]][-HISTORY:]
+            new[some] = _ahead(xs, fs)
+        else:
+            xs, fs = [], []
+        score = new
+    else:
+        logging.getLogger(__name__).warning("word values still moved after %d rounds", ROUNDS)
+    return score, known
 
 
 def _final(corpus: DataFrame, score: np.ndarray, used: np.ndarray, common: np.ndarray, centres: np.ndarray | None) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from curvelake.llm import reading as R
 
 LEVELS = {n: ["".join(chr(97 + (n * 7 + i * 3 + j * 5) % 26) for j in range(4 + n)) + "abcd"[n - 1] for i in range(30)] for n in (1, 2, 3, 4)}
@@ -83,3 +85,55 @@ def test_empty(spark):
     docs, labels = tables(spark, [], marks)
     assert R.reading_levels(docs, labels).columns == ["doc_id", "reading_level", "score"]
     assert R.reading_levels(docs, labels).count() == 0
+
+
+def chained(rng):
+    """Graded documents use words of one kind, others mix them with a second kind, the last use the second kind only."""
+    second = {n: [w[::-1] + "q" for w in words] for n, words in LEVELS.items()}
+
+    def mixed(level, kinds, n=14):
+        word = lambda: rng.choice(kinds[len(kinds) > 1 and rng.random() < 0.3][level if rng.random() > 0.15 else min(4, max(1, level + rng.choice((-1, 1))))])
+        return " ".join(" ".join(word() for _ in range(9)).capitalize() + "." for _ in range(n))
+
+    docs, labels, last = [], [], {}
+    for i in range(240):
+        level = 1 + i % 4
+        if i < 80:
+            docs.append((i, mixed(level, [LEVELS])))
+            labels.append((i, "a", level))
+        elif i < 200:
+            docs.append((i, mixed(level, [LEVELS, second])))
+        else:
+            docs.append((i, mixed(level, [second])))
+            last[i] = level
+    return docs, labels, last
+
+
+def test_propagation_reaches_documents_whose_words_no_graded_one_uses(spark, monkeypatch):
+    docs, labels, last = chained(random.Random(11))
+    got = {r["doc_id"]: r["reading_level"] for r in R.reading_levels(*tables(spark, docs, labels)).collect()}
+    assert sum(got.get(i) == level for i, level in last.items()) >= 0.95 * len(last)
+    monkeypatch.setattr(R, "ROUNDS", 1)
+    once = {r["doc_id"]: r["reading_level"] for r in R.reading_levels(*tables(spark, docs, labels)).collect()}
+    assert sum(once.get(i) != got.get(i) for i in last) >= 0.9 * len(last)
+
+
+def test_rounds_end_at_the_harmonic_fixed_point(spark):
+    docs, labels, _ = chained(random.Random(12))
+    docs_df, labels_df = tables(spark, docs, labels)
+    corpus = R.cut(R.parsed(docs_df).join(R.grades(labels_df), "doc_id", "left"), "corpus")
+    score, known = R.propagate(corpus, np.array([], np.int64))
+    # The same graph as one dense system: words' values solve x = A x + b.
+    rows = corpus.collect()
+    slots = sorted({s for r in rows for s in r["slots"]})
+    at = {s: k for k, s in enumerate(slots)}
+    edge = np.zeros((len(rows), len(slots)))
+    for i, r in enumerate(rows):
+        sentence = np.repeat(np.arange(len(r["lengths"])), r["lengths"])
+        for s, k in zip(r["slots"], sentence):
+            edge[i, at[s]] += 1 / r["lengths"][k]
+    grade = np.array([np.nan if r["grade"] is None else r["grade"] for r in rows])
+    of_word, of_doc = edge / edge.sum(0), edge / edge.sum(1, keepdims=True)
+    free = np.isnan(grade)
+    exact = np.linalg.solve(np.eye(len(slots)) - of_word[free].T @ of_doc[free], of_word[~free].T @ grade[~free])
+    assert np.abs(score[slots] - exact).max() < 0.02 and known[slots].all()
