@@ -159,25 +159,6 @@ def mixture(members: DataFrame, group: Sequence[str], x: str, mass: str, weight:
     return summed.select(*group, x, F.when(total > 0, F.col("_p") / total).alias("p"))
 
 
-def distances(masses: DataFrame, keys: Sequence[str], item: str, x: str, mass: str) -> DataFrame:
-    """keys, a, b, js, hellinger, w1: distances of all pairs of items of a key on their common grid of cells x.
-
-    js is the root of the Jensen-Shannon divergence, hellinger the norm over the root of 2, w1 the summed difference of
-    the running sums in cells. Only for sets of items that are bounded (a selection, metrics, representatives): the
-    result has a row per pair. Items need a row for every cell of the key.
-    """
-    from curvelake.functions.physics import js_term
-
-    run = masses.withColumn("_c", F.sum(mass).over(Window.partitionBy(*keys, item).orderBy(x)))
-    a = run.select(*keys, F.col(item).alias("a"), x, F.col(mass).alias("_p"), F.col("_c").alias("_cp"))
-    b = run.select(*keys, F.col(item).alias("b"), x, F.col(mass).alias("_q"), F.col("_c").alias("_cq"))
-    term = js_term(F.col("_p"), F.col("_q"))
-    return (
-        a.join(b, [*keys, x]).where("a < b").groupBy(*keys, "a", "b")
-        .agg(F.sqrt(F.greatest(F.sum(term), F.lit(0.0))).alias("js"), F.sqrt(F.sum((F.sqrt("_p") - F.sqrt("_q")) ** 2) / 2).alias("hellinger"), F.sum(F.abs(F.col("_cp") - F.col("_cq"))).alias("w1"))
-    )
-
-
 def interpolated_density(df: DataFrame, keys: Sequence[str], item: str, x: str, y: str, places: int = 4) -> DataFrame:
     """keys, item, x, density: each item's curve on the union of its key's rounded x, 0 outside it, with an integral of 1.
 
@@ -229,14 +210,159 @@ def replica_mass(df: DataFrame, keys: Sequence[str], replica: str, x: str, y: st
     return mean.select(*keys, x, (F.col("_m") / F.sum("_m").over(Window.partitionBy(*keys))).alias("mass"))
 
 
-def quantile_distance(masses: DataFrame, keys: Sequence[str], item: str, x: str, mass: str, points: int = 256) -> DataFrame:
-    """keys, a, b, w2: the root mean square difference of two items' quantile functions at (i + 0.5) / points.
-
-    Every cell gives the points its stretch of the running sum covers, so an item is `points` rows. For bounded sets of items.
+KINDS = ("js", "hellinger", "w1", "w2")
+BINS, POINTS, FLOOR = 10_000, 256, 1e-15  # steps of a distance's range in which its median is told; quantiles of w2; least mass
+
+
+def curve_sets(cells: DataFrame, item: str, metric: str, x: str, y: str) -> DataFrame:
+    """item, curves: of each item its curves, an array of (metric, cells: (x, y)); a curve has one row per cell, so is bounded by its grid."""
+    one = cells.where(F.col(item).isNotNull()).groupBy(item, metric).agg(F.collect_list(F.struct(F.col(x).cast("int").alias("cell"), F.col(y).alias("v"))).alias("cells"))
+    return one.groupBy(item).agg(F.collect_list(F.struct(F.col(metric).alias("metric"), "cells")).alias("curves"))
+
+
+def _masses(curves: list, sizes: dict[str, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """metric -> (rows, masses) of a batch of curve sets; negative or missing readings as 0, each curve with a sum of 1, floored.
+    A curve without a positive reading is none."""
+    out: dict[str, tuple[list, list]] = {}
+    for row, of in enumerate(curves):
+        for c in of or ():
+            if c["metric"] in sizes:
+                m = np.zeros(sizes[c["metric"]])
+                for p in c["cells"]:
+                    m[p["cell"]] = max(p["v"] or 0.0, 0.0)
+                if m.sum() > 0:
+                    m = np.maximum(m / m.sum(), FLOOR)
+                    out.setdefault(c["metric"], ([], []))
+                    out[c["metric"]][0].append(row)
+                    out[c["metric"]][1].append(m / m.sum())
+    return {k: (np.array(r), np.array(m)) for k, (r, m) in out.items()}
+
+
+def _curve_distances(q: np.ndarray, m: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of all rows of q and m as shares of what the grid allows: js and hellinger as they are, w1 and w2 over the grid's span."""
+    n = q.shape[1]
+    if kind == "hellinger":
+        return np.sqrt(np.maximum(1 - np.sqrt(q) @ np.sqrt(m).T, 0.0))
+    if kind == "js":
+        lm = (m * np.log(m)).sum(1)
+        out = np.empty((len(q), len(m)))
+        for i, row in enumerate(q):
+            mid = (row + m) / 2
+            out[i] = ((row * np.log(row)).sum() + lm) / 2 - (mid * np.log(mid)).sum(1)
+        return np.sqrt(np.maximum(out, 0.0))
+    if kind == "w1":
+        cq, cm = np.cumsum(q, 1), np.cumsum(m, 1)
+        return np.stack([np.abs(row - cm).sum(1) for row in cq]) / n
+    at, u = np.arange(n) + 0.5, np.linspace(0, 1, POINTS)
+    xq, xm = (np.stack([np.interp(u, row, at) for row in np.cumsum(x, 1)]) for x in (q, m))
+    return np.stack([np.sqrt(((row - xm) ** 2).mean(1)) for row in xq]) / n
+
+
+def nearest_curves(sets: DataFrame, asked: DataFrame, item: str, sizes: dict[str, int], k: int = 5, kinds: Sequence[str] = KINDS, block: int = 2048) -> DataFrame:
+    """kind, query, item, distance, n_metrics, place: the k items of `sets` nearest to each item of `asked`, itself left out.
+
+    Both as of curve_sets. The distance of two items is the mean, over the metrics both have, of their distance in that
+    metric over its median: js (root of the Jensen-Shannon divergence), hellinger, w1 (sum of the differences of the
+    running sums, times the step) and w2 (of the quantile functions). The medians are of all positive distances between
+    `asked` and `sets`, to a 10,000th of the metric's range. Items without a common metric aren't near. Ties go to the
+    smaller name. Asked items travel in blocks; the rows of `sets` are read twice a block, for the medians and for the
+    neighbours, and never shuffled: a task hands on counts, and then its k best of each asked item.
+    """
+    spark = sets.sparkSession
+    n = asked.count()
+    blocks = max(1, -(-n // block))
+    sent = []
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == i)
+        rows = part.orderBy(item).collect()
+        sent.append(spark.sparkContext.broadcast(([r[0] for r in rows], _masses([r["curves"] for r in rows], sizes))))
+
+    def count(queries):
+        def run(batches):
+            names, mine = queries.value
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                theirs = _masses(batch.column(1).to_pylist(), sizes)
+                for metric, (qi, q) in mine.items():
+                    if metric in theirs:
+                        mi, m = theirs[metric]
+                        other = np.array([[names[a] != own[b] for b in mi] for a in qi], bool)
+                        for kind in kinds:
+                            d = _curve_distances(q, m, kind)
+                            bins, c = np.unique(np.maximum(np.floor(d[other & (d > 1e-9)] * BINS + 0.5), 1), return_counts=True)
+                            yield pa.RecordBatch.from_pydict({"metric": pa.array([metric] * len(bins)), "kind": pa.array([kind] * len(bins)), "bin": bins.astype(np.int64), "n": c.astype(np.int64)})
+
+        return run
+
+    total = None
+    for queries in sent:
+        got = sets.select(item, "curves").mapInArrow(count(queries), "metric string, kind string, bin bigint, n bigint")
+        total = got if total is None else total.unionByName(got)
+    told = total.groupBy("metric", "kind", "bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows a metric and kind
+    scale = {}
+    for key in {(r["metric"], r["kind"]) for r in told}:
+        bins = sorted((r["bin"], r["n"]) for r in told if (r["metric"], r["kind"]) == key)
+        run_ = np.cumsum([c for _, c in bins])
+        scale[key] = bins[int(np.searchsorted(run_, (run_[-1] + 1) // 2))][0] / BINS
+
+    def best(queries):
+        def run(batches):
+            names, mine = queries.value
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                theirs = _masses(batch.column(1).to_pylist(), sizes)
+                common = np.zeros((len(names), len(own)), int)
+                for metric, (qi, _) in mine.items():
+                    if metric in theirs:
+                        common[np.ix_(qi, theirs[metric][0])] += 1
+                same = np.array([[a == b for b in own] for a in names], bool).reshape(len(names), len(own))
+                for kind in kinds:
+                    d = np.zeros((len(names), len(own)))
+                    for metric, (qi, q) in mine.items():
+                        if metric in theirs:
+                            d[np.ix_(qi, theirs[metric][0])] += _curve_distances(q, theirs[metric][1], kind) / scale.get((metric, kind), 1.0)
+                    d = np.where((common > 0) & ~same, np.round(d / np.maximum(common, 1), 9), np.inf)
+                    order = np.lexsort((np.broadcast_to(np.array(own, dtype=object).astype(str), d.shape), d), axis=1)[:, :k] if len(own) else np.zeros((len(names), 0), int)
+                    a, b = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
+                    keep = np.isfinite(d[a, b])
+                    a, b = a[keep], b[keep]
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(a), pa.string()), "query": pa.array([names[i] for i in a], pa.string()), "item": pa.array([own[i] for i in b], pa.string()), "distance": pa.array(d[a, b], pa.float64()), "n_metrics": pa.array(common[a, b], pa.int32())})
+
+        return run
+
+    found = None
+    for queries in sent:
+        got = sets.select(item, "curves").mapInArrow(best(queries), "kind string, query string, item string, distance double, n_metrics int")
+        found = got if found is None else found.unionByName(got)
+    w = Window.partitionBy("kind", "query").orderBy("distance", "item")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def curve_matrix(sets: list, sizes: dict[str, int], kind: str = "js") -> np.ndarray:
+    """The matrix of mean distances over common metrics of a bounded list of curve sets; the largest one where two have none in common."""
+    d, n = np.zeros((len(sets), len(sets))), np.zeros((len(sets), len(sets)), int)
+    for rows, m in _masses(sets, sizes).values():
+        at = np.ix_(rows, rows)
+        d[at] += _curve_distances(m, m, kind)
+        n[at] += 1
+    mean = np.where(n > 0, d / np.maximum(n, 1), 0.0)
+    mean = np.where(n > 0, mean, mean.max(initial=0.0))
+    mean = (mean + mean.T) / 2
+    np.fill_diagonal(mean, 0.0)
+    return mean
+
+
+def medoids(masses: DataFrame, keys: Sequence[str], item: str, x: str, mass: str) -> DataFrame:
+    """keys, item, cohesion, is_medoid: each item's mean squared Hellinger distance to the other items of its key, and whether
+    it is the least (ties: the smaller name).
+
+    The squared distance is 1 less the product of the roots of both masses, so the mean over all others is told by the sum
+    of all roots per cell: linear in the items, however many. Items alone have a null cohesion and are the medoid.
     """
-    run = masses.withColumn("_c", F.sum(mass).over(Window.partitionBy(*keys, item).orderBy(x)))
-    first, last = F.floor((F.col("_c") - F.col(mass)) * points - 0.5) + 1, F.least(F.floor(F.col("_c") * points - 0.5), F.lit(points - 1))
-    spread = run.select(*keys, item, x, first.alias("_i0"), last.alias("_i1")).where("_i1 >= _i0").select(*keys, item, x, F.explode(F.sequence("_i0", "_i1")).alias("_i"))
-    q = spread.groupBy(*keys, item, "_i").agg(F.min(x).alias("_x"))
-    a, b = q.select(*keys, F.col(item).alias("a"), "_i", F.col("_x").alias("_xa")), q.select(*keys, F.col(item).alias("b"), "_i", F.col("_x").alias("_xb"))
-    return a.join(b, [*keys, "_i"]).where("a < b").groupBy(*keys, "a", "b").agg(F.sqrt(F.avg((F.col("_xa") - F.col("_xb")) ** 2)).alias("w2"))
+    root = masses.withColumn("_r", F.sqrt(mass))
+    total = root.groupBy(*keys, x).agg(F.sum("_r").alias("_s"))
+    n = root.groupBy(*keys).agg(F.countDistinct(item).alias("_n"))
+    near = root.join(total, [*keys, x]).groupBy(*keys, item).agg(F.sum(F.col("_r") * (F.col("_s") - F.col("_r"))).alias("_p")).join(n, list(keys))
+    made = near.withColumn("cohesion", F.when(F.col("_n") > 1, F.round(F.greatest(1 - F.col("_p") / (F.col("_n") - 1), F.lit(0.0)), 9)))
+    best = made.groupBy(*keys).agg(F.min_by(item, F.struct("cohesion", item)).alias("_m"))
+    return made.join(best, list(keys)).select(*keys, item, "cohesion", (F.col(item) == F.col("_m")).alias("is_medoid"))

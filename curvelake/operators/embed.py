@@ -1,8 +1,9 @@
 """Neighbours, clusters and low-dimensional maps of vectors.
 
-Nearest neighbours, k-means and DBSCAN's neighbour counts run distributed. Methods whose result needs the whole distance
-matrix (diffusion map, PHATE-like map, classical scaling, linkage) take at most MOST rows and say so otherwise; larger
-tables are fitted on a sample the caller draws.
+Nearest neighbours and k-means run distributed. Methods whose result needs a whole distance matrix (diffusion map,
+PHATE-like map, classical scaling, Isomap, UMAP-like map, linkage, DBSCAN) are fitted on a bounded sample of real rows (FIT of
+them, of smallest seeded hash) and every row of the table is then placed beside the fitted rows it is nearest to, in one
+distributed pass: a table of up to FIT rows is fitted whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = 4000
+FIT, PLACED_BY = 800, 5  # rows a map is fitted on; fitted rows that place another
 QUERY_BLOCK = 4096
 
 
@@ -26,6 +28,52 @@ def matrix(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
     return [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)
 
 
+def fitted_rows(df: DataFrame, key: str, vector: str, most: int = FIT, seed: int = 0) -> tuple[list, np.ndarray]:
+    """(keys, rows) of up to `most` rows of smallest seeded hash of their key, ordered by key."""
+    some = df.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).collect()
+    some.sort(key=lambda r: r[0])
+    return [r[0] for r in some], np.array([r[1] for r in some], float).reshape(len(some), -1)
+
+
+def place_all(df: DataFrame, key: str, vector: str, keys: list, rows: np.ndarray, values: np.ndarray, names: Sequence[str], how: str = "euclidean") -> DataFrame:
+    """key and names: for every row of df the values of its fitted row, or what the PLACED_BY nearest fitted rows have, each
+    weighed by the inverse of its distance. Rows with a null key or vector are left out; no fitted rows, no rows."""
+    sent = df.sparkSession.sparkContext.broadcast(({k: i for i, k in enumerate(keys)}, rows, np.asarray(values, float).reshape(len(keys), len(names))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, x, y = sent.value
+        for batch in batches:
+            batch = batch.dropna()
+            if not len(batch) or not len(x):
+                continue
+            d = distances(np.stack(batch[vector].to_numpy()).astype(float), x, how)
+            near = np.argsort(d, 1, kind="stable")[:, :PLACED_BY]
+            w = 1 / np.maximum(np.take_along_axis(d, near, 1), 1e-9)
+            out = (y[near] * (w / w.sum(1, keepdims=True))[:, :, None]).sum(1)
+            own = np.array([of.get(k, -1) for k in batch[key]])
+            out[own >= 0] = y[own[own >= 0]]
+            yield pd.DataFrame({key: batch[key]} | {n: out[:, i] for i, n in enumerate(names)})
+
+    return df.select(key, vector).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names))
+
+
+def label_all(df: DataFrame, key: str, vector: str, rows: np.ndarray, labels: np.ndarray, reach: float = np.inf, how: str = "euclidean") -> DataFrame:
+    """key, cluster: for every row of df the label of the nearest fitted row that has one (not -1) within reach, else -1."""
+    kept = np.flatnonzero(np.asarray(labels) >= 0)
+    sent = df.sparkSession.sparkContext.broadcast((rows[kept], np.asarray(labels)[kept]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = sent.value
+        for batch in batches:
+            batch = batch.dropna()
+            if len(batch):
+                d = distances(np.stack(batch[vector].to_numpy()).astype(float), x, how) if len(x) else np.full((len(batch), 1), np.inf)
+                near = d.argmin(1)
+                yield pd.DataFrame({key: batch[key], "cluster": np.where(d[np.arange(len(d)), near] <= reach, y[near] if len(y) else -1, -1).astype(np.int32)})
+
+    return df.select(key, vector).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, cluster int")
+
+
 def distances(a: np.ndarray, b: np.ndarray, how: str = "euclidean") -> np.ndarray:
     """All distances of rows of a and b: euclidean, manhattan, cosine, correlation, or hellinger of non-negative rows."""
     if how == "manhattan":
@@ -209,22 +257,36 @@ def cut_tree(merges: Sequence[tuple[int, int, float, int]], n: int, height: floa
     return np.array([order.index(c) for c in label])
 
 
-def adaptive_kernel(d: np.ndarray, k: int = 10, alpha: float = 1.0) -> np.ndarray:
-    """Row-stochastic kernel with each row's k-th neighbour's distance as its bandwidth, symmetrised, corrected by density^alpha."""
-    k = min(k, max(len(d) - 1, 1))
-    width = np.maximum(np.sort(d, 1)[:, min(k, len(d) - 1)], 1e-12)
-    w = np.exp(-((d / width[:, None]) ** 2))
+def adaptive_kernel(d: np.ndarray, k: int = 15, alpha: float = 1.0) -> np.ndarray:
+    """Row-stochastic diffusion kernel of a distance matrix, sparse over each row's k nearest rows and itself.
+
+    A pair's weight is exp(-d^2 / (w_i w_j)) with the distances to either row's k-th neighbour as widths (the median
+    positive distance where that is 0), kept where j is among i's neighbours, averaged over both directions, and
+    corrected by the density to the power alpha on either side.
+    """
+    n = len(d)
+    if not n:
+        return np.zeros((0, 0))
+    k = max(2, min(k, n - 1))
+    near = np.argsort(d, 1, kind="stable")[:, : k + 1]
+    width = d[np.arange(n), near[:, -1]]
+    positive = d[np.triu_indices(n, 1)]
+    positive = positive[np.isfinite(positive) & (positive > 0)]
+    width = np.maximum(np.where(np.isfinite(width) & (width > 0), width, np.median(positive) if len(positive) else 1.0), 1e-12)
+    rows = np.repeat(np.arange(n), near.shape[1])
+    w = np.zeros((n, n))
+    w[rows, near.ravel()] = np.exp(-np.minimum(d[rows, near.ravel()] ** 2 / (width[rows] * width[near.ravel()]), 700.0))
     w = (w + w.T) / 2
-    q = w.sum(1) ** alpha
-    w = w / np.outer(q, q)
-    return w / w.sum(1, keepdims=True)
+    density = np.maximum(w.sum(1), 1e-12) ** alpha
+    w = w / np.outer(density, density)
+    return w / np.maximum(w.sum(1, keepdims=True), 1e-12)
 
 
 def diffusion_map(p: np.ndarray, dims: int = 2, t: int = 1, normalised: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, eigenvalues) of a row-stochastic kernel, the constant one left out.
 
-    Plain: eigenvectors of its symmetric part, scaled by the eigenvalue to the power t. Normalised: those of the
-    symmetric-normalised operator over the root of the degree. The largest entry of each is positive.
+    Plain: eigenvectors of its symmetric part, scaled by the eigenvalue (0 where negative) to the power t. Normalised: those of
+    the symmetric-normalised operator over the root of the degree. The largest entry of each is positive.
     """
     s = (p + p.T) / 2
     degree = s.sum(1)
@@ -233,7 +295,7 @@ def diffusion_map(p: np.ndarray, dims: int = 2, t: int = 1, normalised: bool = F
     order = np.argsort(-values)[1 : dims + 1]
     v = vectors[:, order] / (np.sqrt(degree)[:, None] if normalised else 1.0)
     v *= np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
-    return v * values[order] ** t, values[order]
+    return v * np.maximum(values[order], 0.0) ** t, values[order]
 
 
 def classical_scaling(d: np.ndarray, dims: int = 2) -> np.ndarray:
@@ -246,7 +308,7 @@ def classical_scaling(d: np.ndarray, dims: int = 2) -> np.ndarray:
     return v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
 
 
-def potential_map(p: np.ndarray, dims: int = 2, t: int = 5) -> np.ndarray:
+def potential_map(p: np.ndarray, dims: int = 2, t: int = 3) -> np.ndarray:
     """PHATE-like: distances of the centred potentials -log p^t, scaled classically."""
     u = -np.log(np.maximum(np.linalg.matrix_power(p, t), 1e-12))
     return classical_scaling(distances(u - u.mean(1, keepdims=True), u - u.mean(1, keepdims=True)), dims)
@@ -286,10 +348,12 @@ def fuzzy_graph(d: np.ndarray, k: int = 15) -> np.ndarray:
     return w + w.T - w * w.T
 
 
-def neighbour_map(d: np.ndarray, k: int = 15, dims: int = 2, min_dist: float = 0.1, rounds: int = 200) -> np.ndarray:
+def neighbour_map(d: np.ndarray, k: int = 15, dims: int = 2, min_dist: float = 0.1, rounds: int = 200, dens: float = 0.0, dens_share: float = 0.3) -> np.ndarray:
     """UMAP-like: a layout whose membership strengths 1 / (1 + a r^2b) come near those of the fuzzy graph.
 
-    Start from the diffusion map, then full gradient steps of the cross entropy, so there is no random draw.
+    Start from the diffusion map, then full gradient steps of the cross entropy, so there is no random draw. dens: weight
+    of the density term in the last dens_share of the rounds, the correlation of the rows' log local radii (mean squared
+    distance, weighed by the memberships) in the table and in the layout.
     """
     n = len(d)
     w = fuzzy_graph(d, k)
@@ -298,7 +362,8 @@ def neighbour_map(d: np.ndarray, k: int = 15, dims: int = 2, min_dist: float = 0
     want = np.where(r < min_dist, 1.0, np.exp(-(r - min_dist)))
     a, b = min(((a, b) for a in np.linspace(0.2, 3, 57) for b in np.linspace(0.4, 2, 33)), key=lambda ab: ((1 / (1 + ab[0] * r ** (2 * ab[1])) - want) ** 2).sum())
     y = diffusion_map((w + np.eye(n)) / (w + np.eye(n)).sum(1, keepdims=True), dims)[0]
-    y = 10 * (y - y.mean(0)) / max(np.abs(y).max(), 1e-12)
+    flat = classical_scaling(d, dims)  # a little of it, as rows of a part of its own share one place in the diffusion map
+    y = 10 * (y - y.mean(0)) / max(np.abs(y).max(), 1e-12) + flat / max(np.abs(flat).max(), 1e-12)
     for step in range(rounds):
         diff = y[:, None, :] - y[None, :, :]
         r2 = np.maximum((diff**2).sum(2), 1e-6)
@@ -306,6 +371,14 @@ def neighbour_map(d: np.ndarray, k: int = 15, dims: int = 2, min_dist: float = 0
         push = (1 - w) * b / ((0.001 + r2) * (1 + a * r2**b)) * min(1.0, 5.0 * k / n)
         np.fill_diagonal(push, 0)
         move = ((push - pull)[:, :, None] * diff).sum(1)
+        if dens and step >= (1 - dens_share) * rounds:
+            mass = np.maximum(w.sum(1), 1e-12)
+            spread = np.maximum((w * r2).sum(1), 1e-12)
+            standard = lambda x: (x - x.mean()) / max(x.std(), 1e-12)
+            wide, here = standard(np.log(np.maximum((w * d**2).sum(1) / mass, 1e-12))), np.log(spread / mass)
+            z = standard(here)
+            slope = (wide - (wide * z).mean() * z) / (max(here.std(), 1e-12) * spread)
+            move = move + dens * 2 * (w[:, :, None] * diff * (slope[:, None] + slope[None, :])[:, :, None]).sum(1)
         y = y + (1 - step / rounds) * np.clip(move, -4, 4) * 0.1
     return y
 
@@ -342,6 +415,20 @@ def auto_clusters(d: np.ndarray, most: int = 12) -> tuple[np.ndarray, int]:
     return best[2], best[1]
 
 
+def leaf_order(merges: Sequence[tuple[int, int, float, int]], n: int) -> list[int]:
+    """The leaves from left to right, the first child of every merge before the second."""
+    below = {n + step: (a, b) for step, (a, b, _, _) in enumerate(merges)}
+    out: list[int] = []
+    stack = [n + len(merges) - 1] if merges else list(range(n))[::-1]
+    while stack:
+        node = stack.pop()
+        if node in below:
+            stack += below[node][::-1]
+        else:
+            out.append(node)
+    return out
+
+
 def neighbour_overlap(a: np.ndarray, b: np.ndarray, k: int = 10) -> float:
     """Mean share of common k nearest neighbours in two embeddings of the same rows."""
     near = lambda x: np.argsort(distances(x, x) + np.diag(np.full(len(x), np.inf)), 1, kind="stable")[:, :k]

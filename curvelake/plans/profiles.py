@@ -9,7 +9,7 @@ from curvelake.functions import names as N
 from curvelake.functions import physics as P
 from curvelake.operators import curves as C
 from curvelake.plans.common import CELLS, MEANS, PMF, cell_means, exact_mean, in_cells, pmf, rounded, sql_mean
-from curvelake.session import table
+from curvelake.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -224,40 +224,49 @@ def q_representative_pmf(spark, d):
     return rounded(made.select("metric", "cell", "n", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75")), "q25", "q75", places=8)
 
 
-_DIST = f"""
-m AS {MEANS}, r AS (SELECT metric, cell, F_kJ_mol, ntile(10) OVER (PARTITION BY metric ORDER BY variant, cell) AS z FROM m),
-g AS (SELECT metric, g AS item, i AS cell FROM (SELECT DISTINCT metric FROM m), (SELECT unnest(range(6)) AS g), (SELECT unnest(range(0, 60)) AS i)),
-s AS (SELECT metric, ascii(variant) % 6 AS item, cell // 2 AS cell, sum(exp(-F_kJ_mol / {_KT})) AS w FROM m WHERE cell < 120 GROUP BY 1, 2, 3),
-f AS (SELECT g.metric, g.item, g.cell, coalesce(s.w, 0) + 1e-12 AS w FROM g LEFT JOIN s ON g.metric = s.metric AND g.item = s.item AND g.cell = s.cell),
-p AS (SELECT metric, item, cell, w / sum(w) OVER (PARTITION BY metric, item) AS p FROM f), c AS (SELECT *, sum(p) OVER (PARTITION BY metric, item ORDER BY cell) AS cp FROM p)"""
+# Masses of P on every cell of the grid, per variant and metric; variants have no id, so "divisible by 20" goes by a hash of the name.
+_MASS = f"""
+p AS (SELECT variant, metric, cell, avg(greatest(P, 0)) AS p FROM {CELLS} WHERE P IS NOT NULL GROUP BY 1, 2, 3), k AS (SELECT variant, metric FROM p GROUP BY 1, 2 HAVING sum(p) > 0),
+g AS (SELECT metric, i AS cell FROM metric_grid, LATERAL (SELECT unnest(range(n_cells))::INT AS i)),
+f AS (SELECT k.variant, k.metric, g.cell, coalesce(p.p, 0) AS p FROM k JOIN g ON k.metric = g.metric LEFT JOIN p ON p.variant = k.variant AND p.metric = k.metric AND p.cell = g.cell),
+n AS (SELECT *, p / sum(p) OVER (PARTITION BY variant, metric) AS mass FROM f)"""
+_ASKED = "CAST('0x' || substr(md5({}), 1, 4) AS INTEGER) % 20 = 0"
 
 
-def _groups(spark, d):
-    """Masses of six bounded groups of variants per metric, on 60 cells, floored."""
-    s = cell_means(spark, d).where("cell < 120").groupBy("metric", (F.ascii("variant") % 6).cast("bigint").alias("item"), F.floor(F.col("cell") / 2).alias("cell")).agg(F.sum(F.exp(-F.col("F_kJ_mol") / _KT)).alias("w"))
-    full = s.select("metric").distinct().select("metric", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("item")).select("metric", "item", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"))).alias("cell"))
-    w = full.join(s, ["metric", "item", "cell"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)) + 1e-12)
-    return w.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("metric", "item"))).drop("w")
+def _readings(spark, d):
+    return in_cells(spark, d).where("P IS NOT NULL").groupBy("variant", "metric", "cell").agg(F.avg(F.greatest("P", F.lit(0.0))).alias("p"))
 
 
-@query(f"""WITH {_DIST}
-SELECT a.metric, a.item AS a, b.item AS b, round(sqrt(greatest(sum((a.p * ln(a.p / ((a.p + b.p) / 2)) + b.p * ln(b.p / ((a.p + b.p) / 2))) / 2), 0)), 6) AS js, round(sqrt(sum((sqrt(a.p) - sqrt(b.p)) ** 2) / 2), 6) AS hellinger, round(sum(abs(a.cp - b.cp)), 6) AS w1
-FROM c a JOIN c b ON a.metric = b.metric AND a.cell = b.cell AND a.item < b.item GROUP BY 1, 2, 3""")
+def _sets(spark, d):
+    """(all variants' curves, those of the variants that ask, cells per metric); the grid is a fixed table."""
+    sets = cut(C.curve_sets(_readings(spark, d), "variant", "metric", "cell", "p"), "sets")
+    sizes = {r["metric"]: r["n_cells"] for r in table(spark, d, "metric_grid").select("metric", "n_cells").collect()}
+    return sets, sets.where(F.conv(F.substring(F.md5("variant"), 1, 4), 16, 10).cast("int") % 20 == 0), sizes
+
+
+@query(f"""WITH {_MASS}, h AS (SELECT variant, metric, cell, greatest(mass, 1e-15) AS m FROM n), l AS (SELECT variant, metric, cell, m / sum(m) OVER (PARTITION BY variant, metric) AS m FROM h),
+c AS MATERIALIZED (SELECT *, sum(m) OVER (PARTITION BY variant, metric ORDER BY cell) AS cm FROM l), q AS MATERIALIZED (SELECT * FROM c WHERE {_ASKED.format('variant')}),
+d AS (SELECT a.metric, a.variant AS query, b.variant AS item, sqrt(greatest(sum((a.m * ln(a.m / ((a.m + b.m) / 2)) + b.m * ln(b.m / ((a.m + b.m) / 2))) / 2), 0)) AS js, sqrt(greatest(1 - sum(sqrt(a.m) * sqrt(b.m)), 0)) AS hellinger, sum(abs(a.cm - b.cm)) / count(*) AS w1
+  FROM q a JOIN c b ON a.metric = b.metric AND a.cell = b.cell AND a.variant <> b.variant GROUP BY 1, 2, 3),
+t AS (SELECT metric, query, item, 'js' AS kind, js AS v FROM d UNION ALL SELECT metric, query, item, 'hellinger', hellinger FROM d UNION ALL SELECT metric, query, item, 'w1', w1 FROM d),
+s AS (SELECT metric, kind, bin / 10000 AS scale FROM (SELECT metric, kind, greatest(floor(v * 10000 + 0.5), 1) AS bin, row_number() OVER (PARTITION BY metric, kind ORDER BY greatest(floor(v * 10000 + 0.5), 1)) AS r, count(*) OVER (PARTITION BY metric, kind) AS n FROM t WHERE v > 1e-9) WHERE r = (n + 1) // 2),
+m AS (SELECT t.kind, query, item, avg(v / coalesce(scale, 1)) AS distance, count(*)::INT AS n_metrics FROM t LEFT JOIN s ON t.metric = s.metric AND t.kind = s.kind GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, query ORDER BY round(distance, 9), item)::INT AS place FROM m)
+SELECT kind, query, item, round(distance, 6) AS distance, n_metrics, place FROM r WHERE place <= 5""")
 def q_curve_distances(spark, d):
-    """Distances of groups of curves on a common grid."""
-    return rounded(C.distances(_groups(spark, d), ["metric"], "item", "cell", "p"), "js", "hellinger", "w1")
+    """The five variants whose curves are nearest to each asked variant's, over all metrics both have, each over its median."""
+    sets, asked, sizes = _sets(spark, d)
+    return rounded(C.nearest_curves(sets, asked, "variant", sizes, 5, ("js", "hellinger", "w1")), "distance")
 
 
-@query(f"""WITH {_DIST}, j AS (SELECT a.metric, a.item AS a, b.item AS b, sqrt(greatest(sum((a.p * ln(a.p / ((a.p + b.p) / 2)) + b.p * ln(b.p / ((a.p + b.p) / 2))) / 2), 0)) AS js FROM c a JOIN c b ON a.metric = b.metric AND a.cell = b.cell AND a.item < b.item GROUP BY 1, 2, 3),
-v AS (SELECT a, b, avg(js) AS js FROM j GROUP BY 1, 2), u AS (SELECT a AS item, js FROM v UNION ALL SELECT b, js FROM v), k AS (SELECT item, avg(js) AS cohesion FROM u GROUP BY 1)
-SELECT item, round(cohesion, 6) AS cohesion, item = first_value(item) OVER (ORDER BY round(cohesion, 9), item) AS is_medoid FROM k""")
+@query(f"""WITH {_MASS}, s AS (SELECT metric, cell, sum(sqrt(mass)) AS s FROM n GROUP BY 1, 2), i AS (SELECT metric, count(DISTINCT variant) AS c FROM n GROUP BY 1),
+o AS (SELECT n.metric, n.variant AS item, round(greatest(1 - sum(sqrt(mass) * (s.s - sqrt(mass))) / any_value(i.c - 1), 0), 9) AS cohesion FROM n JOIN s ON n.metric = s.metric AND n.cell = s.cell JOIN i ON n.metric = i.metric GROUP BY 1, 2)
+SELECT metric, item, round(cohesion, 6) AS cohesion, item = first_value(item) OVER (PARTITION BY metric ORDER BY cohesion, item) AS is_medoid FROM o""")
 def q_medoid(spark, d):
-    """Mean distance to the rest over all metrics; the least is the medoid."""
-    dist = C.distances(_groups(spark, d), ["metric"], "item", "cell", "p").groupBy("a", "b").agg(F.avg("js").alias("js"))
-    ends = dist.select(F.col("a").alias("item"), "js").unionByName(dist.select(F.col("b").alias("item"), "js"))
-    mean = ends.groupBy("item").agg(F.avg("js").alias("cohesion"))
-    best = mean.agg(F.min_by("item", F.struct(F.round("cohesion", 9), "item")).alias("m"))
-    return rounded(mean.join(F.broadcast(best)).select("item", "cohesion", (F.col("item") == F.col("m")).alias("is_medoid")), "cohesion")
+    """Each variant's mean squared Hellinger distance to all others of its metric; the least is the medoid in the space of the roots of P."""
+    p = _readings(spark, d)
+    masses = p.withColumn("_t", F.sum("p").over(Window.partitionBy("variant", "metric"))).where("_t > 0").select("variant", "metric", "cell", (F.col("p") / F.col("_t")).alias("mass"))
+    return rounded(C.medoids(masses, ["metric"], "variant", "cell", "mass").withColumnRenamed("variant", "item"), "cohesion")
 
 
 @query(f"""WITH c AS (SELECT metric, cell, count(*)::DOUBLE AS n FROM {CELLS} GROUP BY 1, 2), t AS (SELECT c.*, sum(n) OVER (PARTITION BY metric) AS t, count(*) OVER (PARTITION BY metric) AS k FROM c), p AS (SELECT *, (n + 0.5) / (t + 0.5 * k) AS p FROM t)
@@ -324,8 +333,8 @@ def q_torsion_names(spark, d):
     return g.select(m, N.torsion(m).isNotNull().alias("is_torsion"), N.label(m, F.lit(None).cast("string")).alias("label"), F.row_number().over(Window.orderBy(*N.torsion_order(m))).cast("bigint").alias("place"))
 
 
-@query(f"""WITH {_DIST}, u AS (SELECT unnest(range(256)) AS i), q AS (SELECT metric, item, i, min(cell) AS x FROM (SELECT metric, item, cell, floor((cp - p) * 256 - 0.5) + 1 AS i0, least(floor(cp * 256 - 0.5), 255) AS i1 FROM c) c JOIN u ON u.i BETWEEN i0 AND i1 GROUP BY 1, 2, 3)
-SELECT a.metric, a.item AS a, b.item AS b, round(sqrt(avg((a.x - b.x) ** 2)), 6) AS w2 FROM q a JOIN q b ON a.metric = b.metric AND a.i = b.i AND a.item < b.item GROUP BY 1, 2, 3""")
+@query()
 def q_quantile_distance(spark, d):
-    """W2 of groups of curves."""
-    return rounded(C.quantile_distance(_groups(spark, d), ["metric"], "item", "cell", "p"), "w2")
+    """As q_curve_distances, by W2 of the quantile functions at 256 points."""
+    sets, asked, sizes = _sets(spark, d)
+    return rounded(C.nearest_curves(sets, asked, "variant", sizes, 5, ("w2",)), "distance")

@@ -125,13 +125,23 @@ def q_pca_stability(spark, d):
 
 @query()
 def q_embedding_stability(spark, d):
-    """Overlap of neighbours and Procrustes residual between two maps of the same groups."""
-    e = table(spark, d, "embeddings").select((F.col("label") * 4 + F.col("vec_id") % 4).alias("g"), F.posexplode("embedding").alias("i", "v"))
-    m = e.groupBy("g", "i").agg(F.avg("v").alias("v")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select("g", F.transform("s", lambda s: s["v"]).alias("vec"))
-    _, x = E.matrix(m, "g", "vec")
-    p = E.adaptive_kernel(E.distances(x, x))
-    a, b = E.classical_scaling(E.distances(x, x)), E.potential_map(p)
-    return spark.createDataFrame([(round(E.neighbour_overlap(a, b, 5), 6), round(X.procrustes(a, b)[0], 6), round(float(E.entropy_curve(p)[0]), 6))], "overlap double, residual double, entropy double")
+    """Overlap of neighbours and Procrustes residual of the map of all vectors, fitted on other samples in every run, against the first."""
+    e = table(spark, d, "embeddings")
+    asked, _ = E.fitted_rows(e, "vec_id", "embedding", 300)
+    some = e.where(F.col("vec_id").isin(asked))
+
+    def run(seed):
+        keys, x = E.fitted_rows(e, "vec_id", "embedding", 400, seed)
+        made = E.place_all(some, "vec_id", "embedding", keys, x, E.potential_map(E.adaptive_kernel(E.distances(x, x))), ["a", "b"])
+        return np.array([[r["a"], r["b"]] for r in made.orderBy("vec_id").collect()])  # 300 rows
+
+    base, rows = run(0), []
+    for seed in range(1, 6):
+        other = run(seed)
+        residual, rms = X.procrustes(base, other)
+        rows.append((seed, E.neighbour_overlap(base, other, 10), residual, rms))
+    runs = spark.createDataFrame(rows, "run int, overlap double, residual double, rms double")
+    return rounded(runs.agg(F.count("*").alias("runs"), *[f(c).alias(f"{c}_{n}") for c in ("overlap", "residual", "rms") for n, f in (("mean", F.avg), ("std", F.stddev_samp))]), *[f"{c}_{n}" for c in ("overlap", "residual", "rms") for n in ("mean", "std")])
 
 
 @query()
@@ -156,16 +166,37 @@ def q_gradient(spark, d):
     return spark.createDataFrame([(i, j, round(float(g[i, j, 0]), 6), round(float(g[i, j, 1]), 6)) for i in range(12) for j in range(12)], "i int, j int, gx double, gy double")
 
 
+def _tree(spark, d, most=400):
+    """(all curve sets, variants of the tree, merges, distances, cells per metric): average linkage of up to `most` variants of
+    smallest hash, by their mean JS distance over common metrics."""
+    from curvelake.plans.profiles import _sets
+
+    sets, _, sizes = _sets(spark, d)
+    some = sorted(sets.orderBy(F.xxhash64("variant"), "variant").limit(most).collect(), key=lambda r: r["variant"])
+    m = C.curve_matrix([r["curves"] for r in some], sizes)
+    return sets, [r["variant"] for r in some], E.linkage(m), m, sizes
+
+
 @query()
 def q_dendrogram(spark, d):
-    """Linkage of six groups of curves by their mean distance, as merges."""
-    from curvelake.plans.profiles import _groups
-
-    dist = C.distances(_groups(spark, d), ["metric"], "item", "cell", "p").groupBy("a", "b").agg(F.avg("js").alias("js")).collect()
-    m = np.zeros((6, 6))
-    for r in dist:
-        m[r["a"], r["b"]] = m[r["b"], r["a"]] = r["js"]
-    return spark.createDataFrame([(a, b, round(h, 6), n, T.condensed_index(0, 1, 6)) for a, b, h, n in E.linkage(m)], "a int, b int, height double, size int, first_place int")
+    """The merges of the tree and, of the leaves, their place from left to right."""
+    _, names, merges, _, _ = _tree(spark, d)
+    at = {leaf: i for i, leaf in enumerate(E.leaf_order(merges, len(names)))}
+    rows = [(i, names[i], at[i], None, None, 0.0, 1) for i in range(len(names))]
+    rows += [(len(names) + i, None, None, a, b, round(h, 6), n) for i, (a, b, h, n) in enumerate(merges)]
+    return spark.createDataFrame(rows, "node int, variant string, place int, a int, b int, height double, size int")
+
+
+@query()
+def q_dendrogram_clusters(spark, d):
+    """Every variant in the cluster of the tree's variant nearest to it, the tree cut at 0.7 of its height."""
+    sets, names, merges, m, sizes = _tree(spark, d)
+    label = E.cut_tree(merges, len(names), 0.7 * merges[-1][2]) if merges else np.zeros(len(names), int)
+    of = spark.createDataFrame([(n, int(c)) for n, c in zip(names, label)], "leaf string, cluster int")
+    rest = sets.join(of, sets["variant"] == of["leaf"], "left_anti")
+    near = C.nearest_curves(sets.join(of, sets["variant"] == of["leaf"], "left_semi"), rest, "variant", sizes, 1, ("js",))
+    placed = near.join(of, near["item"] == of["leaf"]).select(F.col("query").alias("variant"), "cluster", "distance")
+    return rounded(of.select(F.col("leaf").alias("variant"), "cluster", F.lit(0.0).alias("distance")).unionByName(placed), "distance")
 
 
 @query(f"""WITH f AS (SELECT variant, ntile(8) OVER (ORDER BY rg__mean, variant) - 1 AS bin FROM {FEATURE_ROWS} WHERE isfinite(rg__mean)), m AS {MEANS},

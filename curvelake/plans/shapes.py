@@ -454,75 +454,75 @@ def q_kmeans(spark, d):
     return E.k_means(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
 
-def _group_means(spark, d):
-    """40 bounded groups of vectors: their ids and means, as matrix."""
-    e = table(spark, d, "embeddings").select((F.col("label") * 4 + F.col("vec_id") % 4).alias("g"), F.posexplode("embedding").alias("i", "v"))
-    m = e.groupBy("g", "i").agg(F.avg("v").alias("v")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select("g", F.transform("s", lambda s: s["v"]).alias("vec"))
-    return E.matrix(m, "g", "vec")
-
-
-def _frame(spark, ids, x, name):
-    return spark.createDataFrame([(int(i), *[round(float(v), 6) for v in np.atleast_1d(row)]) for i, row in zip(ids, x)], "g int, " + ", ".join(f"{name}{j + 1} double" for j in range(np.atleast_2d(x).shape[1])))
+def _map(spark, d, name, dims, make, most=E.FIT):
+    """Every vector's coordinates: make(distances) of up to `most` fitted vectors, the others placed beside them."""
+    e = table(spark, d, "embeddings")
+    keys, x = E.fitted_rows(e, "vec_id", "embedding", most)
+    names = [f"{name}{i + 1}" for i in range(dims)]
+    return rounded(E.place_all(e, "vec_id", "embedding", keys, x, make(E.distances(x, x)), names), *names)
 
 
 @query()
 def q_diffusion_map(spark, d):
     """E05, E06."""
-    ids, x = _group_means(spark, d)
-    return _frame(spark, ids, E.diffusion_map(E.adaptive_kernel(E.distances(x, x)), 2)[0], "dc")
+    return _map(spark, d, "dc", 2, lambda m: E.diffusion_map(E.adaptive_kernel(m), 2)[0])
 
 
 @query()
 def q_diffusion_replica(spark, d):
     """The other operator."""
-    ids, x = _group_means(spark, d)
-    return _frame(spark, ids, E.diffusion_map(E.adaptive_kernel(E.distances(x, x)), 6, normalised=True)[0], "dc")
+    return _map(spark, d, "dc", 6, lambda m: E.diffusion_map(E.adaptive_kernel(m), 6, normalised=True)[0])
 
 
 @query()
 def q_scaling(spark, d):
     """E08."""
-    ids, x = _group_means(spark, d)
-    return _frame(spark, ids, E.classical_scaling(E.distances(x, x)), "mds")
+    return _map(spark, d, "mds", 2, E.classical_scaling)
 
 
 @query()
 def q_potential_map(spark, d):
     """E09."""
-    ids, x = _group_means(spark, d)
-    return _frame(spark, ids, E.potential_map(E.adaptive_kernel(E.distances(x, x))), "ph")
+    return _map(spark, d, "ph", 2, lambda m: E.potential_map(E.adaptive_kernel(m)))
 
 
 @query()
 def q_isomap(spark, d):
     """E10, E21."""
-    ids, x = _group_means(spark, d)
-    return _frame(spark, ids, E.isomap(E.distances(x, x)), "iso")
+    return _map(spark, d, "iso", 2, E.isomap, 400)
 
 
 @query()
 def q_neighbour_map(spark, d):
     """A UMAP-like layout."""
-    ids, x = _group_means(spark, d)
-    return _frame(spark, ids, E.neighbour_map(E.distances(x, x), 10), "u")
+    return _map(spark, d, "u", 2, lambda m: E.neighbour_map(m, 15), 400)
+
+
+@query()
+def q_density_map(spark, d):
+    """The same with DensMAP's density term."""
+    return _map(spark, d, "u", 2, lambda m: E.neighbour_map(m, 15, dens=2.0), 400)
 
 
 @query()
 def q_linkage(spark, d):
-    """Average linkage cut where the silhouette is best."""
-    ids, x = _group_means(spark, d)
+    """Average linkage of the fitted vectors, cut where the silhouette is best; every vector in its nearest one's cluster."""
+    e = table(spark, d, "embeddings")
+    _, x = E.fitted_rows(e, "vec_id", "embedding", 400)
     label, k = E.auto_clusters(E.distances(x, x))
-    return spark.createDataFrame([(int(g), int(c), k) for g, c in zip(ids, label)], "g int, cluster int, k int")
+    return E.label_all(e, "vec_id", "embedding", x, label).withColumn("k", F.lit(k))
 
 
 @query()
 def q_dbscan(spark, d):
-    """Cluster sizes of DBSCAN on group means."""
-    _, x = _group_means(spark, d)
+    """Cluster sizes over all vectors; DBSCAN on the fitted ones, every other one joins a core within eps or is noise."""
+    e = table(spark, d, "embeddings")
+    _, x = E.fitted_rows(e, "vec_id", "embedding")
     near = E.distances(x, x)
-    label = E.dbscan(x, float(np.quantile(np.sort(near, 1)[:, 3], 0.6)), 3)
-    names, n = np.unique(label, return_counts=True)
-    return spark.createDataFrame([("noise" if c < 0 else f"C{c}", int(m), round(float(m) / len(label), 6)) for c, m in zip(names, n)], "cluster string, n int, share double")
+    eps = float(np.quantile(np.sort(near, 1)[:, min(4, len(x) - 1)], 0.6))
+    label = E.label_all(e, "vec_id", "embedding", x, E.dbscan(x, eps, 4), eps)
+    sizes = label.groupBy(F.when(F.col("cluster") < 0, F.lit("noise")).otherwise(F.concat(F.lit("C"), "cluster")).alias("cluster")).agg(F.count("*").alias("n"))
+    return rounded(sizes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))), "share")
 
 
 @query(f"""WITH p AS (SELECT variant, kd_mean AS x, rg__mean AS y FROM {FEATURE_ROWS} WHERE isfinite(kd_mean) AND isfinite(rg__mean)), t AS (SELECT *, greatest(0, least(1, (x + 1) / 1 * 1.0 + 0 * y)) AS t1, greatest(0, least(1, (y - 1.2) / 1.0)) AS t2 FROM p),

@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
 import pytest
 
+from curvelake.operators import curves as C
 from curvelake.operators import embed as E
 from curvelake.operators import features as X
 from curvelake.operators import tables as T
@@ -47,6 +50,122 @@ def test_maps(blobs):
     assert E.neighbour_overlap(blobs, blobs * 2 + 1, 5) == 1.0
 
 
+def test_diffusion_kernel_by_its_formula(blobs):
+    d = E.distances(blobs, blobs)
+    n, k, alpha = len(d), 7, 0.5
+    near = [sorted(range(n), key=lambda j: (d[i, j], j))[: k + 1] for i in range(n)]
+    width = [d[i, near[i][-1]] for i in range(n)]
+    w = [[math.exp(-d[i, j] ** 2 / (width[i] * width[j])) if j in near[i] else 0.0 for j in range(n)] for i in range(n)]
+    w = [[(w[i][j] + w[j][i]) / 2 for j in range(n)] for i in range(n)]
+    q = [sum(row) ** alpha for row in w]
+    w = np.array([[w[i][j] / (q[i] * q[j]) for j in range(n)] for i in range(n)])
+    assert np.allclose(E.adaptive_kernel(d, k, alpha), w / w.sum(1, keepdims=True), atol=1e-9)
+    assert (E.adaptive_kernel(d, k) == 0).sum() > n * n / 2  # sparse
+    # Copies without any distance take the median positive distance as width.
+    p = E.adaptive_kernel(E.distances(np.repeat(blobs[:3], 6, 0), np.repeat(blobs[:3], 6, 0)), 3)
+    assert np.isfinite(p).all() and np.allclose(p.sum(1), 1)
+    assert E.adaptive_kernel(np.zeros((0, 0))).shape == (0, 0)
+
+
+def test_density_term_keeps_local_radii():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, s, (40, 3)) + c for s, c in ((0.1, 0), (2.0, 12))])
+    d = E.distances(x, x)
+    radius = lambda y: np.log(np.sort(E.distances(y, y), 1)[:, 1:8].mean(1) + 1e-9)
+    plain, dense = (np.corrcoef(radius(x), radius(E.neighbour_map(d, 10, dens=w)))[0, 1] for w in (0.0, 2.0))
+    assert dense > plain and dense > 0.5
+
+
+def test_every_row_is_placed_beside_the_fitted_ones(spark, blobs):
+    df = spark.createDataFrame([(i, [float(v) for v in r], "clash") for i, r in enumerate(blobs)] + [(99, None, "clash"), (None, [0.0, 0.0, 0.0], "clash")], "id int, vec array<double>, c1 string")
+    keys, x = E.fitted_rows(df, "id", "vec", 30)
+    assert len(keys) == 30 and keys == sorted(keys) and np.allclose(x, blobs[keys])
+    made = E.place_all(df, "id", "vec", keys, x, x, ["c1", "c2", "c3"]).toPandas().sort_values("id")
+    assert made["id"].tolist() == list(range(60))
+    got = made[["c1", "c2", "c3"]].to_numpy()
+    assert np.allclose(got[keys], blobs[keys]) and np.abs(got - blobs).max() < 1.5
+    label = E.label_all(df, "id", "vec", x, np.array(keys) // 20).toPandas().set_index("id").cluster
+    assert all(label[i] == i // 20 for i in range(60))
+    assert set(E.label_all(df, "id", "vec", x, np.full(30, -1)).toPandas().cluster) == {-1}
+    assert E.place_all(df.limit(0), "id", "vec", [], x[:0], x[:0], ["a"]).count() == 0
+
+
+def curves(rng, n, sizes):
+    rows = []
+    for i in range(n):
+        for metric, size in sizes.items():
+            if rng.random() < 0.8:
+                for cell in range(size):
+                    if rng.random() < 0.9:
+                        rows.append((f"v{i:02d}", metric, cell, float(rng.random() ** 3), "clash"))
+    return rows
+
+
+def test_nearest_curves_against_brute_force(spark):
+    rng, sizes = np.random.default_rng(3), {"rg": 12, "phi": 9, "e2e": 5}
+    rows = curves(rng, 24, sizes) + [("v00", "none", 0, 1.0, "x"), ("zero", "rg", 1, 0.0, "x"), ("neg", "rg", 1, -2.0, "x"), ("neg", "rg", 2, None, "x"), (None, "rg", 0, 1.0, "x")]
+    df = spark.createDataFrame(rows, "variant string, metric string, cell int, p double, item string")
+    sets = C.curve_sets(df, "variant", "metric", "cell", "p")
+    asked = sets.where("variant IN ('v00', 'v07', 'zero')")
+    mass = {}
+    for v, metric, cell, p, _ in rows:
+        if v and metric in sizes:
+            mass.setdefault((v, metric), np.zeros(sizes[metric]))[cell] = max(p or 0.0, 0.0)
+    mass = {k: np.maximum(m / m.sum(), 1e-15) for k, m in mass.items() if m.sum() > 0}
+    mass = {k: m / m.sum() for k, m in mass.items()}
+
+    def one(kind, p, q):
+        m = (p + q) / 2
+        if kind == "js":
+            return math.sqrt(max(((p * np.log(p / m)).sum() + (q * np.log(q / m)).sum()) / 2, 0.0))
+        if kind == "hellinger":
+            return np.linalg.norm(np.sqrt(p) - np.sqrt(q)) / math.sqrt(2)
+        if kind == "w1":
+            return np.abs(np.cumsum(p) - np.cumsum(q)).sum() / len(p)
+        u, at = np.linspace(0, 1, 256), np.arange(len(p)) + 0.5
+        return math.sqrt(((np.interp(u, np.cumsum(p), at) - np.interp(u, np.cumsum(q), at)) ** 2).mean()) / len(p)
+
+    names = sorted({v for v, _ in mass})
+    got = {(r["kind"], r["query"], r["place"]): (r["item"], r["distance"]) for r in C.nearest_curves(sets, asked, "variant", sizes, 4).collect()}
+    for kind in C.KINDS:
+        pairs = {(a, b, m): one(kind, mass[a, m], mass[b, m]) for a in ("v00", "v07") for b in names for m in sizes if a != b and (a, m) in mass and (b, m) in mass}
+        scale = {}
+        for m in sizes:
+            told = sorted(max(math.floor(x * 10_000 + 0.5), 1) for (_, _, k), x in pairs.items() if k == m and x > 1e-9)
+            scale[m] = told[(len(told) + 1) // 2 - 1] / 10_000 if told else 1.0
+        for a in ("v00", "v07"):
+            mean = sorted((np.mean([pairs[a, b, m] / scale[m] for m in sizes if (a, b, m) in pairs]), b) for b in names if any((a, b, m) in pairs for m in sizes))
+            assert [got[kind, a, i + 1][0] for i in range(4)] == [b for _, b in mean[:4]]
+            assert np.allclose([got[kind, a, i + 1][1] for i in range(4)], [x for x, _ in mean[:4]], atol=1e-7)
+    assert not any(k[1] == "zero" for k in got)
+    small = C.nearest_curves(sets, asked, "variant", sizes, 4, block=1)
+    assert {(r["kind"], r["query"], r["place"]): r["item"] for r in small.collect()} == {k: v[0] for k, v in got.items()}
+    assert C.nearest_curves(sets.limit(0), asked, "variant", sizes).count() == 0 and C.nearest_curves(sets, asked.limit(0), "variant", sizes).count() == 0
+    d = C.curve_matrix([r["curves"] for r in sets.where("variant < 'v09'").orderBy("variant").collect()], sizes)
+    assert np.allclose(d, d.T) and (np.diag(d) == 0).all()
+
+
+def test_medoids_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    m = rng.dirichlet(np.full(8, 0.5), 15)
+    rows = [("rg", f"v{i:02d}", c, float(m[i, c])) for i in range(15) for c in range(8)] + [("one", "a", 0, 1.0)]
+    got = C.medoids(spark.createDataFrame(rows, "metric string, variant string, cell int, mass double"), ["metric"], "variant", "cell", "mass").collect()
+    d2 = 1 - np.sqrt(m) @ np.sqrt(m).T
+    want = (d2.sum(1) - np.diag(d2)) / 14
+    for r in got:
+        if r["metric"] == "rg":
+            assert abs(r["cohesion"] - want[int(r["variant"][1:])]) < 1e-8 and r["is_medoid"] == (int(r["variant"][1:]) == want.argmin())
+        else:
+            assert r["cohesion"] is None and r["is_medoid"]
+
+
+def test_leaf_order(blobs):
+    merges = E.linkage(E.distances(blobs, blobs))
+    order = E.leaf_order(merges, 60)
+    assert sorted(order) == list(range(60)) and [len({i // 20 for i in order[k : k + 20]}) for k in (0, 20, 40)] == [1, 1, 1]
+    assert E.leaf_order([], 1) == [0] and E.leaf_order([(0, 1, 1.0, 2), (2, 3, 2.0, 3)], 3) == [2, 0, 1]
+
+
 def test_neighbour_map_keeps_groups(blobs):
     d = E.distances(blobs, blobs)
     w = E.fuzzy_graph(d, 8)
