@@ -508,18 +508,81 @@ def smooth_periodic(z: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def polyline_position(df: DataFrame, x: str, y: str, path: Sequence[tuple[float, float]]) -> DataFrame:
-    """df with s, the arc length of the nearest point of the path, and off, the distance to it; the first segment on ties."""
-    best, start = None, 0.0
-    for (x0, y0), (x1, y1) in zip(path, path[1:]):
+    """df with s, the arc length of the nearest point of the path, and off, the distance to it; the first segment on ties. Rows
+    that lack x or y have nulls."""
+    near, start = [], 0.0
+    for i, ((x0, y0), (x1, y1)) in enumerate(zip(path, path[1:])):
         long2 = (x1 - x0) ** 2 + (y1 - y0) ** 2
         t = F.least(F.greatest(((F.col(x) - x0) * (x1 - x0) + (F.col(y) - y0) * (y1 - y0)) / (long2 or 1.0), F.lit(0.0)), F.lit(1.0))
         off = F.sqrt((F.col(x) - (x0 + t * (x1 - x0))) ** 2 + (F.col(y) - (y0 + t * (y1 - y0))) ** 2)
-        here = F.struct(off.alias("off"), (start + t * long2**0.5).alias("s"))
-        best = here if best is None else F.when(here["off"] < best["off"], here).otherwise(best)
+        near.append(F.struct(off.alias("off"), F.lit(i).alias("i"), (start + t * long2**0.5).alias("s")))
         start += long2**0.5
+    best = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.array_min(F.array(*near)))
     return df.withColumn("_b", best).withColumn("s", F.col("_b.s")).withColumn("off", F.col("_b.off")).drop("_b")
 
 
 def in_box(df: DataFrame, x: str, y: str, a: tuple[float, float], b: tuple[float, float]) -> DataFrame:
     """Rows inside the rectangle of two corners, in any order."""
     return df.where(F.col(x).between(min(a[0], b[0]), max(a[0], b[0])) & F.col(y).between(min(a[1], b[1]), max(a[1], b[1])))
+
+
+def composite(df: DataFrame, axes: Sequence[str], name: str = "s") -> DataFrame:
+    """df with name: the first principal component of the standardised axes, its sign that of the first axis; a row that lacks an
+    axis has null. One aggregate for means and products, the rest a projection."""
+    value = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double")) for c in axes]
+    whole = df.select(*[v.alias(f"_{i}") for i, v in enumerate(value)]).dropna()
+    p = range(len(axes))
+    r = whole.agg(*[f(f"_{i}").alias(f"{n}{i}") for i in p for n, f in (("m", F.avg), ("d", F.stddev_samp))], *[F.corr(f"_{i}", f"_{j}").alias(f"r{i}_{j}") for i in p for j in p if i < j]).first()
+    if r["m0"] is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    c = np.array([[1.0 if i == j else r[f"r{min(i, j)}_{max(i, j)}"] or 0.0 for j in p] for i in p])
+    lead = np.linalg.eigh(np.nan_to_num(c))[1][:, -1]
+    lead = lead * (-1 if lead[0] < 0 else 1)
+    z = [(v - float(r[f"m{i}"])) / (float(r[f"d{i}"] or 0.0) or 1.0) for i, v in enumerate(value)]
+    return df.withColumn(name, sum((zi * float(w) for zi, w in zip(z, lead)), F.lit(0.0)))
+
+
+def path_coordinate(df: DataFrame, key: str, axes: Sequence[str], mode: str = "axis1", anchors: Sequence[Sequence[float]] = (), feature: str | None = None, most: int = FIT) -> DataFrame:
+    """df with s, the place of each row along a path: axis1, axis2, axis3, the composite of xy, xz, yz or xyz, a feature, the
+    straight line between two anchors, a polyline through several, or a geodesic, the shortest way over neighbouring rows
+    from the first to the last anchor (over up to `most` rows of smallest hash). Anything that can't be told falls back to axis1.
+
+    line, polyline and geodesic run in the plane of the first two axes.
+    """
+    letters = {"x": 0, "y": 1, "z": 2}
+    if mode in ("xy", "xz", "yz", "xyz") and all(letters[c] < len(axes) for c in mode):
+        return composite(df, [axes[letters[c]] for c in mode])
+    if mode in ("axis1", "axis2", "axis3") and int(mode[-1]) <= len(axes):
+        return df.withColumn("s", F.col(axes[int(mode[-1]) - 1]).cast("double"))
+    if mode == "feature" and feature in df.columns:
+        return df.withColumn("s", F.col(f"`{feature}`").cast("double"))
+    if mode in ("line", "polyline", "geodesic") and len(anchors) >= 2 and len(axes) >= 2:
+        path = [tuple(map(float, a[:2])) for a in anchors]
+        if mode == "line":
+            path = [path[0], path[-1]]
+        if mode == "geodesic":
+            _, x = fitted_rows(df.withColumn("_v", F.array(*[F.col(c).cast("double") for c in axes[:2]])).where(F.expr(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in axes[:2]))), key, "_v", most)
+            path = geodesic(x, path[0], path[-1]) if len(x) else path
+        if len(set(path)) > 1:
+            return polyline_position(df, axes[0], axes[1], path).drop("off")
+    return df.withColumn("s", F.col(axes[0]).cast("double"))
+
+
+def geodesic(x: np.ndarray, start: tuple[float, float], end: tuple[float, float], k: int = 12) -> list[tuple[float, float]]:
+    """The rows on the shortest way from the row nearest to start to that nearest to end, over the symmetric graph of k neighbours;
+    both ends alone where there is none."""
+    g = neighbour_graph(distances(x, x), k)
+    a, b = (int(np.abs(x - np.array(p)).sum(1).argmin()) for p in (start, end))
+    far, last, left = np.full(len(x), np.inf), np.full(len(x), -1), set(range(len(x)))
+    far[a] = 0.0
+    while left:
+        i = min(left, key=lambda i: (far[i], i))
+        if i == b or not np.isfinite(far[i]):
+            break
+        left.discard(i)
+        closer = far[i] + g[i] < far
+        far[closer], last[closer] = far[i] + g[i][closer], i
+    way = [b]
+    while way[-1] != a and last[way[-1]] >= 0:
+        way.append(int(last[way[-1]]))
+    return [tuple(map(float, x[i])) for i in way[::-1]] if way[-1] == a else [start, end]

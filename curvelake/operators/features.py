@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,3 +232,130 @@ def mutual_information(df: DataFrame, a: str, b: str, bins: int = 16) -> DataFra
     # A cell's share of a marginal's entropy is -p ln(px): summed over the marginal it gives -px ln(px).
     made = p.agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("px") * F.col("py")))).alias("mi"), F.sum(-F.col("p") * F.ln("px")).alias("h_a"), F.sum(-F.col("p") * F.ln("py")).alias("h_b"))
     return made.withColumn("normalised", F.least(F.greatest(F.coalesce(F.try_divide("mi", F.sqrt(F.col("h_a") * F.col("h_b"))), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draws(ids: np.ndarray, runs: int, share: float = 1.0, seed: int = 0) -> np.ndarray:
+    """rows x runs: how often each row is drawn in each run, Poisson with mean share, told by the row's own 64-bit id alone, so
+    that any task draws the same."""
+    with np.errstate(over="ignore"):
+        bits = _mixed(ids.view(np.uint64)[:, None] + np.arange(seed, seed + runs, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+    u = (bits >> np.uint64(11)).astype(float) / float(1 << 53)
+    term, total, k = np.exp(-share), np.exp(-share), 0
+    out = np.zeros(u.shape)
+    while (beyond := u >= total).any() and k < 60:
+        k += 1
+        term *= share / k
+        total += term
+        out += beyond
+    return out
+
+
+def resampled_grams(df: DataFrame, key: str, columns: Sequence[str], runs: int, how: str = "bootstrap", share: float = 1.0, seed: int = 0) -> np.ndarray:
+    """runs x parts x (p + 1) x (p + 1): sums of the products of the columns, with a leading 1, of each run's resample.
+
+    bootstrap: one part, every row drawn Poisson(share) times. split_half: two parts, every row in one of them. One pass over
+    the rows; a task moves its sums, runs times (p + 1) squared numbers, and no row is copied. Rows with a null or a number that
+    isn't finite don't count.
+    """
+    if how not in ("bootstrap", "split_half"):
+        raise ValueError(how)
+    p, parts = len(columns) + 1, 1 + (how == "split_half")
+    rows = df.select(F.xxhash64(key).alias("_id"), *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]).dropna()
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((runs * parts, p * p))
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), b[[f"_c{i}" for i in range(p - 1)]].to_numpy()])
+            ok = np.isfinite(x).all(1)
+            x, ids = x[ok], b["_id"].to_numpy()[ok]
+            for at in range(0, len(x), 4096):
+                xs = x[at : at + 4096]
+                w = draws(ids[at : at + 4096], runs, share, seed)
+                if how == "split_half":
+                    half = w > 0.5  # Poisson(ln 2) is 0 for half of all rows
+                    w = np.concatenate([half[:, :, None], ~half[:, :, None]], 2).reshape(len(xs), -1).astype(float)
+                total += w.T @ np.einsum("ij,ik->ijk", xs, xs).reshape(len(xs), -1)
+        yield pd.DataFrame({"run": np.arange(len(total), dtype=np.int32), "g": list(total)})
+
+    if how == "split_half":
+        share = float(np.log(2))
+    made = rows.mapInPandas(part, "run int, g array<double>").select("run", F.posexplode("g").alias("i", "v")).groupBy("run", "i").agg(F.sum("v").alias("v")).toPandas()  # runs x (p + 1)^2 rows
+    out = np.zeros((runs * parts, p * p))
+    out[made["run"], made["i"]] = made["v"]
+    return out.reshape(runs, parts, p, p)
+
+
+def pca_stability(df: DataFrame, key: str, columns: Sequence[str], k: int = 4, runs: int = 60, how: str = "split_half", share: float = 0.8, scale: bool = True) -> list[dict]:
+    """Per run: cosines of the k loadings and the Procrustes disparity of the scores of all rows, of two halves, or of a
+    resample and all rows.
+
+    Columns are standardised over all rows. Disparity: the squared residual of the two score sets, each centred and of norm 1,
+    after the best rotation (and scale); told by the loadings and the rows' products alone. runs is held within 5 and 500.
+    """
+    runs = min(max(runs, 5), 500)
+    n, mean, cov = gram(df, columns)
+    std = np.sqrt(np.diag(cov))
+    std[~(std > 0)] = 1.0
+    whole = cov / np.outer(std, std)
+    k = max(1, min(k, 6, len(columns)))
+
+    def loadings(g: np.ndarray) -> np.ndarray:
+        m = g[0, 1:] / max(g[0, 0], 1.0)
+        c = g[1:, 1:] / max(g[0, 0], 1.0) - np.outer(m, m)
+        return np.linalg.eigh(c / np.outer(std, std))[1][:, ::-1][:, :k]
+
+    grams = resampled_grams(df, key, columns, runs, how, share)
+    base = np.linalg.eigh(whole)[1][:, ::-1][:, :k]
+    out = []
+    for r in range(runs):
+        a, b = (loadings(grams[r, 0]), loadings(grams[r, 1])) if how == "split_half" else (base, loadings(grams[r, 0]))
+        na, nb = np.sqrt(np.trace(a.T @ whole @ a)), np.sqrt(np.trace(b.T @ whole @ b))
+        fit = np.linalg.svd(a.T @ whole @ b / max(na * nb, 1e-300))[1].sum()
+        out.append({"run": r, "cosines": aligned(a, b), "disparity": float(max(1 - fit**2 if scale else 2 - 2 * fit, 0.0))})
+    return out
+
+
+def _digamma(n: np.ndarray) -> np.ndarray:
+    """Of whole numbers from 1 on."""
+    sums = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, int(n.max(initial=1)) + 1))])
+    return sums[n.astype(int) - 1] - 0.5772156649015329
+
+
+def nearest_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """Mutual information of two columns by the distances to the k-th nearest rows (Kraskov, Stoegbauer and Grassberger's first
+    estimator), at least 0. Columns are scaled to a deviation of 1; rows are compared in blocks."""
+    n = len(x)
+    if n <= k + 1:
+        return 0.0
+    x, y = ((c - c.mean()) / max(c.std(), 1e-300) for c in (x, y))
+    sx, sy = np.sort(x), np.sort(y)
+    total = 0.0
+    for at in range(0, n, 512):
+        d = np.maximum(np.abs(x[at : at + 512, None] - x[None, :]), np.abs(y[at : at + 512, None] - y[None, :]))
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        radius = np.nextafter(np.partition(d, k - 1, 1)[:, k - 1], 0)
+        within = lambda s, v: np.searchsorted(s, v + radius, "right") - np.searchsorted(s, v - radius)  # noqa: B023, E731
+        total += (_digamma(np.maximum(within(sx, x[at : at + 512]), 1)) + _digamma(np.maximum(within(sy, y[at : at + 512]), 1))).sum()
+    return float(max(_digamma(np.array([k]))[0] + _digamma(np.array([n]))[0] - total / n, 0.0))
+
+
+def information_matrix(rows: np.ndarray, k: int = 3) -> np.ndarray:
+    """Mutual information of all pairs of columns over the root of both columns' own, within 0 and 1; rows with a number that isn't finite don't count."""
+    rows = rows[np.isfinite(rows).all(1)]
+    p = rows.shape[1]
+    if len(rows) < 3 or p < 2:
+        return np.eye(p)
+    m = np.array([[nearest_information(rows[:, i], rows[:, j], k) if j >= i else 0.0 for j in range(p)] for i in range(p)])
+    m = np.triu(m) + np.triu(m, 1).T
+    own = np.maximum(np.diag(m), 1e-10)
+    out = np.clip(m / np.sqrt(np.outer(own, own)), 0.0, 1.0)
+    np.fill_diagonal(out, 1.0)
+    return out

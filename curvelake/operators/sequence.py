@@ -89,21 +89,29 @@ def class_shift(df: DataFrame, cluster: str, sequence: str, top: int = 4) -> Dat
 
 
 def sequence_features(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
-    """keys and features of each sequence: length, class shares, ends, charges and longest runs. One projection."""
+    """keys and features of each sequence: length, share of each residue (aa_) and class (frac_), the class of either end as 0 or 1
+    (n_term_, c_term_), net and absolute charge per residue, and the share and longest run of hydrophobic or aromatic residues
+    and the longest run of G and P, over the length. One projection; an empty sequence has 0 everywhere, a null one nulls."""
     s = F.col(sequence)
     n = F.length(s)
     count = lambda chars: n - F.length(F.translate(s, chars, ""))
-    share = lambda chars: F.when(n > 0, count(chars) / n).otherwise(0.0)
+    over = lambda c: F.when(n > 0, c / n).when(n == 0, F.lit(0.0))
+    end = lambda at, chars: (F.length(F.translate(F.substring(s, at, 1), chars, "")) < F.length(F.substring(s, at, 1))).cast("int")
+    greasy = CLASSES["hydrophobic"] + CLASSES["aromatic"]
     return df.select(
-        *keys, n.alias("length"), *[share(c).alias(f"frac_{name}") for name, c in CLASSES.items()],
-        F.substring(s, 1, 1).alias("n_term"), F.substring(s, -1, 1).alias("c_term"),
-        (share("KR") - share("DE")).alias("net_charge"), (share("KR") + share("DE")).alias("charge_density"),
-        max_run(s, CLASSES["hydrophobic"] + CLASSES["aromatic"]).alias("hydrophobic_run"),
+        *keys, n.alias("length"), *[over(count(a)).alias(f"aa_{a}") for a in RESIDUES], *[over(count(c)).alias(f"frac_{name}") for name, c in CLASSES.items()],
+        *[end(1, c).alias(f"n_term_{name}") for name, c in CLASSES.items()], *[end(-1, c).alias(f"c_term_{name}") for name, c in CLASSES.items()],
+        over(count("KR") - count("DE")).alias("net_charge"), over(count("KRDE")).alias("charge_density"), over(count(greasy)).alias("hydrophobic_frac"),
+        over(max_run(s, greasy)).alias("hydrophobic_run_frac"), over(max_run(s, "GP")).alias("gp_run_frac"),
     )
 
 
-def one_hot(df: DataFrame, keys: Sequence[str], sequence: str, most: int = 64) -> DataFrame:
-    """keys, column, value: long form of position x residue and position x class indicators that are 1."""
-    at = letters(df, keys, sequence).where(F.col("pos") <= most)
-    names = F.array(F.concat(F.lit("pos"), F.col("pos").cast("string"), F.lit("_"), F.col("aa")), F.concat(F.lit("pos"), F.col("pos").cast("string"), F.lit("_"), residue_class(F.col("aa"))))
+def one_hot(df: DataFrame, keys: Sequence[str], sequence: str, most: int | None = 64) -> DataFrame:
+    """keys, column, value: long form of position x residue and position x class indicators that are 1, up to position `most`
+    (None: all)."""
+    at = letters(df, keys, sequence)
+    if most is not None:
+        at = at.where(F.col("pos") <= most)
+    place = F.concat(F.lit("pos"), F.col("pos").cast("string"), F.lit("_"))
+    names = F.array(F.concat(place, F.col("aa")), F.concat(place, F.lit("class_"), residue_class(F.col("aa"))))
     return at.select(*keys, F.explode(names).alias("column"), F.lit(1).alias("value"))

@@ -82,13 +82,24 @@ def q_canonical_metric(spark, d):
 k AS (SELECT metric, cell, count(*) AS n, corr(ax, v) AS r FROM j GROUP BY 1, 2 HAVING count(*) >= 3), o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(abs(r), 9) DESC, cell) AS place FROM k WHERE r IS NOT NULL AND NOT isnan(r))
 SELECT metric, cell, n, round(r, 6) AS r, place::INT AS place FROM o WHERE place <= 5""")
 def q_family_top_bins(spark, d):
-    """Cells that go most with an axis, five per family."""
+    """Cells that go most with an axis, five per family."""
     f = feature_rows(spark, d).select("variant", finite(F.col("kd_mean")).alias("ax")).where("ax IS NOT NULL")
     k = cell_means(spark, d).join(f, "variant").groupBy("metric", "cell").agg(F.count("*").alias("n"), F.corr("ax", "F_kJ_mol").alias("r")).where("n >= 3 AND r IS NOT NULL AND NOT isnan(r)")
     w = Window.partitionBy("metric").orderBy(F.round(F.abs("r"), 9).desc(), "cell")
     return rounded(k.withColumn("place", F.row_number().over(w)).where("place <= 5"), "r")
 
 
+@query(f"""WITH f AS (SELECT variant, {FIN('kd_mean')} AS ax FROM {FEATURE_ROWS}), m AS {MEANS}, j AS (SELECT m.metric, m.cell, f.ax, m.F_kJ_mol AS v FROM m JOIN f ON m.variant = f.variant WHERE ax IS NOT NULL),
+k AS (SELECT metric, cell, count(*) AS n, corr(ax, v) AS r FROM j GROUP BY 1, 2 HAVING count(*) >= 3), o AS (SELECT *, row_number() OVER (ORDER BY round(abs(r), 9) DESC, metric, cell) AS place FROM k WHERE r IS NOT NULL AND NOT isnan(r))
+SELECT metric, cell, n, round(r, 6) AS r, place::INT AS place FROM o WHERE place <= 20""")
+def q_global_top_bins(spark, d):
+    """The cells of all families that go most with an axis."""
+    f = feature_rows(spark, d).select("variant", finite(F.col("kd_mean")).alias("ax")).where("ax IS NOT NULL")
+    k = cell_means(spark, d).join(f, "variant").groupBy("metric", "cell").agg(F.count("*").alias("n"), F.corr("ax", "F_kJ_mol").alias("r")).where("n >= 3 AND r IS NOT NULL AND NOT isnan(r)")
+    top = k.orderBy(F.round(F.abs("r"), 9).desc(), "metric", "cell").limit(20)  # a bounded report, ranked after the limit
+    return rounded(top.withColumn("place", F.row_number().over(Window.orderBy(F.round(F.abs("r"), 9).desc(), "metric", "cell"))), "r")
+
+
 @query(f"""WITH r AS (SELECT kd_mean AS u, rg__mean AS v, e2e__mean AS a, sasa__mean AS b, rmsd__mean AS c FROM {FEATURE_ROWS}),
 t AS ({' UNION ALL '.join(f"SELECT '{n}' AS \"column\", corr({FIN('u')}, {FIN(x)}) AS ru, corr({FIN('v')}, {FIN(x)}) AS rv FROM r" for n, x in (('e2e__mean', 'a'), ('sasa__mean', 'b'), ('rmsd__mean', 'c')))})
 SELECT "column", round(ru, 6) AS ru, round(rv, 6) AS rv, round(sqrt(ru * ru + rv * rv), 6) AS "length" FROM t""")
@@ -114,13 +125,15 @@ def q_coupling(spark, d):
 
 @query()
 def q_pca_stability(spark, d):
-    """Cosines of loadings and Procrustes residual between two hash halves of the variants."""
+    """Means and deviations over 60 split halves and 60 resamples of the cosines of loadings and the Procrustes disparity."""
     ready = X.impute(feature_rows(spark, d), FEATURES)
-    half = F.pmod(F.xxhash64("variant"), F.lit(2))
-    a, b = (X.Pca(ready.where(half == i), FEATURES) for i in (0, 1))
-    cosines = X.aligned(a.vectors[:, :4], b.vectors[:, :4])
-    residual, rms = X.procrustes(a.vectors[:, :4] * a.values[:4], b.vectors[:, :4] * b.values[:4])
-    return spark.createDataFrame([(j + 1, round(float(c), 6), round(residual, 6), round(rms, 6)) for j, c in enumerate(cosines)], "component int, cosine double, residual double, rms double")
+    rows = []
+    for how in ("split_half", "bootstrap"):
+        runs = X.pca_stability(ready, "variant", FEATURES, 4, 60, how)
+        rows += [(how, r["run"], j + 1, float(c), r["disparity"]) for r in runs for j, c in enumerate(r["cosines"])]
+    every = spark.createDataFrame(rows, "method string, run int, component int, cosine double, disparity double")
+    made = every.groupBy("method", "component").agg(F.count("*").alias("runs"), F.avg("cosine").alias("cosine_mean"), F.stddev_samp("cosine").alias("cosine_std"), F.avg("disparity").alias("disparity_mean"), F.stddev_samp("disparity").alias("disparity_std"))
+    return rounded(made, "cosine_mean", "cosine_std", "disparity_mean", "disparity_std")
 
 
 @query()

@@ -41,14 +41,14 @@ def q_moving_average(spark, d):
 
 
 _ACF = """c AS (SELECT event_type, user_id, row_number() OVER (g ORDER BY ts, event_id) AS i, count(*) OVER g AS n, value - avg(value) OVER g AS dv FROM events WINDOW g AS (PARTITION BY event_type, user_id)),
-p AS (SELECT a.event_type, a.user_id, a.i - b.i AS lag, sum(a.dv * b.dv) AS s, any_value(a.n) AS n FROM c a JOIN c b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.i - b.i BETWEEN 0 AND 20 WHERE a.n >= 3 GROUP BY 1, 2, 3),
+p AS (SELECT a.event_type, a.user_id, a.i - b.i AS lag, sum(a.dv * b.dv) AS s, any_value(a.n) AS n FROM c a JOIN c b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.i - b.i BETWEEN 0 AND 300 WHERE a.n >= 3 GROUP BY 1, 2, 3),
 z AS (SELECT *, max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY event_type, user_id) AS z FROM p), r AS (SELECT event_type, user_id, lag, s / z AS rho, n FROM z WHERE z > 1e-12)"""
 
 
 @query(f"WITH {_ACF} SELECT event_type, user_id, CAST(lag AS INTEGER) AS lag, round(rho, 6) AS rho, n FROM r")
 def q_acf(spark, d):
     """W09."""
-    return rounded(S.autocorrelation(table(spark, d, "events"), ["event_type", "user_id"], _ORDER, "value", 20), "rho")
+    return rounded(S.autocorrelation(table(spark, d, "events"), ["event_type", "user_id"], _ORDER, "value", 300), "rho")
 
 
 @query(f"""WITH {_ACF}, m AS (SELECT *, max(CASE WHEN lag > 0 AND rho <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, user_id ORDER BY lag) AS stopped FROM r),
@@ -57,7 +57,7 @@ SELECT event_type, user_id, n, round(tau, 6) AS tau, round(n / (2 * tau), 6) AS
 def q_tau_ess(spark, d):
     """W10, W11."""
     keys = ["event_type", "user_id"]
-    return rounded(S.correlation_time(S.autocorrelation(table(spark, d, "events"), keys, _ORDER, "value", 20), keys), "tau", "ess")
+    return rounded(S.correlation_time(S.autocorrelation(table(spark, d, "events"), keys, _ORDER, "value", 300), keys), "tau", "ess")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events) WHERE (i - 1) % 3 = 0")
@@ -327,19 +327,24 @@ def q_mutual_information(spark, d):
     return rounded(X.mutual_information(feature_rows(spark, d), "rg__mean", "e2e__mean"), "mi", "h_a", "h_b", "normalised")
 
 
+@query()
+def q_mutual_information_knn(spark, d):
+    """L16 by the distances to the third nearest rows, of up to 2,000 variants of smallest hash; q_mutual_information takes all rows, on bins."""
+    rows = feature_rows(spark, d).select("variant", F.array(*[F.col(c).cast("double") for c in _FOUR]).alias("v")).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    m = X.information_matrix(E.fitted_rows(rows, "variant", "v", 2000)[1])
+    return spark.createDataFrame([(a, b, round(float(m[i, j]), 6)) for i, a in enumerate(_FOUR) for j, b in enumerate(_FOUR)], "a string, b string, normalised double")
+
+
 @query()
 def q_bootstrap_correlation(spark, d):
-    """500 Poisson resamples of a correlation, drawn on the executors by hash, with the 2.5 and 97.5 percentile."""
-    rows = feature_rows(spark, d).select("variant", "rg__mean", "e2e__mean").where("rg__mean < double('inf') AND e2e__mean < double('inf') AND rg__mean IS NOT NULL AND e2e__mean IS NOT NULL AND NOT isnan(rg__mean) AND NOT isnan(e2e__mean)")
-    u = F.pmod(F.xxhash64("variant", "b"), F.lit(1 << 30)) / float(1 << 30)
-    # Inverse of the Poisson distribution with mean 1 up to 7: how often the row is drawn.
-    k = sum((F.when(u >= c, 1).otherwise(0) for c in np.cumsum(np.exp(-1.0) / np.array([1.0, 1, 2, 6, 24, 120, 720])).tolist()), F.lit(0))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(499)))).withColumn("w", k.cast("double")).where("w > 0")
-    x, y, w = F.col("rg__mean"), F.col("e2e__mean"), F.col("w")
-    s = drawn.groupBy("b").agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
-    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2))
-    q = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
-    return rounded(s.withColumn("r", r).agg(F.count("r").alias("n_boot"), q.alias("q")).select("n_boot", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")), "low", "high")
+    """500 Poisson resamples of a correlation, summed up where the rows are, with the 2.5 and 97.5 percentile."""
+    g = X.resampled_grams(feature_rows(spark, d), "variant", ["rg__mean", "e2e__mean"], 500)[:, 0]
+    n, sx, sy, sxx, syy, sxy = g[:, 0, 0], g[:, 0, 1], g[:, 0, 2], g[:, 1, 1], g[:, 2, 2], g[:, 1, 2]
+    with np.errstate(all="ignore"):
+        r = (n * sxy - sx * sy) / np.sqrt((n * sxx - sx**2) * (n * syy - sy**2))
+    r = r[np.isfinite(r)]
+    low, high = (round(float(np.quantile(r, q)), 6) if len(r) else None for q in (0.025, 0.975))
+    return spark.createDataFrame([(len(r), low, high)], "n_boot bigint, low double, high double")
 
 
 # Sequences
@@ -420,13 +425,25 @@ def q_class_shift(spark, d):
     return rounded(Q.class_shift(_sequences(spark, d), "grp", "s"), "delta_pp")
 
 
-@query(f"""SELECT variant, length(s)::INT AS length, {', '.join(f"round((length(s) - length(regexp_replace(s, '[{c}]', '', 'g')))::DOUBLE / length(s), 9) AS frac_{k}" for k, c in N.CLASSES.items())}, s[1] AS n_term, right(s, 1) AS c_term,
-round((length(regexp_replace(s, '[^KR]', '', 'g')) - length(regexp_replace(s, '[^DE]', '', 'g')))::DOUBLE / length(s), 9) AS net_charge, round(length(regexp_replace(s, '[^KRDE]', '', 'g'))::DOUBLE / length(s), 9) AS charge_density,
-coalesce(list_max(list_transform(regexp_extract_all(s, '[AVILMFWY]+'), lambda r: length(r))), 0)::INT AS hydrophobic_run FROM {_SEQ} WHERE length(s) > 0""")
+_RUN = lambda chars: f"coalesce(list_max(list_transform(regexp_extract_all(s, '[{chars}]+'), lambda r: length(r))), 0)"
+_SHARE = lambda chars: f"(length(s) - length(regexp_replace(s, '[{chars}]', '', 'g')))"
+_GREASY = N.CLASSES["hydrophobic"] + N.CLASSES["aromatic"]
+
+
+@query(f"""SELECT variant, length(s)::INT AS length, {', '.join(f"round({_SHARE(c)}::DOUBLE / length(s), 9) AS {name}" for name, c in [*((f'aa_{a}', a) for a in N.RESIDUES), *((f'frac_{k}', c) for k, c in N.CLASSES.items()), ('charge_density', 'KRDE'), ('hydrophobic_frac', _GREASY)])},
+{', '.join(f"(strpos('{c}', {at}) > 0)::INT AS {end}_{k}" for end, at in (('n_term', 'left(s, 1)'), ('c_term', 'right(s, 1)')) for k, c in N.CLASSES.items())},
+round(({_SHARE('KR')} - {_SHARE('DE')})::DOUBLE / length(s), 9) AS net_charge, round({_RUN(_GREASY)}::DOUBLE / length(s), 9) AS hydrophobic_run_frac, round({_RUN('GP')}::DOUBLE / length(s), 9) AS gp_run_frac FROM {_SEQ} WHERE length(s) > 0""")
 def q_sequence_features(spark, d):
     """F09, F11, Q05, Q10."""
     made = Q.sequence_features(_sequences(spark, d).where("length(s) > 0"), ["variant"], "s")
-    return rounded(made, *[f"frac_{k}" for k in N.CLASSES], "net_charge", "charge_density", places=9)
+    return rounded(made, *[c for c, t in made.dtypes if t == "double"], places=9)
+
+
+@query(f"""WITH p AS (SELECT variant, i, substr(s, i::INT, 1) AS aa FROM {_SEQ}, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i))
+SELECT variant, 'pos' || i || '_' || aa AS "column", 1 AS value FROM p UNION ALL SELECT variant, 'pos' || i || '_class_' || {_CLASS}, 1 FROM p""")
+def q_one_hot(spark, d):
+    """Q06, all positions."""
+    return Q.one_hot(_sequences(spark, d), ["variant"], "s", None)
 
 
 # Vectors
@@ -529,6 +546,31 @@ def q_dbscan(spark, d):
 o AS (SELECT variant, sqrt((x - (-1 + t1)) ** 2 + (y - 1.2) ** 2) AS o1, t1 AS s1, sqrt((x - 0) ** 2 + (y - (1.2 + t2)) ** 2) AS o2, 1 + t2 AS s2 FROM t)
 SELECT variant, round(CASE WHEN o2 < o1 THEN s2 ELSE s1 END, 6) AS s, round(least(o1, o2), 6) AS off FROM o""")
 def q_polyline(spark, d):
-    """Place along a path of two segments."""
+    """Place along a path of two segments."""
     rows = feature_rows(spark, d).where("kd_mean IS NOT NULL AND rg__mean IS NOT NULL AND NOT isnan(kd_mean) AND NOT isnan(rg__mean) AND abs(kd_mean) < double('inf') AND abs(rg__mean) < double('inf')")
     return rounded(E.polyline_position(rows, "kd_mean", "rg__mean", [(-1.0, 1.2), (0.0, 1.2), (0.0, 2.2)]).select("variant", "s", "off"), "s", "off")
+
+
+_Z = "SELECT variant, kd_mean AS x, rg__mean AS y FROM " + FEATURE_ROWS
+
+
+@query(f"""WITH p AS ({_Z}), w AS (SELECT * FROM p WHERE isfinite(x) AND isfinite(y)), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_samp(x) AS dx, stddev_samp(y) AS dy, corr(x, y) AS r FROM w),
+c AS (SELECT variant, CASE WHEN isfinite(x) AND isfinite(y) THEN ((x - mx) / dx + CASE WHEN r < 0 THEN -1 ELSE 1 END * (y - my) / dy) / sqrt(2) END AS s FROM p CROSS JOIN m),
+l AS (SELECT variant, CASE WHEN isfinite(x) AND isfinite(y) THEN greatest(0, least(1, ((x + 1) * 2 + (y - 1) * 1) / 5.0)) * sqrt(5) END AS s FROM p)
+SELECT variant, 'xy' AS mode, round(s, 6) AS s FROM c UNION ALL SELECT variant, 'line', round(s, 6) FROM l UNION ALL SELECT variant, 'axis2', round(CASE WHEN isfinite(y) THEN y END, 6) FROM p""")
+def q_path_coordinate(spark, d):
+    """Places along the composite of two axes, along a line between two anchors, and along one axis."""
+    from curvelake.operators.grid import finite
+
+    rows = feature_rows(spark, d).select("variant", finite(F.col("kd_mean")).alias("x"), finite(F.col("rg__mean")).alias("y"))
+    made = [E.path_coordinate(rows, "variant", ["x", "y"], m, [(-1.0, 1.0), (1.0, 2.0)]).select("variant", F.lit(m).alias("mode"), "s") for m in ("xy", "line", "axis2")]
+    return rounded(made[0].unionByName(made[1]).unionByName(made[2]), "s")
+
+
+@query()
+def q_geodesic(spark, d):
+    """Places along the shortest way over neighbouring variants between two anchors."""
+    from curvelake.operators.grid import finite
+
+    rows = feature_rows(spark, d).select("variant", finite(F.col("kd_mean")).alias("x"), finite(F.col("rg__mean")).alias("y")).dropna()
+    return rounded(E.path_coordinate(rows, "variant", ["x", "y"], "geodesic", [(-1.0, 1.0), (1.0, 2.0)], most=400).select("variant", "s"), "s")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import names as N
+from curvelake.functions.physics import p_of_r
 from curvelake.operators import stats as S
 from curvelake.plans.common import CELLS, FEATURE_ROWS, FEATURES, FEATURES_TALL, FIN, PMF, feature_rows, features, in_cells, pmf, rounded
 from curvelake.session import table
@@ -155,10 +156,10 @@ def q_pearson_pairs(spark, d):
 
 
 @query(f"""
-SELECT a, b, n, r FROM ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (isfinite({a}::DOUBLE) AND isfinite({b}::DOUBLE)) AS n, round(corr({FIN(f'{a}::DOUBLE')}, {FIN(f'{b}::DOUBLE')}), 6) AS r FROM {FEATURE_ROWS}" for a, b in _PAIRS)}) ORDER BY abs(r) DESC NULLS LAST, a, b LIMIT 20""")
+SELECT a, b, n, r FROM ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (isfinite({a}::DOUBLE) AND isfinite({b}::DOUBLE)) AS n, round(corr({FIN(f'{a}::DOUBLE')}, {FIN(f'{b}::DOUBLE')}), 6) AS r FROM {FEATURE_ROWS}" for a, b in _PAIRS)}) ORDER BY abs(r) DESC NULLS LAST, a, b LIMIT 100""")
 def q_top_correlations(spark, d):
     """Pairs by absolute correlation."""
-    return rounded(S.correlations(feature_rows(spark, d), FEATURES), "r").orderBy(F.abs("r").desc_nulls_last(), "a", "b").limit(20)
+    return rounded(S.correlations(feature_rows(spark, d), FEATURES), "r").orderBy(F.abs("r").desc_nulls_last(), "a", "b").limit(100)
 
 
 _SIX = ["kd_mean", "rg__mean", "e2e__mean", "sasa__mean"]
@@ -189,12 +190,10 @@ def q_regression(spark, d):
 
 
 def _p_values(spark, d):
-    from pyspark.sql.types import DoubleType
-
-    from curvelake.functions.physics import p_of_r
-
-    tested = F.pandas_udf(lambda r, n: r.combine(n, lambda a, b: p_of_r(None if a != a else a, int(b))), DoubleType())
-    return S.correlations(feature_rows(spark, d), FEATURES).where("r IS NOT NULL").withColumn("p", tested("r", F.col("n").cast("double")))
+    """The correlations of all pairs of features, a row each, with their p values."""
+    rows = S.correlations(feature_rows(spark, d), FEATURES).where("r IS NOT NULL AND NOT isnan(r)")
+    found = [(r["a"], r["b"], r["n"], r["r"], p_of_r(r["r"], r["n"])) for r in rows.collect()]  # a row per pair of columns
+    return spark.createDataFrame(found, "a string, b string, n bigint, r double, p double")
 
 
 @query()
@@ -251,3 +250,9 @@ def q_rmsf_stats(spark, d):
 
     v = finite(F.col("rmsd__mean"))
     return rounded(features(spark, d).groupBy("variant").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n")), "mean", "std", places=8)
+
+
+@query(f"""SELECT a, b, n, r FROM ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (isfinite({a}::DOUBLE) AND isfinite({b}::DOUBLE)) AS n, round(corr({FIN(f'{a}::DOUBLE')}, {FIN(f'{b}::DOUBLE')}), 6) AS r FROM {FEATURE_ROWS}" for a, b in _PAIRS)}) WHERE abs(r) >= 0.3 ORDER BY abs(r) DESC, a, b LIMIT 200""")
+def q_redundant_pairs(spark, d):
+    """Pairs whose absolute correlation is at least 0.3, up to 200."""
+    return rounded(S.correlations(feature_rows(spark, d), FEATURES), "r").where(F.abs("r") >= 0.3).orderBy(F.abs("r").desc(), "a", "b").limit(200)

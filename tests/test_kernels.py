@@ -159,6 +159,68 @@ def test_medoids_against_all_pairs(spark):
             assert r["cohesion"] is None and r["is_medoid"]
 
 
+def test_resamples_against_copies_of_the_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 2))
+    rows = [(f"v{i}", float(a), float(b)) for i, (a, b) in enumerate(x)] + [("n", None, 1.0), ("i", float("inf"), 1.0)]
+    df = spark.createDataFrame(rows, "key string, a double, b double")
+    ids = {r["key"]: r["h"] for r in df.selectExpr("key", "xxhash64(key) AS h").collect()}
+    w = X.draws(np.array([ids[f"v{i}"] for i in range(300)]), 40)
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    one = np.column_stack([np.ones(300), x])
+    got = X.resampled_grams(df, "key", ["a", "b"], 40)
+    assert got.shape == (40, 1, 3, 3) and np.allclose(got[:, 0], np.einsum("ir,ij,ik->rjk", w, one, one))
+    halves = X.resampled_grams(df, "key", ["a", "b"], 7, "split_half")
+    assert np.allclose(halves.sum(1), one.T @ one) and (np.abs(halves[:, 0, 0, 0] - 150) < 50).all()
+    assert (X.resampled_grams(df.limit(0), "key", ["a", "b"], 3) == 0).all()
+
+
+def test_pca_stability_against_the_scores(spark, blobs):
+    x = np.column_stack([blobs, blobs @ [1.0, 2.0, -1.0] + np.random.default_rng(1).normal(0, 0.5, 60)])
+    df = spark.createDataFrame([(i, *[float(v) for v in r]) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    names = ["a", "b", "c", "d"]
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    runs = X.pca_stability(df, "id", names, 2, 8, "bootstrap", 0.8)
+    grams = X.resampled_grams(df, "id", names, 8, "bootstrap", 0.8)
+    base = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, :2]
+    for r, g in zip(runs, grams[:, 0]):
+        m = g[0, 1:] / g[0, 0]
+        c = (g[1:, 1:] / g[0, 0] - np.outer(m, m)) / np.outer(x.std(0, ddof=1), x.std(0, ddof=1))
+        load = np.linalg.eigh(c)[1][:, ::-1][:, :2]
+        assert abs(r["disparity"] - X.procrustes(z @ base, z @ load)[0]) < 1e-6 and np.allclose(r["cosines"], X.aligned(base, load))
+    assert len(X.pca_stability(df, "id", names, 2, 1)) == 5 and all(r["disparity"] >= 0 for r in X.pca_stability(df, "id", names, 2, 6))
+
+
+def test_nearest_information_of_known_laws():
+    rng = np.random.default_rng(0)
+    for rho in (0.0, 0.6, 0.9):
+        x, y = rng.multivariate_normal([0, 0], [[1, rho], [rho, 1]], 1500).T
+        assert abs(X.nearest_information(x, y * 40 + 3) - -0.5 * np.log(1 - rho**2)) < 0.08
+    m = X.information_matrix(np.column_stack([x, y, x**3, rng.normal(size=1500)]))
+    assert np.allclose(m, m.T) and m[0, 2] > 0.5 and m[0, 3] < 0.05 and (np.diag(m) == 1).all()
+    assert (X.information_matrix(np.full((9, 2), np.nan)) == np.eye(2)).all() and X.nearest_information(x[:3], y[:3]) == 0.0
+
+
+def test_paths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3)) @ np.array([[1.0, 0.8, 0.1], [0, 0.6, 0.2], [0, 0, 1.0]])
+    df = spark.createDataFrame([(i, *[float(v) for v in r], float(i)) for i, r in enumerate(x)] + [(99, None, 1.0, 1.0, 7.0)], "id int, x double, y double, z double, f double")
+    at = lambda mode, **k: {r["id"]: r["s"] for r in E.path_coordinate(df, "id", ["x", "y", "z"], mode, **k).collect()}
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    lead = np.linalg.svd(z)[2][0]
+    lead *= np.sign(lead[0])
+    got = at("xyz")
+    assert np.allclose([got[i] for i in range(80)], z @ lead, atol=1e-9) and got[99] is None
+    assert at("axis3")[5] == x[5, 2] and at("feature", feature="f")[99] == 7.0 and at("nonsense")[3] == x[3, 0] and at("line")[3] == x[3, 0]
+    line = at("line", anchors=[(0, 0), (9, 9), (3, 4)])
+    assert np.allclose([line[i] for i in range(80)], np.clip(x[:, :2] @ [0.6, 0.8], 0, 5))
+    ring = np.array([[np.cos(a), np.sin(a)] for a in np.linspace(0, np.pi, 40)])
+    way = E.geodesic(ring, (1, 0), (-1, 0), 2)
+    assert way[0] == (1.0, 0.0) and len(way) >= 20 and abs(sum(math.dist(p, q) for p, q in zip(way, way[1:])) - np.pi) < 0.01
+    assert E.geodesic(np.array([[0.0, 0], [0, 1], [50, 0], [50, 1]]), (0, 0), (50, 0), 1) == [(0, 0), (50, 0)]
+    assert set(at("geodesic", anchors=[(-1, -1), (1, 1)])) == set(range(80)) | {99}
+
+
 def test_leaf_order(blobs):
     merges = E.linkage(E.distances(blobs, blobs))
     order = E.leaf_order(merges, 60)
