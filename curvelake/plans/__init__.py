@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training", "statistics", "profiles", "shapes", "reports")
+MODULES = ("training", "statistics", "profiles", "shapes", "reports", "sources")
 
 
 def all_queries() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import os
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -56,8 +57,9 @@ def curve_files(folder: str | os.PathLike, key: str, deep: bool = False) -> list
     return found
 
 
-def read(spark: SparkSession, path: str | os.PathLike, columns: Sequence[str] | None = None) -> DataFrame | None:
-    """A table by its suffix, with the given columns it has; None where it can't be read or is empty.
+def read(spark: SparkSession, path: str | os.PathLike, columns: Sequence[str] | None = None, skipped: list | None = None) -> DataFrame | None:
+    """A table by its suffix, with the given columns it has; None where it can't be read or is empty. A file that can't be
+    read is logged, and appended to skipped.
 
     CSV types are taken from a bounded sample of lines and kept as text where the sample disagrees.
     """
@@ -72,28 +74,36 @@ def read(spark: SparkSession, path: str | os.PathLike, columns: Sequence[str] |
         if columns is not None:
             df = df.select(*[f"`{c}`" for c in df.columns if c in set(columns)])
         return df if df.columns and not df.isEmpty() else None
-    except Exception:  # unreadable files are passed over, as one bad file must not stop a scan of thousands
+    except Exception as x:  # unreadable files are passed over, as one bad file must not stop a scan of thousands
+        _skip(text, x, skipped)
         return None
 
 
-def read_all(spark: SparkSession, paths: Sequence[str | os.PathLike], columns: Sequence[str] | None = None, tag: str | None = None) -> DataFrame | None:
-    """All readable files by column name; parquet files of one schema are one scan. tag: a column with the file's name."""
+def _skip(path: str, why: Exception, skipped: list | None) -> None:
+    logging.getLogger(__name__).warning("%s can't be read and is left out: %s", path, str(why).split("\n")[0][:200])
+    if skipped is not None:
+        skipped.append(path)
+
+
+def read_all(spark: SparkSession, paths: Sequence[str | os.PathLike], columns: Sequence[str] | None = None, tag: str | None = None, skipped: list | None = None) -> DataFrame | None:
+    """All readable files by column name; parquet files of one schema are one scan. tag: a column with the file's name. Files
+    that can't be read are logged, and appended to skipped."""
     groups: dict[str, list[str]] = {}
     for p in map(str, paths):
         if p.endswith(".parquet"):
             try:
                 groups.setdefault(schema_of(spark, p).json(), []).append(p)
-            except Exception:
-                continue
+            except Exception as x:
+                _skip(p, x, skipped)
         else:
             groups.setdefault(p, []).append(p)
     frames = []
     for files in groups.values():
-        df = spark.read.parquet(*files) if files[0].endswith(".parquet") else read(spark, files[0])
+        df = spark.read.parquet(*files) if files[0].endswith(".parquet") else read(spark, files[0], None, skipped)
         if df is None:
             continue
         keep = [c for c in df.columns if columns is None or c in set(columns)]
-        extra = [F.element_at(F.split(F.input_file_name(), "/"), -1).alias(tag)] if tag else []
+        extra = [F.regexp_extract(F.input_file_name(), r"([^/]+\.(?:parquet|csv(?:\.gz)?))(?:/part-[^/]*)?$", 1).alias(tag)] if tag else []  # a table may be a folder of parts
         frames.append(df.select(*[f"`{c}`" for c in keep], *extra))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
