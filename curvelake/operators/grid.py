@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 3000  # a safety bound; series that stand unsettled at it are marked
 STRETCH = 1.2
+REACH = 0.25  # ranges of a series' readings by which a filled value may lie outside them
 
 
 def in_cells(curves: DataFrame, grid: DataFrame, keep: list[str], outside: bool = False) -> DataFrame:
@@ -68,7 +69,8 @@ def ssa_settle(values: np.ndarray, rank: int = 4, window: int | None = None, rou
     Start: linear between neighbours, the nearest value at the ends. A series without any value stays NaN; one with
     fewer than three is filled by the start alone. A series stops when its largest change falls under tol of its spread.
     The step over a change grows by STRETCH a round as long as what the cut leaves out doesn't grow, else the round is
-    taken back to the plain step.
+    taken back to the plain step. A filled value stays within REACH ranges of the readings around them, as a trend at an end
+    would else run away round by round and never settle.
     """
     out = np.array(values, dtype=float)
     n, length = out.shape
@@ -95,6 +97,8 @@ def ssa_settle(values: np.ndarray, rank: int = 4, window: int | None = None, rou
     for first in range(0, len(todo), fold):
         live = todo[first : first + fold]
         spread = np.nanstd(values[live], axis=1) + 1e-12
+        low, high = np.nanmin(values[live], axis=1, keepdims=True), np.nanmax(values[live], axis=1, keepdims=True)
+        low, high = low - REACH * (high - low), high + REACH * (high - low)
         step, least, plain = np.ones(len(live)), np.full(len(live), np.inf), out[live]
         for _ in range(rounds):
             series = out[live]
@@ -106,16 +110,16 @@ def ssa_settle(values: np.ndarray, rank: int = 4, window: int | None = None, rou
             back = np.zeros_like(series)
             for i in range(window):  # means of the anti-diagonals
                 back[:, i : i + k] += cutm[:, i, :]
-            new = np.where(gap[live], back / count + mean, series)
+            new = np.where(gap[live], np.clip(back / count + mean, low, high), series)
             rest = energy[:, : -min(rank, window)].sum(1)
             worse = (step > 1) & (rest > least * (1 + 1e-9))
             done = ~worse & (np.abs(new - series).max(1) <= tol * spread)
             step = np.where(worse, 1.0, step * STRETCH)
-            far = np.where(done[:, None], new, series + step[:, None] * (new - series))
+            far = np.where(done[:, None], new, np.clip(series + step[:, None] * (new - series), low, high))
             out[live] = np.where(worse[:, None], plain, far)
             plain, least = np.where(worse[:, None], plain, new), np.where(worse, least, rest)
             go = ~done
-            live, spread, step, least, plain = live[go], spread[go], step[go], least[go], plain[go]
+            live, spread, step, least, plain, low, high = live[go], spread[go], step[go], least[go], plain[go], low[go], high[go]
             if not len(live):
                 break
         out[live], settled[live] = plain, False
