@@ -157,26 +157,18 @@ def q_downsample(spark, d):
     return C.downsample(points, ["curve_id"], "x", "F_kJ_mol", 20)
 
 
-@query(f"""
-WITH c AS (SELECT curve_id, metric, x, avg(F_kJ_mol) AS y FROM {PMF} WHERE metric IN ('rg', 'e2e', 'sasa', 'rmsd') GROUP BY 1, 2, 3),
-k AS (SELECT DISTINCT curve_id, metric FROM c), a AS (SELECT k.curve_id, g.x_start + g.x_step * (i + 0.5) AS x FROM k JOIN metric_grid g ON k.metric = g.metric, LATERAL (SELECT unnest(range(0, g.n_cells, 4)) AS i)),
-l AS (SELECT a.curve_id, a.x, c.x AS lx, c.y AS ly FROM a ASOF LEFT JOIN c ON a.curve_id = c.curve_id AND a.x >= c.x),
-r AS (SELECT l.*, c.x AS rx, c.y AS ry FROM l ASOF LEFT JOIN c ON l.curve_id = c.curve_id AND l.x <= c.x)
-SELECT curve_id, round(x, 6) AS x, round(CASE WHEN lx = rx THEN ly ELSE ly + (x - lx) / (rx - lx) * (ry - ly) END, 6) AS F_kJ_mol FROM r""")
-def q_grid_interp(spark, d):
-    """Every fourth cell centre of the grid by straight lines between readings."""
-    rows = pmf(spark, d).where("metric IN ('rg', 'e2e', 'sasa', 'rmsd')")
-    centres = table(spark, d, "metric_grid").select("metric", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1, F.lit(4))).alias("i"), "x_start", "x_step").select("metric", (F.col("x_start") + F.col("x_step") * (F.col("i") + 0.5)).alias("x"))
-    asked = rows.select("curve_id", "metric").distinct().join(centres, "metric")
-    return rounded(C.interpolate(rows, asked, ["curve_id"], "x", "F_kJ_mol"), "x", "F_kJ_mol")
-
+_TURNED = "CASE WHEN g.is_periodic THEN g.x_start + (p.x - g.x_start) - 360 * floor((p.x - g.x_start) / 360) ELSE p.x END"
 
-@query()
-def q_grid_interp_all(spark, d):
-    """Every cell centre of every metric's grid by straight lines between readings, angles across their turn; null outside the readings.
 
-    q_grid_interp has a quarter of the cells and four metrics, as its SQL does.
-    """
+@query(f"""
+WITH c AS MATERIALIZED (SELECT curve_id, metric, is_periodic, x, avg(F_kJ_mol) AS y FROM (SELECT p.curve_id, p.metric, g.is_periodic, {_TURNED} AS x, F_kJ_mol FROM {PMF} p JOIN metric_grid g ON p.metric = g.metric) GROUP BY 1, 2, 3, 4),
+n AS MATERIALIZED (SELECT curve_id, metric, x, y FROM c UNION ALL SELECT curve_id, metric, min(x) + 360, arg_min(y, x) FROM c WHERE is_periodic GROUP BY 1, 2 UNION ALL SELECT curve_id, metric, max(x) - 360, arg_max(y, x) FROM c WHERE is_periodic GROUP BY 1, 2),
+a AS (SELECT k.curve_id, k.metric, i::INT AS cell, g.x_start + g.x_step * (i + 0.5) AS x FROM (SELECT DISTINCT curve_id, metric FROM c) k JOIN metric_grid g ON k.metric = g.metric, LATERAL (SELECT unnest(range(g.n_cells)) AS i)),
+l AS (SELECT a.*, n.x AS lx, n.y AS ly FROM a ASOF LEFT JOIN n ON a.curve_id = n.curve_id AND a.metric = n.metric AND a.x >= n.x),
+r AS (SELECT l.*, n.x AS rx, n.y AS ry FROM l ASOF LEFT JOIN n ON l.curve_id = n.curve_id AND l.metric = n.metric AND l.x <= n.x)
+SELECT curve_id, metric, cell, round(x, 6) AS x, round(CASE WHEN lx = rx THEN ly ELSE ly + (x - lx) / (rx - lx) * (ry - ly) END, 4) AS F_kJ_mol FROM r""")
+def q_grid_interp(spark, d):
+    """Every cell centre of every metric's grid by straight lines between readings, angles across their turn; null outside the readings."""
     g = table(spark, d, "metric_grid")
     centres = g.select("metric", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("cell"), "x_start", "x_step").select("metric", "cell", (F.col("x_start") + F.col("x_step") * (F.col("cell") + 0.5)).alias("x"))
     turned = F.when(F.col("is_periodic"), F.col("x_start") + F.pmod(F.col("x") - F.col("x_start"), F.lit(360.0))).otherwise(F.col("x"))
@@ -187,7 +179,7 @@ def q_grid_interp_all(spark, d):
     known = rows.select(*keys, "x", "F_kJ_mol").unionByName(side("low", 360.0)).unionByName(side("high", -360.0))
     asked = rows.select(*keys).distinct().join(centres, "metric")
     made = C.interpolate(known, asked, keys, "x", "F_kJ_mol").join(F.broadcast(centres), ["metric", "x"])
-    return rounded(made.select(*keys, "cell", "x", "F_kJ_mol"), "x", "F_kJ_mol")
+    return rounded(rounded(made.select(*keys, "cell", "x", "F_kJ_mol"), "x"), "F_kJ_mol", places=4)
 
 
 @query("""

@@ -257,28 +257,23 @@ def q_stream_windows(spark, d):
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean", "low", "high"), "mean")
 
 
-@query(f"""WITH p AS (SELECT metric, variant, floor(x * 10000 + 0.5) / 10000 AS x, avg(greatest(P, 0)) AS v FROM {PMF} WHERE P IS NOT NULL AND metric IN ('rg', 'e2e') AND variant LIKE 'ref_%' GROUP BY 1, 2, 3),
-k AS (SELECT metric, variant FROM p GROUP BY 1, 2 HAVING count(*) >= 2), g AS (SELECT DISTINCT metric, x FROM p), a AS (SELECT k.metric, k.variant, g.x FROM k JOIN g ON k.metric = g.metric),
+@query(f"""WITH c AS (SELECT p.metric, variant, CASE WHEN g.is_periodic THEN g.x_start + (p.x - g.x_start) - 360 * floor((p.x - g.x_start) / 360) ELSE p.x END AS x, P FROM {PMF} p JOIN metric_grid g ON p.metric = g.metric WHERE P IS NOT NULL),
+p AS MATERIALIZED (SELECT metric, variant, floor(x * 10000 + 0.5) / 10000 AS x, avg(greatest(P, 0)) AS v FROM c GROUP BY 1, 2, 3), k AS (SELECT metric, variant FROM p GROUP BY 1, 2 HAVING count(*) >= 2),
+n AS (SELECT metric, count(DISTINCT x) AS n, min(x) AS lo, max(x) AS hi FROM p GROUP BY 1), g AS (SELECT DISTINCT p.metric, x FROM p JOIN n ON p.metric = n.metric WHERE n <= 256
+  UNION ALL SELECT metric, CASE WHEN i = 255 THEN hi ELSE lo + i * ((hi - lo) / 255) END FROM n, LATERAL (SELECT unnest(range(256)) AS i) WHERE n > 256), a AS (SELECT k.metric, k.variant, g.x FROM k JOIN g ON k.metric = g.metric),
 l AS (SELECT a.*, p.x AS lx, p.v AS lv FROM a ASOF LEFT JOIN p ON a.metric = p.metric AND a.variant = p.variant AND a.x >= p.x), r AS (SELECT l.*, p.x AS rx, p.v AS rv FROM l ASOF LEFT JOIN p ON l.metric = p.metric AND l.variant = p.variant AND l.x <= p.x),
 i AS (SELECT metric, variant, x, CASE WHEN lx = rx THEN lv WHEN lx IS NULL OR rx IS NULL THEN 0 ELSE lv + (x - lx) / (rx - lx) * (rv - lv) END AS y FROM r),
 t AS (SELECT *, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS part FROM i WINDOW w AS (PARTITION BY metric, variant ORDER BY x)), s AS (SELECT *, sum(part) OVER (PARTITION BY metric, variant) AS area FROM t)
-SELECT metric, variant, x, round(CASE WHEN area > 0 THEN y / area ELSE y END, 7) AS density FROM s""")
+SELECT metric, variant, round(x, 6) AS x, round(CASE WHEN area > 0 THEN y / area ELSE y END, 6) AS density FROM s""")
 def q_pmf_matrix(spark, d):
-    """Densities of the reference variants on a shared grid."""
-    rows = pmf(spark, d).where("P IS NOT NULL AND metric IN ('rg', 'e2e') AND startswith(variant, 'ref_')")
-    return rounded(C.interpolated_density(rows, ["metric"], "variant", "x", "P"), "density", places=7)
-
-
-@query()
-def q_pmf_matrix_all(spark, d):
     """Densities of all variants and metrics on each metric's shared grid of at most 256 x, angles brought into one turn.
 
-    q_pmf_matrix has the reference variants and two metrics, as its SQL does. Variants that lack a metric stay, without rows for it.
+    Variants that lack a metric stay, without rows for it.
     """
     g = table(spark, d, "metric_grid").select("metric", "x_start", "is_periodic")
     turned = F.when(F.col("is_periodic"), F.col("x_start") + F.pmod(F.col("x") - F.col("x_start"), F.lit(360.0))).otherwise(F.col("x"))
     rows = pmf(spark, d).where("P IS NOT NULL").join(F.broadcast(g), "metric").select("metric", "variant", turned.alias("x"), "P")
-    return rounded(C.density_matrix(rows, "metric", "variant", "x", "P"), "density", places=7)
+    return rounded(C.density_matrix(rows, "metric", "variant", "x", "P"), "x", "density")
 
 
 @query(f"""WITH e AS (SELECT variant, metric, replica FROM {CELLS} WHERE P IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT cell) >= 3),

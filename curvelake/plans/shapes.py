@@ -176,11 +176,11 @@ def q_box_select(spark, d):
     return inside.join(table(spark, d, "pmf").select("variant").distinct(), "variant", "left_semi").select("variant")
 
 
-@query(f"""WITH c AS (SELECT variant, metric, CAST(round(x, 0) AS BIGINT) AS cell, avg(greatest(P, 0)) AS p FROM {PMF} WHERE P IS NOT NULL AND metric LIKE 'p%' GROUP BY 1, 2, 3), n AS (SELECT metric, count(DISTINCT variant) AS n FROM c GROUP BY 1)
+@query(f"""WITH c AS (SELECT variant, metric, CAST(round(x, 0) AS BIGINT) AS cell, avg(greatest(P, 0)) AS p FROM {PMF} WHERE P IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT metric, count(DISTINCT variant) AS n FROM c GROUP BY 1)
 SELECT c.metric, c.cell, count(DISTINCT CASE WHEN sqrt(p) > 1e-6 THEN variant END) AS support FROM c JOIN n ON c.metric = n.metric GROUP BY c.metric, c.cell, n.n HAVING count(DISTINCT CASE WHEN sqrt(p) > 1e-6 THEN variant END) >= greatest(3, floor(0.1 * n.n))""")
 def q_support_filter(spark, d):
     """Cells enough variants have."""
-    c = pmf(spark, d).where("P IS NOT NULL AND metric LIKE 'p%'").groupBy("variant", "metric", F.round("x", 0).cast("bigint").alias("cell")).agg(F.avg(F.greatest("P", F.lit(0.0))).alias("p"))
+    c = pmf(spark, d).where("P IS NOT NULL").groupBy("variant", "metric", F.round("x", 0).cast("bigint").alias("cell")).agg(F.avg(F.greatest("P", F.lit(0.0))).alias("p"))
     n = c.groupBy("metric").agg(F.countDistinct("variant").alias("_n"))
     s = c.groupBy("metric", "cell").agg(F.countDistinct(F.when(F.sqrt("p") > 1e-6, F.col("variant"))).alias("support"))
     return s.join(n, "metric").where(F.col("support") >= F.greatest(F.lit(3), F.floor(0.1 * F.col("_n")))).drop("_n")
