@@ -166,7 +166,7 @@ n AS MATERIALIZED (SELECT curve_id, metric, x, y FROM c UNION ALL SELECT curve_i
 a AS (SELECT k.curve_id, k.metric, i::INT AS cell, g.x_start + g.x_step * (i + 0.5) AS x FROM (SELECT DISTINCT curve_id, metric FROM c) k JOIN metric_grid g ON k.metric = g.metric, LATERAL (SELECT unnest(range(g.n_cells)) AS i)),
 l AS (SELECT a.*, n.x AS lx, n.y AS ly FROM a ASOF LEFT JOIN n ON a.curve_id = n.curve_id AND a.metric = n.metric AND a.x >= n.x),
 r AS (SELECT l.*, n.x AS rx, n.y AS ry FROM l ASOF LEFT JOIN n ON l.curve_id = n.curve_id AND l.metric = n.metric AND l.x <= n.x)
-SELECT curve_id, metric, cell, round(x, 6) AS x, round(CASE WHEN lx = rx THEN ly ELSE ly + (x - lx) / (rx - lx) * (ry - ly) END, 4) AS F_kJ_mol FROM r""")
+SELECT curve_id, metric, cell, round(x, 6) AS x, round(CASE WHEN lx = rx THEN ly ELSE ly + (x - lx) / (rx - lx) * (ry - ly) END, 9) AS F_kJ_mol FROM r""")
 def q_grid_interp(spark, d):
     """Every cell centre of every metric's grid by straight lines between readings, angles across their turn; null outside the readings."""
     g = table(spark, d, "metric_grid")
@@ -179,7 +179,7 @@ def q_grid_interp(spark, d):
     known = rows.select(*keys, "x", "F_kJ_mol").unionByName(side("low", 360.0)).unionByName(side("high", -360.0))
     asked = rows.select(*keys).distinct().join(centres, "metric")
     made = C.interpolate(known, asked, keys, "x", "F_kJ_mol").join(F.broadcast(centres), ["metric", "x"])
-    return rounded(rounded(made.select(*keys, "cell", "x", "F_kJ_mol"), "x"), "F_kJ_mol", places=4)
+    return rounded(rounded(made.select(*keys, "cell", "x", "F_kJ_mol"), "x"), "F_kJ_mol", places=9)
 
 
 @query("""
