@@ -252,8 +252,8 @@ def q_curve_distances(spark, d):
 
 
 @query(f"""WITH {_MASS}, s AS (SELECT metric, cell, sum(sqrt(mass)) AS s FROM n GROUP BY 1, 2), i AS (SELECT metric, count(DISTINCT variant) AS c FROM n GROUP BY 1),
-o AS (SELECT n.metric, n.variant AS item, round(greatest(1 - sum(sqrt(mass) * (s.s - sqrt(mass))) / any_value(i.c - 1), 0), 9) AS cohesion FROM n JOIN s ON n.metric = s.metric AND n.cell = s.cell JOIN i ON n.metric = i.metric GROUP BY 1, 2)
-SELECT metric, item, round(cohesion, 6) AS cohesion, item = first_value(item) OVER (PARTITION BY metric ORDER BY cohesion, item) AS is_medoid FROM o""")
+o AS (SELECT n.metric, n.variant AS item, CASE WHEN any_value(i.c) > 1 THEN round(greatest(1 - sum(sqrt(mass) * (s.s - sqrt(mass))) / (any_value(i.c) - 1), 0), 9) END AS cohesion FROM n JOIN s ON n.metric = s.metric AND n.cell = s.cell JOIN i ON n.metric = i.metric GROUP BY 1, 2)
+SELECT metric, item, round(cohesion, 6) AS cohesion, item = first_value(item) OVER (PARTITION BY metric ORDER BY cohesion NULLS FIRST, item) AS is_medoid FROM o""")
 def q_medoid(spark, d):
     """Each variant's mean squared Hellinger distance to all others of its metric; the least is the medoid in the space of the roots of P."""
     p = _readings(spark, d)

@@ -79,3 +79,18 @@ def test_default_settles_more_than_thirty_rounds(spark):
     want, settled = grid.ssa_settle(tall)
     assert np.allclose(got.F_kJ_mol.to_numpy().reshape(20, 20), want) and (got.F_kJ_mol_settled.to_numpy().reshape(20, 20) == settled[:, None]).all()
     assert not np.allclose(want, grid.ssa_fill(tall, rounds=30), atol=1e-2) and got.P_settled.all()
+
+
+def test_a_trend_at_the_end_settles_within_reach_of_the_readings():
+    rng = np.random.default_rng(0)
+    at = np.arange(60)
+    series = np.stack([np.exp(at / 12.0) + rng.normal(0, 0.3, 60), 40 - 0.6 * at + rng.normal(0, 0.2, 60), np.sin(at / 5.0) * 3])
+    holes = series.copy()
+    holes[:, 50:] = np.nan
+    holes[:, 20:24] = np.nan
+    filled, settled = grid.ssa_settle(holes)
+    low, high = np.nanmin(holes, 1, keepdims=True), np.nanmax(holes, 1, keepdims=True)
+    reach = grid.REACH * (high - low)
+    assert settled.all() and (filled >= low - reach - 1e-9).all() and (filled <= high + reach + 1e-9).all()
+    assert np.abs(filled[:, 20:24] - series[:, 20:24]).max() < 0.15 * (high - low).max()
+    assert np.array_equal(filled[:, 24:50], series[:, 24:50])
