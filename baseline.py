@@ -1,4 +1,4 @@
-"""python baseline.py [DIR]: headline queries restated in pandas and NumPy on one core, timed with their reading; beside bench.py's figures."""
+"""python baseline.py [DIR]: headline queries restated in pandas and NumPy in one process, timed with their reading; beside bench.py's figures."""
 
 from __future__ import annotations
 
