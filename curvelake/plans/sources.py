@@ -6,15 +6,20 @@ from __future__ import annotations
 import os
 import shutil
 import sqlite3
-from urllib.parse import unquote, urlparse
+import uuid
+from collections.abc import Iterator
+from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.functions import names as N
 from curvelake.operators import tables as T
 from curvelake.plans.common import rounded
-from curvelake.session import cut, shared_path, table
+from curvelake.session import cut, shared_path, spread, table
 from curvelake.sources import convergence, files, sqlite, xvg
 
 QUERIES: dict = {}
@@ -89,13 +94,32 @@ def q_source_projection(spark, d):
 
 
 def _per_variant(df: DataFrame, folder: str, suffix: str) -> None:
-    """A table per variant, <variant><suffix>, written by one distributed job."""
-    inner = os.path.join(folder, "_parts")
-    df.write.partitionBy("variant").parquet(inner)
-    for name in os.listdir(inner):
-        if name.startswith("variant="):
-            os.rename(os.path.join(inner, name), os.path.join(folder, unquote(name[len("variant=") :]) + suffix))
-    shutil.rmtree(inner)
+    """A table per variant, <variant><suffix>: a folder of one part, as a file whose name begins with _ or . would be hidden.
+    A variant's rows meet in one task, which writes them as they come; a task that runs again puts the same part in place."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = out = None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.where, os.path.join(os.path.dirname(out.where), "part-0.parquet"))
+
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column("variant"))
+            rows, start = batch.drop_columns(["variant"]), 0
+            for end, variant in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                if variant != at:
+                    close()
+                    path = os.path.join(folder, variant + suffix)
+                    os.makedirs(path, exist_ok=True)
+                    at, out = variant, pq.ParquetWriter(os.path.join(path, f".{uuid.uuid4().hex}"), rows.schema)
+                out.write_batch(rows.slice(start, end - start))
+                start = end
+        close()
+        yield from ()
+
+    spread(df, "variant").sortWithinPartitions("variant").mapInArrow(write, "n int").write.format("noop").mode("overwrite").save()
 
 
 def _curve_folder(spark, d) -> str:

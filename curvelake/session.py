@@ -77,11 +77,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many tasks as there is room for: for small rows that cost much work each, which the adaptive planner
-    would gather into one task for their few bytes."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+def room(spark: SparkSession) -> int:
+    """As many tasks as there is room for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as there is room for, by keys if there are any: for small rows that cost much work each, which
+    the adaptive planner would gather into one task for their few bytes."""
+    return df.repartition(room(df.sparkSession), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

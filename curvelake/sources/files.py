@@ -6,14 +6,18 @@ import hashlib
 import json
 import logging
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curvelake.session import room, spread
+
 # Names of feature files in order of preference, and of the tables of curves.
 FEATURE_FILES = (
     "*_features.parquet", "*_features.csv.gz", "features_per_peptide_all.parquet", "features_per_peptide_all.csv.gz", "features_per_peptide_all.csv",
@@ -24,6 +28,9 @@ CURVE_FILES = {
     "convergence": ("*_convergence.parquet", "*_convergence.csv*"), "rama2d": ("*_rama2d.parquet", "*_rama2d.csv*"), "summary": ("*_summary.parquet", "*_summary.csv*"),
 }
 
+# Up to so many tables Spark looks at each itself; the footers of more are read in one job.
+FEW = 32
+
 
 def resolve_layout(path: str | os.PathLike) -> tuple[Path, Path]:
     """(data folder, project folder): the path may be the data folder itself, its parent, or any folder."""
@@ -89,25 +96,80 @@ def read_all(spark: SparkSession, paths: Sequence[str | os.PathLike], columns: S
     """All readable files by column name; parquet files of one schema are one scan. tag: a column with the file's name. Files
     that can't be read are logged, and appended to skipped."""
     groups: dict[str, list[str]] = {}
+    found = [p for p in map(str, paths) if p.endswith(".parquet")]
+    footers, known = footer_keys(spark, found) if len(found) > FEW else {}, {}
     for p in map(str, paths):
         if p.endswith(".parquet"):
+            key = footers.get(p)
             try:
-                groups.setdefault(schema_of(spark, p).json(), []).append(p)
+                schema = known.get(key) or schema_of(spark, p).json()
             except Exception as x:
                 _skip(p, x, skipped)
+                continue
+            if key is not None:
+                known[key] = schema
+            groups.setdefault(schema, []).append(p)
         else:
             groups.setdefault(p, []).append(p)
     frames = []
     for files in groups.values():
-        df = spark.read.parquet(*files) if files[0].endswith(".parquet") else read(spark, files[0], None, skipped)
+        df = _scan(spark, files) if files[0].endswith(".parquet") else read(spark, files[0], None, skipped)
         if df is None:
             continue
         keep = [c for c in df.columns if columns is None or c in set(columns)]
-        extra = [F.regexp_extract(F.input_file_name(), r"([^/]+\.(?:parquet|csv(?:\.gz)?))(?:/part-[^/]*)?$", 1).alias(tag)] if tag else []  # a table may be a folder of parts
+        extra = [_file_name().alias(tag)] if tag else []
         frames.append(df.select(*[f"`{c}`" for c in keep], *extra))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
+def _footer_key(path: str) -> str | None:
+    """What Spark's schema of a parquet table hangs on, hashed: the footer's schema and Spark's own note of it. None where Spark
+    has to look itself: at what can't be read, and at folders with folders or summary files in them."""
+    try:
+        if os.path.isdir(path):
+            inner = sorted((f for f in os.scandir(path) if not f.name.startswith(".")), key=lambda f: f.name)
+            if any(f.is_dir() or f.name in ("_metadata", "_common_metadata") for f in inner):
+                return None
+            path = next(f.path for f in inner if not f.name.startswith("_"))
+        footer = pq.read_metadata(path)
+        schema = str(footer.schema).split("\n", 1)[1]  # the first line is the object's address
+        return hashlib.sha256(f"{schema}{(footer.metadata or {}).get(b'org.apache.spark.sql.parquet.row.metadata')}".encode()).hexdigest()[:32]
+    except Exception:  # whatever is wrong with it, Spark names it
+        return None
+
+
+def footer_keys(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """path: key; parquet tables of one key have one schema. All footers are read in one job, where the tasks run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"i": batch.column("i"), "key": pa.array([_footer_key(p) for p in batch.column("path").to_pylist()], pa.string())})
+
+    asked = spread(spark.createDataFrame(pa.table({"i": pa.array(range(len(paths)), pa.int32()), "path": pa.array(paths, pa.string())})))
+    found = asked.mapInArrow(run, "i int, key string").where("key IS NOT NULL").toArrow()  # a short row per file
+    return {paths[i]: key for i, key in zip(found["i"].to_pylist(), found["key"].to_pylist())}
+
+
+def _file_name() -> Column:
+    """The name of the table a row is from, which may be a folder of parts; without patterns, which cost more than the reading."""
+    path = F.input_file_name()
+    last, above = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    parts = last.startswith("part-") & (above.endswith(".parquet") | above.endswith(".csv") | above.endswith(".csv.gz"))
+    name = F.when(parts, above).otherwise(last)
+    return F.when(F.contains(name, F.lit("%")), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+
+
+def _scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Parquet tables of one schema as one scan; they are listed by as many tasks as there is room for, not by one task each."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), room(spark))))
+    try:
+        return spark.read.parquet(*paths)
+    finally:
+        spark.conf.set(name, before)
+
+
 def schema_of(spark: SparkSession, path: str) -> T.StructType:
     """The schema of a parquet file, from its footer."""
     return spark.read.parquet(path).schema
@@ -135,7 +197,7 @@ def variant_store(spark: SparkSession, folder: str, variants: Sequence[str] | No
     if df is None:
         return None
     if "variant" not in df.columns:
-        df = df.withColumn("variant", F.regexp_replace("_file", r"_pmf\.parquet$", ""))
+        df = df.withColumn("variant", F.expr("left(_file, length(_file) - length('_pmf.parquet'))"))
     if metric is not None and "metric" in df.columns:
         df = df.where(F.col("metric") == metric)
     return df.select(*[c for c in df.columns if c != "_file" and (columns is None or c in (*columns, "variant"))])

@@ -1,8 +1,11 @@
+import os
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from curvelake.plans.sources import _per_variant
 from curvelake.sources import files, sqlite, xvg
 from curvelake.streaming import windows
 
@@ -41,6 +44,27 @@ def test_variant_store_reads_only_what_is_asked(spark, folder):
     assert [r["metric"] for r in files.metrics_in(df.unionByName(df.withColumn("metric", F.lit(" ")))).collect()] == ["rg"]
 
 
+def test_a_large_store_is_opened_in_a_few_jobs(spark, tmp_path):
+    names = [f"V{i}" for i in range(60)] + ["_under", ".dot", "a b", "a+b", "50%", "é"]
+    made = spark.createDataFrame([(v, m, float(i)) for i, v in enumerate(names) for m in ("rg", "e2e")], "variant string, metric string, F double")
+    _per_variant(made, str(tmp_path), "_pmf.parquet")
+    assert sorted(f.name for f in tmp_path.iterdir()) == sorted(f"{v}_pmf.parquet" for v in names)
+    (tmp_path / "wide_pmf.parquet").mkdir()
+    pd.DataFrame({"metric": ["rg"], "F": [0.5], "more": [1]}).to_parquet(tmp_path / "wide_pmf.parquet" / "part-0.parquet")
+    pd.DataFrame({"metric": ["rg"], "F": [0.7]}).to_parquet(tmp_path / "plain_pmf.parquet")
+    (tmp_path / "bad_pmf.parquet").write_bytes(b"not a table")
+    skipped, at = [], "open of a large store"
+    spark.sparkContext.setJobGroup(at, at)
+    try:
+        files.read_all(spark, files.find_files(tmp_path, ["*_pmf.parquet"]), skipped=skipped)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(at)) < 20  # it was one a table, or more
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [os.path.basename(p) for p in skipped] == ["bad_pmf.parquet"]
+    rows = {r["variant"]: (r["F"], r["more"]) for r in files.variant_store(spark, str(tmp_path), metric="rg").collect()}
+    assert rows == {v: (float(i), None) for i, v in enumerate(names)} | {"wide": (0.5, 1), "plain": (0.7, None)}
+
+
 def test_csv_and_cache(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5), ("b", None)], "k string, v double")
     files.write_csv(df, str(tmp_path / "out"))
